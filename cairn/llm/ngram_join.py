@@ -14,12 +14,14 @@ hold something, at least one is equal in both.  Hence:
    in and for larger bands that a partner may be in.  (Should hashing leave D
    non-empty fragments or fewer, it emits its prefix of single shingles too; two
    such classes meet there, every other linked pair in a fragment.)
-3. Digests seen in two classes or more are kept, and the classes that share one
-   are compared inside a task by parity bit maps: the number of bits in which two
-   maps differ never exceeds the number of shingles in which the sets differ, so
-   dropping pairs above the limit loses no link.  A task returns a spanning forest
-   of what is left, nearest first: as many rows as classes at most, never all pairs.
-   Groups above ``BLOCK`` classes are cut into blocks that meet pairwise.
+3. Digests seen in two classes or more are kept.  The classes that share one are
+   compared by parity bit maps: the number of bits in which two maps differ never
+   exceeds the number of shingles in which the sets differ, so dropping pairs above
+   the limit loses no link.  A digest of ``FEW`` rows at most gives its pairs as rows,
+   and these are thinned out.  Larger groups are compared inside a task, which
+   returns a spanning forest of what is left, nearest first: as many rows as classes
+   at most, never all pairs.  Groups above ``BLOCK`` classes are cut into blocks that
+   meet pairwise.
 4. Forest edges are counted exactly: both sets are cut into ``PARTS`` fragments,
    the overlaps of the fragments are counted separately and summed per pair.
 5. Groups with an edge that turns out not to be a link are compared again, and now
@@ -49,6 +51,9 @@ from .runtime import as_longs, bit_filter, fresh, list_array, may_hold
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 90, 100
 BLOCK = 1024
+FEW = 4
+#: A set's bit map has at most so many bits; beyond, it thins out less.
+MOST_BITS = 1024
 PARTS = 8
 _U = np.uint64
 
@@ -71,7 +76,7 @@ class Scheme:
         top = BANDS[1:] - 1
         self.differ = 2 * top * (denominator - numerator) // (denominator + numerator)
         self.fragments = (self.differ + 1) * 5 // 4 + 2
-        self.bits = np.maximum(256, 2 ** np.ceil(np.log2(BANDS[1:])).astype(np.int64))
+        self.bits = np.clip(2 ** np.ceil(np.log2(BANDS[1:])).astype(np.int64), 256, MOST_BITS)
 
     def limit(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         """The most shingles in which linked sets of these sizes differ."""
@@ -304,7 +309,7 @@ def _ends_with(batch: pa.RecordBatch, key: int, part: int, band: int) -> bool:
     return (batch.column(0)[-1].as_py(), batch.column(1)[-1].as_py(), batch.column(2)[-1].as_py()) == (band, key, part)
 
 
-def _pairs(posts: DataFrame, scheme: Scheme, forest: bool) -> DataFrame:
+def _pairs(posts: DataFrame, maps: DataFrame, scheme: Scheme, forest: bool) -> DataFrame:
     """Candidate pairs (key, x, y) of the posts of each group, blocks of large groups pairwise."""
     # a row of block s meets block t in part (min, max); alone in its block it meets itself
     spread = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).cast("bigint").alias("part"), F.lit(-1).alias("side")))).otherwise(
@@ -316,14 +321,37 @@ def _pairs(posts: DataFrame, scheme: Scheme, forest: bool) -> DataFrame:
             ),
         )
     )
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    rows = posts.withColumn("block", block).withColumn("at", F.explode(spread))
+    rows = posts.withColumn("blocks", F.ceil(F.col("rows") / float(BLOCK)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("at", F.explode(spread))
     rest = ["root"] if "root" in posts.columns else []
-    rows = rows.select("band", "key", F.col("at.part").alias("part"), F.col("at.side").alias("side"), "cls", "n", "map", *rest)
+    rows = rows.select("band", "key", F.col("at.part").alias("part"), F.col("at.side").alias("side"), "cls", "n", *rest).join(maps, ["cls", "band"])
+    rows = rows.select("band", "key", "part", "side", "cls", "n", "map", *rest)
     rows = rows.repartition("band", "key", "part").sortWithinPartitions("band", "key", "part")
     return rows.mapInArrow(_compare(scheme, forest), "key bigint, x bigint, y bigint")
 
 
+def _few_pairs(posts: DataFrame, maps: DataFrame, scheme: Scheme) -> DataFrame:
+    """Candidate pairs (x, y) of the groups of FEW rows at most: each has FEW * (FEW - 1) / 2 pairs at most."""
+    groups = posts.groupBy("key", "band").agg(F.array_sort(F.collect_set(F.struct("cls", "n"))).alias("c"))
+    both = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice(F.col("c"), i + 2, FEW), lambda y: F.struct(x["cls"].alias("x"), x["n"].alias("nx"), y["cls"].alias("y"), y["n"].alias("ny")))))
+    pairs = groups.filter(F.size("c") > 1).select("band", F.explode(both).alias("p")).select("band", "p.*")
+    pairs = pairs.filter((F.least("nx", "ny") * scheme.den >= F.greatest("nx", "ny") * scheme.num)).distinct()
+    mx, my = maps.select(F.col("cls").alias("x"), "band", F.col("map").alias("mx")), maps.select(F.col("cls").alias("y"), "band", F.col("map").alias("my"))
+    pairs = pairs.join(mx, ["x", "band"]).join(my, ["y", "band"]).select("x", "y", "nx", "ny", "mx", "my")
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width = [len(m) for m in batch.column(4).to_pylist()]
+            bits = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64) ^ np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64)
+            away = np.zeros(len(bits) + 1, np.int64)
+            np.cumsum(np.bitwise_count(bits), out=away[1:])
+            edge = np.concatenate([[0], np.cumsum(width)]).astype(np.int64) // 8
+            ok = away[edge[1:]] - away[edge[:-1]] <= scheme.limit(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(ok))
+
+    return pairs.mapInArrow(thin, "x bigint, y bigint")
+
+
 # --- exact counts ---------------------------------------------------------------------------
 
 
@@ -365,7 +393,16 @@ def _links(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, scheme: Scheme)
     return full.select("x", "y", (common * scheme.den >= (F.col("nx") + F.col("ny") - common) * scheme.num).alias("linked"))
 
 
-def similar_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, block: int = BLOCK, seed: int = 0) -> DataFrame:
+def _checked(pairs: DataFrame, slim: DataFrame, sizes: DataFrame, scheme: Scheme, stored: Stored) -> DataFrame:
+    wanted = stored.put(pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct(), "wanted")
+    sets = _fragment_table(slim, scheme, wanted).join(wanted, "cls", "left_semi").dropDuplicates(["cls", "part"])
+    sets = stored.put(sets, "sets")
+    checked = stored.put(_links(pairs, sets, sizes, scheme), "checked")
+    stored.drop(sets)
+    return checked
+
+
+def similar_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, seed: int = 0) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; two rows link at numerator/denominator and above."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -373,52 +410,50 @@ def similar_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     scheme = Scheme(shingle, numerator, denominator, seed)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = stored.put(_signature_table(slim, scheme), "signatures")
-    ids = signed.select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("cls"))
-    classes = signed.filter("n > 0").groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("b2"), F.min("doc_id").alias("first_id"), F.min("n").alias("n"))
+    ids = stored.put(signed.select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("cls"), "b"), "ids")
+    classes = ids.filter("n_shingles > 0").groupBy("cls").agg(F.min("b").alias("b"), F.max("b").alias("b2"), F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"))
     classes = stored.put(classes, "classes")
     if not classes.filter("b <> b2").isEmpty():  # two sets of one digest: hash anew
-        stored.drop(signed, classes)
-        return similar_components(docs, doc_id=doc_id, text=text, shingle=shingle, numerator=numerator, denominator=denominator, block=block, seed=seed + 1)
-    classes = classes.select(F.col("a").alias("cls"), "first_id", "n")
+        stored.drop(signed, ids, classes)
+        return similar_components(docs, doc_id=doc_id, text=text, shingle=shingle, numerator=numerator, denominator=denominator, seed=seed + 1)
+    sizes = classes.select("cls", "n")
 
     # digests of two classes or more
     seen = signed.select("a", F.explode("schemes").alias("s")).select("a", F.explode("s.digests").alias("key"))
     repeated = seen.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("rows")).filter("lo <> hi")
-    repeated = stored.put(repeated.select("key", F.ceil(F.col("rows") / float(block)).alias("blocks")), "repeated")
+    repeated = stored.put(repeated.select("key", "rows"), "repeated")
     filled = spark.sparkContext.broadcast(bit_filter(repeated, "key"))
 
     def posts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests = batch.column(4)
+            digests = batch.column(3)
             key = digests.flatten().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), digests.value_lengths().to_numpy(zero_copy_only=False))
             at = np.flatnonzero(may_hold(filled.value, key)) if len(key) else np.zeros(0, np.int64)
             pick = pa.array(row[at])
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), *(batch.column(i).take(pick) for i in range(4))], ["key", "cls", "n", "band", "map"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), *(batch.column(i).take(pick) for i in range(3))], ["key", "cls", "n", "band"])
 
-    posts = signed.select(F.col("a").alias("cls"), "n", F.explode("schemes").alias("s")).select("cls", "n", "s.band", "s.map", "s.digests")
-    posts = posts.mapInArrow(posts_of, "key bigint, cls bigint, n bigint, band int, map binary").dropDuplicates(["key", "cls", "band"])
+    schemes = signed.select(F.col("a").alias("cls"), "n", F.explode("schemes").alias("s"))
+    posts = schemes.select("cls", "n", "s.band", "s.digests").mapInArrow(posts_of, "key bigint, cls bigint, n bigint, band int").distinct()
     posts = stored.put(posts.join(repeated, "key"), "posts")
-
-    edges = stored.put(_pairs(posts, scheme, True), "forest")
-    pairs = edges.select("x", "y").distinct()
-    wanted = pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct()
-    sets = _fragment_table(slim, scheme, wanted).join(wanted, "cls", "left_semi").dropDuplicates(["cls", "part"])
-    sizes = classes.select("cls", "n")
-    checked = stored.put(_links(pairs, stored.put(sets, "sets"), sizes, scheme), "checked")
+    active = posts.select("cls", "band").distinct()
+    maps = schemes.select("cls", "s.band", "s.map").join(active, ["cls", "band"], "left_semi").dropDuplicates(["cls", "band"])
+    maps = stored.put(maps, "maps")
+    stored.drop(signed)
+
+    edges = stored.put(_pairs(posts.filter(F.col("rows") > FEW), maps, scheme, True), "forest")
+    few = _few_pairs(posts.filter(F.col("rows") <= FEW), maps, scheme)
+    pairs = stored.put(edges.select("x", "y").union(few).distinct(), "pairs")
+    checked = _checked(pairs, slim, sizes, scheme, stored)
     roots = components(checked.filter("linked"), stored, "x", "y")
 
     failed = edges.join(checked.filter("not linked"), ["x", "y"], "left_semi").select("key").distinct()
     if not failed.isEmpty():
-        again = posts.join(failed, "key", "left_semi")
         r = roots.select(F.col("vertex").alias("cls"), "root")
-        again = again.join(r, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        more = _pairs(again, scheme, False).select("x", "y").distinct().join(checked, ["x", "y"], "left_anti")
-        more = stored.put(more, "more")
+        again = posts.join(failed, "key", "left_semi").join(r, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        more = stored.put(_pairs(again, maps, scheme, False).select("x", "y").distinct().join(checked, ["x", "y"], "left_anti"), "more")
         if not more.isEmpty():
-            wanted = more.select(F.col("x").alias("cls")).union(more.select("y")).distinct()
-            sets = _fragment_table(slim, scheme, wanted).join(wanted, "cls", "left_semi").dropDuplicates(["cls", "part"])
-            second = stored.put(_links(more, stored.put(sets, "sets"), sizes, scheme), "checked")
+            second = _checked(more, slim, sizes, scheme, stored)
             roots = components(checked.filter("linked").unionByName(second.filter("linked")), stored, "x", "y")
 
     roots = roots.select(F.col("vertex").alias("cls"), "root")
