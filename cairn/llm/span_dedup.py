@@ -16,7 +16,9 @@ occurrence covers is removed.
    are joined to the first occurrences (many rows of one digest can be split, as
    the other side has one), and what isn't first is gathered for each text as
    sentence ranges, bounded by the text itself.
-3. Texts that have ranges are rewritten.
+3. Texts that have ranges are rewritten.  A bit filter of fixed size over their
+   digests lets all other texts pass where they are read; only those that it holds
+   are shuffled, to meet their ranges.
 
 Defined results: a null text has no sentences and stays null; a text keeps what is
 before its first word in front of its first sentence; a null doc_id comes after
@@ -141,13 +143,29 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     With ``counts``, also n_words_removed and removed, the ranges of sentences
     (``start-end``, end exclusive, comma-joined).
     """
+    spark = docs.sparkSession
     ranges = repeated_ranges(docs, doc_id=doc_id, text=text, min_sentences=min_sentences, min_words=min_words)
     key, tag, cut = fresh(docs, "span_doc"), fresh(docs, "span_text"), fresh(docs, "span_ranges")
     ranges = ranges.select(F.col("doc_id").alias(key), F.col("text_key").alias(tag), F.col("ranges").alias(cut))
-    same = (F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NO_ID)) == F.col(key)) & (F.xxhash64(F.col(text).cast("string")) == F.col(tag))
-    joined = docs.join(ranges, same, "left").drop(key, tag)
+    filled = spark.sparkContext.broadcast(bit_filter(ranges, tag))
+    mine = fresh(docs, "text_digest")
+    marked = docs.withColumn(mine, F.xxhash64(F.col(text).cast("string")))
     at, last = docs.columns.index(text), len(docs.columns)
 
+    def having(held: bool):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ok = may_hold(filled.value, batch.column(last).to_numpy()) == held
+                yield pa.RecordBatch.from_arrays(batch.columns[:last], docs_columns).filter(pa.array(ok))
+
+        return scan
+
+    docs_columns = docs.columns
+    # the same plan at every size: the rows that may have ranges are shuffled, however few
+    touched, others = marked.mapInArrow(having(True), docs.schema), marked.mapInArrow(having(False), docs.schema)
+    same = (F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NO_ID)) == F.col(key)) & (F.xxhash64(F.col(text).cast("string")) == F.col(tag))
+    joined = touched.join(ranges.hint("merge"), same, "left").drop(key, tag)
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lost, shown = batch.column(at), np.zeros(batch.num_rows, np.int64), [""] * batch.num_rows
@@ -168,4 +186,5 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     schema = docs.schema
     if counts:
         schema = StructType([*docs.schema.fields, StructField("n_words_removed", LongType()), StructField("removed", StringType())])
-    return joined.mapInArrow(apply, schema)
+    rest = others.withColumns({"n_words_removed": F.lit(0).cast("bigint"), "removed": F.lit("")}) if counts else others
+    return joined.mapInArrow(apply, schema).union(rest)
