@@ -124,6 +124,17 @@ def align(doc: np.ndarray, template: np.ndarray, first: int, last: int) -> tuple
     return best
 
 
+def places(doc: np.ndarray, template: np.ndarray, first: int, last: int, least: float) -> list[tuple[int, int, int]]:
+    """Alignments of at least ``least`` matched words: the best along the diagonals, then those before and after it."""
+    if len(doc) < least or last < -len(template) or first > len(doc):
+        return []
+    matched, start, end = align(doc, template, first, last)
+    if matched < least or end <= start:
+        return []
+    after = [(m, a + end, b + end) for m, a, b in places(doc[end:], template, first - end, last - end, least)]
+    return [*places(doc[:start], template, first, last, least), (matched, start, end), *after]
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, doc_id: str = "doc_id", text: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
@@ -139,8 +150,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, d
                 found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
                 for d, t, a, b in index.candidates(words):
                     own = int(words.first[d])
-                    matched, start, end = align(words.hashes[own : words.first[d + 1]], index.words[t], a - own, b - own)
-                    if matched >= min_coverage * len(index.words[t]):
+                    for matched, start, end in places(words.hashes[own : words.first[d + 1]], index.words[t], a - own, b - own, min_coverage * len(index.words[t])):
                         found.setdefault((d, t), []).append((matched, own + start, own + end))
                 for (d, t), spans in found.items():
                     taken: list[tuple[int, int, int]] = []
