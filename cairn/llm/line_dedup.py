@@ -9,9 +9,10 @@ also be on at least ``min_pages`` pages.
 Counting shuffles a 64-bit hash for each distinct line of a page, summed before
 the shuffle, so a line that is on a third of all pages is one row a task.  Since a
 page has its ratio's worth of lines, a host has at most (lines a page) /
-``max_ratio`` boilerplate lines: the list goes to the host's pages in a join that
-Spark can broadcast or split, and lines are filtered inside the row.  Pages are
-never taken apart and put together again.
+``max_ratio`` boilerplate lines.  The lists are written to a small table, so that
+Spark knows its size: below its broadcast threshold pages are filtered where they
+are read, above it they are joined by host, where large hosts can be split.  Lines
+are filtered inside the row; pages are never taken apart and put together again.
 
 Defined results: a null text stays null and counts as a page without lines; a
 null host is a host; every input row is returned once, repeated rows too; an
@@ -23,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Stored
 from .runtime import fresh
 
 MAX_RATIO = 0.03
@@ -51,6 +53,7 @@ def boilerplate(pages: DataFrame, *, text: str = "text", host: str = "source", m
 def drop_boilerplate(pages: DataFrame, *, text: str = "text", host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
     """The pages with boilerplate lines dropped from ``text``; the named counts are added if asked for."""
     found = boilerplate(pages, text=text, host=host, max_ratio=max_ratio, min_pages=min_pages)
+    found = Stored(pages.sparkSession).put(found, "boilerplate")
     key, lines = fresh(pages, "boiler_host"), fresh(pages, "boiler_lines")
     found = found.select(F.col("host").alias(key), F.col("lines").alias(lines))
     joined = pages.join(found, F.col(host).eqNullSafe(F.col(key)), "left")
