@@ -45,7 +45,7 @@ def test_targets_drop_the_horizon(spark):
 
 
 def ledger(spark, prices, signals, **options):
-    rows = [("A", pd.Timestamp("2025-01-01") + pd.Timedelta(hours=i), float(p), s, float(z)) for i, (p, (s, z)) in enumerate(zip(prices, signals, strict=True))]
+    rows = [("A", (pd.Timestamp("2025-01-01") + pd.Timedelta(hours=i)).to_pydatetime(), float(p), s, float(z)) for i, (p, (s, z)) in enumerate(zip(prices, signals, strict=True))]
     return bt.run_backtest(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double, signal string, position_size double"), **options)
 
 
@@ -106,7 +106,7 @@ def test_scalar_features_and_images(spark):
 
 
 def test_asof_ties_go_backward(spark):
-    t = lambda h: pd.Timestamp("2025-01-01") + pd.Timedelta(hours=h)
+    t = lambda h: (pd.Timestamp("2025-01-01") + pd.Timedelta(hours=h)).to_pydatetime()
     left = spark.createDataFrame([(1, "k", t(2)), (2, "k", t(9)), (3, "z", t(1))], "id int, k string, ts timestamp_ntz")
     right = spark.createDataFrame([("k", t(1), 10.0), ("k", t(3), 30.0), ("k", t(8), 80.0)], "k string, ts timestamp_ntz, v double")
     assert {r.id: r.x for r in jn.asof_nearest(left, right, "k", "ts", "v", "x").collect()} == {1: 10.0, 2: 80.0, 3: None}
@@ -122,7 +122,7 @@ def test_graph_patterns():
 
 
 def test_signals(spark):
-    df = spark.createDataFrame([("A", pd.Timestamp("2025-01-01"), p) for p in (0.9, 0.1, 0.5)], "symbol string, ts timestamp_ntz, p_up double")
+    df = spark.createDataFrame([("A", pd.Timestamp("2025-01-01").to_pydatetime(), p) for p in (0.9, 0.1, 0.5)], "symbol string, ts timestamp_ntz, p_up double")
     out = {r.p_up: (r.signal, r.position_size) for r in sg.from_probability(df, threshold=0.6).collect()}
     assert out[0.9] == ("BUY", pytest.approx(0.08)) and out[0.1] == ("SELL", pytest.approx(-0.08)) and out[0.5][0] == "HOLD"
     assert ft.is_synthetic("mvrv_ratio_z") and not ft.is_synthetic("spread_pct") and not ft.is_synthetic("hash_rate_z") and ft.is_synthetic("spread_zscore_20")
