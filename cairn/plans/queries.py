@@ -42,7 +42,8 @@ def _frame(s, d):
 
 
 def _ready(s, d, horizon=24):
-    return ft.add_targets(ft.base_features(_bars(s, d)), horizon)
+    # read many times by fits: written once, which also keeps the later plans short
+    return Stored(s).put(ft.add_targets(ft.base_features(_bars(s, d)), horizon), "ready")
 
 
 # bars, features, targets
@@ -490,7 +491,7 @@ def regime_rollup(s, d):
 
 
 def _clouds(s, d, stride=5):
-    f = ft.base_features(_bars(s, d))
+    f = Stored(s).put(ft.base_features(_bars(s, d)), "features")
     w = W.partitionBy("symbol").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
     one = lambda c: F.when(F.stddev_pop(c).over(w) == 0, 1.0).otherwise(F.stddev_pop(c).over(w))
     centre, scale = F.array(*[F.avg(c).over(w) for c in ft.TDA_FEATURES]), F.array(*[one(c) for c in ft.TDA_FEATURES])
