@@ -465,8 +465,15 @@ def similar_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
 
 def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each component, that of the smallest doc_id (one row of it); rows without words all stay."""
-    found = similar_components(docs, doc_id=doc_id, text=text, **options)
-    key = fresh(docs, "lost_id")
-    lost = found.filter("n_shingles > 0 and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(lost, F.col(doc_id).eqNullSafe(F.col(key)), "left_anti")
+    """One document of each component, that of the smallest doc_id; rows without words all stay.
+
+    A document is an id with a text, so an id that has other texts too, or a null id, loses
+    only what is a copy.  Null ids come last.  Rows alike in both are one document and stay together.
+    """
+    name, digest = fresh(docs, "document"), fresh(docs, "text_digest")
+    # null ids come after all others
+    document = F.struct(F.col(doc_id).isNull().alias("anonymous"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("digest"))
+    found = similar_components(docs.select(document.alias(name), F.col(text)), doc_id=name, text=text, **options)
+    lost = found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id.id").alias(name), F.col("doc_id.digest").alias(digest)).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col(name)) & (F.xxhash64(F.col(text).cast("string")) == F.col(digest))
+    return docs.join(lost, same, "left_anti")
