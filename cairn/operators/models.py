@@ -16,32 +16,37 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .homology import RESOLUTION, image_bounds, persistence_images
 from .signals import from_probability
 from .validation import auc, direction_accuracy, fold_rows, temporal_split, walk_forward_split
 
 KEPT = ["symbol", "ts", "close", "future_return", "target"]
 
+#: Values that one task of a fit holds at least: rounds are short, so few rows go to few tasks.
+VALUES_PER_TASK = 1 << 22
+
 
 def classifier(kind: str, n: int, c: float = 1.0):
     """logistic, rf or gbm; other boosting libraries' models are stood in for by gbm."""
     if kind == "logistic":
-        return LogisticRegression(featuresCol="x", labelCol="target", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=50)
+        return LogisticRegression(featuresCol="_scaled", labelCol="target", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=50)
     if kind == "rf":
-        return RandomForestClassifier(featuresCol="x", labelCol="target", numTrees=50, maxDepth=6, minInstancesPerNode=20, seed=42)
+        return RandomForestClassifier(featuresCol="_scaled", labelCol="target", numTrees=50, maxDepth=6, minInstancesPerNode=20, seed=42)
     if kind in ("gbm", "xgboost", "lightgbm", "catboost"):
-        return GBTClassifier(featuresCol="x", labelCol="target", maxIter=20, maxDepth=3, stepSize=0.05, seed=42)
+        return GBTClassifier(featuresCol="_scaled", labelCol="target", maxIter=20, maxDepth=3, stepSize=0.05, seed=42)
     raise ValueError(f"unknown model {kind!r}")
 
 
 def fit(train: DataFrame, columns: list[str], kind: str, c: float = 1.0):
     n = train.count()
-    stages = [VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), classifier(kind, n, c)]
+    train = train.coalesce(-(-n * len(columns) // VALUES_PER_TASK) or 1)
+    stages = [VectorAssembler(inputCols=columns, outputCol="_assembled", handleInvalid="skip"), StandardScaler(inputCol="_assembled", outputCol="_scaled", withMean=True), classifier(kind, n, c)]
     return Pipeline(stages=stages).fit(train)
 
 
@@ -86,10 +91,10 @@ def _numbered(df: DataFrame, order) -> DataFrame:
     return keyed.withColumn("_i", F.row_number().over(W.partitionBy("_b").orderBy("_o"))).join(F.broadcast(sizes), "_b").withColumn("_n", F.col("_first") + F.col("_i")).drop("_o", "_b", "_i", "_first")
 
 
-def evaluate(predictions: DataFrame, threshold: float = 0.65) -> DataFrame:
-    """(fold, symbol, n_signals, n_correct, direction_accuracy, auc)."""
-    acc = direction_accuracy(from_probability(predictions, threshold=threshold), ["fold", "symbol"])
-    return acc.join(auc(predictions, ["fold", "symbol"]), ["fold", "symbol"])
+def evaluate(predictions: DataFrame, threshold: float = 0.65, by: tuple[str, ...] = ("fold", "symbol")) -> DataFrame:
+    """(by..., n_signals, n_correct, direction_accuracy, auc)."""
+    acc = direction_accuracy(from_probability(predictions, threshold=threshold), list(by))
+    return acc.join(auc(predictions, list(by)), list(by))
 
 
 def grid(predictions: DataFrame, thresholds: list[float], filters: list[str]) -> DataFrame:
@@ -103,6 +108,39 @@ def grid(predictions: DataFrame, thresholds: list[float], filters: list[str]) ->
     return direction_accuracy(rows.withColumn("signal", signal), ["threshold", "vol_filter"])
 
 
+def ablate_images(df: DataFrame, columns: list[str], k: int = 5, horizon: int = 1, embargo: int = 0, kind: str = "logistic", c: float = 0.5) -> DataFrame:
+    """Predictions (condition, fold, ...) by columns, persistence images and both, from rows with diagrams h0 and h1.
+
+    The images' bounds come from each fold's purged train rows.  ``base_shuffled`` permutes the images
+    among the train rows; ``h0_only`` and ``h1_only`` see the images of one dimension.
+    """
+    rows = fold_rows(df, k, horizon, embargo).cache()
+    size = RESOLUTION * RESOLUTION
+    images = ["image_h0", "image_h1"]
+    conditions = {"base": columns, "images": images, "base_images": [*columns, *images], "base_shuffled": [*columns, *images], "h0_only": images[:1], "h1_only": images[1:]}
+    parts = []
+    for fold in range(k):
+        mine = rows.filter(F.col("fold") == fold)
+        facts = mine.filter("role = 'train'").agg(F.count_distinct("target").alias("k")).first()
+        if facts["k"] < 2:
+            continue
+        bounds = image_bounds(mine.filter("role = 'train'")).first()  # two numbers
+        seen = persistence_images(mine, (bounds["h0_top"], bounds["h1_top"]), ["fold", "role", *KEPT, *columns])
+        halves = [array_to_vector(F.slice("image", 1 + size * i, size)).alias(name) for i, name in enumerate(images)]
+        seen = seen.select("fold", "role", *KEPT, *columns, *halves).cache()
+        train, test = seen.filter("role = 'train'"), seen.filter("role = 'test'")
+        for name, used in conditions.items():
+            rows_of = permute(train, images, fold) if name == "base_shuffled" else train
+            model = fit(rows_of.select(*used, "target"), used, kind, c)
+            parts.append(predict(model, test).select(F.lit(name).alias("condition"), "fold", *KEPT, "p_up"))
+    if not parts:
+        raise ValueError("no fold has train rows of both targets")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def leave_one_out(df: DataFrame, columns: list[str], kind: str = "logistic") -> DataFrame:
     """Predictions of each symbol by a model of all others."""
     symbols = sorted(r["symbol"] for r in df.select("symbol").distinct().collect())  # one fit each anyway
@@ -113,8 +151,9 @@ def leave_one_out(df: DataFrame, columns: list[str], kind: str = "logistic") ->
     return out
 
 
-def holdout(df: DataFrame, columns: list[str], kind: str = "logistic", share: float = 0.8) -> DataFrame:
-    rows = temporal_split(df, share)
+def holdout(df: DataFrame, columns: list[str], kind: str = "logistic", share: float = 0.8, horizon: int = 0) -> DataFrame:
+    """Predictions of the last rows; train rows whose horizon reaches into them are left out."""
+    rows = temporal_split(df, share, horizon)
     model = fit(rows.filter("split = 'train'").select(*columns, "target"), columns, kind)
     return predict(model, rows.filter("split = 'holdout'")).select(F.lit(0).alias("fold"), *KEPT, "p_up")
 
@@ -179,8 +218,13 @@ def walk_forward(df: DataFrame, columns: list[str], horizon: int = 24, warmup: i
 MAX_MATRIX = 1 << 25
 
 
-def permutation_null(df: DataFrame, columns: list[str], rounds: int = 99, share: float = 0.8, threshold: float = 0.55, block: int = 168, seed: int = 0) -> DataFrame:
-    """(replicate, value): accuracy on the last rows after shuffling whole blocks of targets; replicate -1 is the real one."""
+def permutation_null(df: DataFrame, columns: list[str], rounds: int = 99, share: float = 0.8, threshold: float | tuple[float, ...] = 0.55, block: int = 168, seed: int = 0, horizon: int = 0) -> DataFrame:
+    """(replicate, value): accuracy on the last rows after shuffling whole blocks of targets; replicate -1 is the real one.
+
+    With several thresholds the value is the best accuracy among them, so the test covers the whole grid.
+    Train rows whose horizon reaches into the last rows are left out.
+    """
+    limits = threshold if isinstance(threshold, tuple) else (threshold,)
     spark = df.sparkSession
     ship_package(spark)
     n = df.count()
@@ -195,26 +239,27 @@ def permutation_null(df: DataFrame, columns: list[str], rounds: int = 99, share:
         for batch in batches:
             out = []
             for r in batch["replicate"]:
-                t, train = y.copy(), np.zeros(len(y), bool)
+                t, train, held = y.copy(), np.zeros(len(y), bool), np.zeros(len(y), bool)
                 for s, at in places.items():
-                    train[at[: int(len(at) * share)]] = True
+                    cut = int(len(at) * share)
+                    train[at[: max(cut - horizon, 0)]], held[at[cut:]] = True, True
                     if r >= 0:
                         rng = np.random.default_rng([seed, int(r), sum(map(ord, s))])
                         blocks = [at[i : i + block] for i in range(0, len(at), block)]
                         t[at] = y[np.concatenate([blocks[i] for i in rng.permutation(len(blocks))])]
-                p = Logistic().fit(x[train], t[train]).predict(x[~train])
-                sure = np.abs(p - 0.5) > threshold - 0.5
-                out.append(float(((p > 0.5) == (t[~train] == 1))[sure].mean()) if sure.any() else 0.5)
+                p = Logistic().fit(x[train], t[train]).predict(x[held])
+                right, sure = (p > 0.5) == (t[held] == 1), [np.abs(p - 0.5) > z - 0.5 for z in limits]
+                out.append(max(float(right[u].mean()) if u.any() else 0.5 for u in sure))
             yield pd.DataFrame({"replicate": batch["replicate"], "value": out})
 
     replicates = spark.range(-1, rounds).select(F.col("id").alias("replicate")).repartition(max(1, min(rounds, 64)))
     return replicates.mapInPandas(run, "replicate long, value double")
 
 
-def importance(df: DataFrame, groups: dict[str, list[str]], rounds: int = 5, share: float = 0.8) -> DataFrame:
+def importance(df: DataFrame, groups: dict[str, list[str]], rounds: int = 5, share: float = 0.8, horizon: int = 0) -> DataFrame:
     """(feature_group, feature, importance): fall of holdout accuracy when a column is permuted."""
     columns = [c for cols in groups.values() for c in cols]
-    rows = temporal_split(df, share)
+    rows = temporal_split(df, share, horizon)
     model = fit(rows.filter("split = 'train'").select(*columns, "target"), columns, "logistic")
     test = rows.filter("split = 'holdout'").select("symbol", "ts", "target", *columns).cache()
     right = lambda d: F.avg((F.col("prediction") == F.col("target")).cast("double"))
@@ -230,15 +275,15 @@ def importance(df: DataFrame, groups: dict[str, list[str]], rounds: int = 5, sha
     return every.groupBy("feature").agg(F.avg("a").alias("a")).join(named, "feature").crossJoin(base).select("feature_group", "feature", (F.col("base") - F.col("a")).alias("importance"))
 
 
-def ensemble(df: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("logistic", "rf", "gbm")) -> DataFrame:
+def ensemble(df: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("logistic", "rf", "gbm"), horizon: int = 0) -> DataFrame:
     """Stacked predictions of the last rows: base models on the first, a logistic model of their outputs on the middle."""
-    rows = walk_forward_split(df)
-    scored = rows.filter("split <> 'train'")
+    rows = walk_forward_split(df, gap=horizon)
+    scored = rows.filter("split in ('val', 'test')")
     names = []
     for i, kind in enumerate(kinds):
         model = fit(rows.filter("split = 'train'").select(*columns, "target"), columns, kind)
         name = f"p_{kind}_{i}"
-        scored = predict(model, scored).withColumnRenamed("p_up", name).drop("raw", "x", "rawPrediction", "probability", "prediction")
+        scored = predict(model, scored).withColumnRenamed("p_up", name).drop("_assembled", "_scaled", "rawPrediction", "probability", "prediction")
         names.append(name)
     scored = scored.cache()
     meta = fit(scored.filter("split = 'val'").select(*names, "target"), names, "logistic")
@@ -246,12 +291,12 @@ def ensemble(df: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("logis
     return out.select(F.lit(0).alias("fold"), *KEPT, *names, "p_up")
 
 
-def regime_adaptive(df: DataFrame, columns: list[str], least: int = 30, share: float = 0.8) -> DataFrame:
+def regime_adaptive(df: DataFrame, columns: list[str], least: int = 30, share: float = 0.8, horizon: int = 0) -> DataFrame:
     """Predictions by a model of the row's volatility regime, or by the global one where a regime is too small.
 
     Cuts come from the train rows; the three regimes are fitted in parallel tasks.
     """
-    rows = temporal_split(df, share)
+    rows = temporal_split(df, share, horizon)
     cuts = rows.filter("split = 'train'").agg(F.percentile("rv_20", F.lit(0.33)).alias("lo"), F.percentile("rv_20", F.lit(0.66)).alias("hi"))
     rows = rows.crossJoin(F.broadcast(cuts)).withColumn("regime", F.when(F.col("rv_20") < F.col("lo"), 0).when(F.col("rv_20") >= F.col("hi"), 2).otherwise(1)).drop("lo", "hi").cache()
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'holdout'")

@@ -61,16 +61,25 @@ def from_probability(df: DataFrame, p: str = "p_up", threshold: float = 0.65, mo
     return _signals(df, F.col(p) > threshold, F.col(p) < 1.0 - threshold, size, -size)
 
 
-def from_topology(df: DataFrame, height: str = "H1_c1_norm", entropy: str = "H1_entropy", rise: float = 1.5, drop: float = -1.0, confidence: float = 0.4, most: float = 0.5, lookback: int = 20) -> DataFrame:
-    """Trades on jumps of the largest loop, sized by the confidence that the entropy's calm gives."""
+def topology_scores(df: DataFrame, height: str = "H1_c1_norm", entropy: str = "H1_entropy", lookback: int = 20) -> DataFrame:
+    """Adds c1_zscore, entropy_zscore, drift and confidence, which don't depend on thresholds."""
     z = lambda c: F.coalesce(ratio(F.col(c) - rolling(F.col(c), lookback, F.avg, 5), rolling(F.col(c), lookback, F.stddev_samp, 5)), F.lit(0.0))
     out = df.withColumns({"c1_zscore": z(height), "entropy_zscore": z(entropy), "drift": F.coalesce(ratio(F.col("close"), F.lag("close", 5).over(series())) - 1.0, F.lit(0.0))})
-    out = out.withColumn("confidence", 1.0 / (1.0 + F.abs("entropy_zscore")))
+    return out.withColumn("confidence", 1.0 / (1.0 + F.abs("entropy_zscore")))
+
+
+def topology_rule(scores: DataFrame, rise: Column | float = 1.5, drop: Column | float = -1.0, confidence: Column | float = 0.4, most: float = 0.5) -> DataFrame:
+    """Signals of scored rows; a threshold may be a column, so that one table can hold many settings."""
     jump, sure = F.col("c1_zscore") > rise, F.col("confidence") > confidence
     buy = jump & sure & (F.col("drift") >= 0)
     sell = (F.col("c1_zscore") < drop) | (jump & (F.col("drift") < 0))
     up = F.least(F.lit(most), F.col("confidence") * most * F.abs("c1_zscore") / 2.0)
-    return _signals(out, buy, sell, up, -F.least(F.lit(most), F.col("confidence") * most)).drop("drift")
+    return _signals(scores, buy, sell, up, -F.least(F.lit(most), F.col("confidence") * most))
+
+
+def from_topology(df: DataFrame, height: str = "H1_c1_norm", entropy: str = "H1_entropy", lookback: int = 20, **thresholds) -> DataFrame:
+    """Trades on jumps of the largest loop, sized by the confidence that the entropy's calm gives."""
+    return topology_rule(topology_scores(df, height, entropy, lookback), **thresholds).drop("drift")
 
 
 # --- regimes ----------------------------------------------------------------------------------

@@ -17,14 +17,22 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumns({"idx": (F.row_number().over(series()) - 1).cast("long"), "n": F.count("*").over(W.partitionBy("symbol"))})
 
 
-def temporal_split(df: DataFrame, share: float = 0.8) -> DataFrame:
-    """split: ``train`` for the first share of each symbol's rows, then ``holdout``."""
-    return numbered(df).withColumn("split", F.when(F.col("idx") < F.floor(F.col("n") * share), "train").otherwise("holdout")).drop("n")
+def temporal_split(df: DataFrame, share: float = 0.8, gap: int = 0) -> DataFrame:
+    """split: ``train`` for the first share of each symbol's rows, then ``holdout``.
+
+    The last ``gap`` rows before the cut, whose targets reach beyond it, are ``gap``.
+    """
+    cut = F.floor(F.col("n") * share)
+    split = F.when(F.col("idx") + gap < cut, "train").when(F.col("idx") < cut, "gap").otherwise("holdout")
+    return numbered(df).withColumn("split", split).drop("n")
 
 
-def walk_forward_split(df: DataFrame, train: float = 0.7, val: float = 0.15) -> DataFrame:
+def walk_forward_split(df: DataFrame, train: float = 0.7, val: float = 0.15, gap: int = 0) -> DataFrame:
+    """split: ``train``, ``val`` and ``test`` in order; the last ``gap`` rows before each cut are ``gap``."""
     a, b = F.floor(F.col("n") * train), F.floor(F.col("n") * (train + val))
-    return numbered(df).withColumn("split", F.when(F.col("idx") < a, "train").when(F.col("idx") < b, "val").otherwise("test")).drop("n")
+    idx = F.col("idx")
+    split = F.when(idx + gap < a, "train").when(idx < a, "gap").when(idx + gap < b, "val").when(idx < b, "gap").otherwise("test")
+    return numbered(df).withColumn("split", split).drop("n")
 
 
 def kfold(df: DataFrame, k: int = 5, min_train: int | None = None) -> DataFrame:
@@ -97,10 +105,14 @@ def block_shuffle(df: DataFrame, value: str = "target", block: int = 168, seed:
     return rows.drop("block", "n").join(moved, ["symbol", "idx"])
 
 
-def permutation_p(observed: DataFrame, null: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """(k + 1) / (B + 1) with k null values at or above the observed one."""
+def permutation_p(observed: DataFrame, null: DataFrame, by: list[str], value: str = "value", require_null: bool = False) -> DataFrame:
+    """(k + 1) / (B + 1) with k null values at or above the observed one; without any it is 1, or an error if they are required."""
     o = observed.select(*by, F.col(value).alias("observed"))
-    return o.join(null.select(*by, value), by, "left").groupBy(*by, "observed").agg(F.count(value).alias("b"), ((F.count_if(F.col(value) >= F.col("observed")) + 1) / (F.count(value) + 1)).alias("p_value"))
+    b = F.count(value)
+    p = (F.count_if(F.col(value) >= F.col("observed")) + 1) / (b + 1)
+    if require_null:
+        p = F.when(b == 0, F.raise_error(F.lit("no null values to compare with")).cast("double")).otherwise(p)
+    return o.join(null.select(*by, value), by, "left").groupBy(*by, "observed").agg(b.alias("b"), p.alias("p_value"))
 
 
 def bootstrap_sharpe(returns: DataFrame, value: str = "r", rounds: int = 1000, seed: int = 42, periods: int = 365, risk_free: float = 0.02, least: int = 10) -> DataFrame:

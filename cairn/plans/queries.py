@@ -16,6 +16,7 @@ from ..operators import joins as jn
 from ..operators import mapper as mp
 from ..operators import models as ml
 from ..operators import signals as sg
+from ..operators import tuning as tu
 from ..operators import validation as va
 from ..session import Stored
 from ..sources import tables as tb
@@ -542,6 +543,30 @@ def rule_signals_z(s, d):
     return sg.from_topology(f, "rv_20", "bb_width").select("symbol", "ts", "c1_zscore", "entropy_zscore", "confidence", "signal", "position_size")
 
 
+def _scored(s, d):
+    # the rule on volatility and band width, as in rule_signals_z; read by the tuning and by the test
+    f = ft.add_targets(ft.base_features(_bars(s, d)), 24)
+    return Stored(s).put(sg.topology_scores(f, "rv_20", "bb_width").select("symbol", "ts", "close", "future_return", "c1_zscore", "entropy_zscore", "drift", "confidence"), "scored")
+
+
+@query
+def rule_tuning(s, d):
+    f = _scored(s, d)
+    return tu.tuned_test(f, tu.best_rise(f))
+
+
+@query
+def rule_kfold(s, d):
+    f = _scored(s, d)
+    return tu.tuned_folds(f, tu.best_rise(f), 5, 24)
+
+
+@query
+def rule_across_symbols(s, d):
+    f = _scored(s, d)
+    return tu.across_symbols(f, tu.best_rise(f), "click")
+
+
 # Mapper
 
 
@@ -642,7 +667,7 @@ def loao_logistic(s, d):
 
 @query
 def holdout_eval(s, d):
-    return ml.evaluate(ml.holdout(_ready(s, d), ft.ML_FEATURES), 0.55)
+    return ml.evaluate(ml.holdout(_ready(s, d), ft.ML_FEATURES, horizon=24), 0.55)
 
 
 @query
@@ -650,6 +675,13 @@ def ablation_shuffled(s, d):
     return ml.evaluate(ml.cross_validate(_ready(s, d), ft.ML_FEATURES, "logistic", 3, 24, 5, shuffled=["rv_20", "bb_width"]), 0.55)
 
 
+@query
+def ablation_images(s, d):
+    stored = Stored(s)
+    f, dg = _ready(s, d), stored.put(_diagrams(s, d, 1).select("symbol", "ts", "h0", "h1"), "diagrams")
+    return ml.evaluate(ml.ablate_images(f.join(dg, ["symbol", "ts"]), ft.TDA_FEATURES, 2, 24), 0.55, ("condition", "fold", "symbol"))
+
+
 @query
 def walkforward(s, d):
     return ml.walk_forward(_ready(s, d), ft.ML_FEATURES, 24, 80, 48)
@@ -657,23 +689,35 @@ def walkforward(s, d):
 
 @query
 def permutation_null(s, d):
-    return ml.permutation_null(_ready(s, d), ft.TDA_FEATURES, 19)
+    return ml.permutation_null(_ready(s, d), ft.TDA_FEATURES, 19, horizon=24)
+
+
+@query
+def permutation_grid(s, d):
+    return ml.permutation_null(_ready(s, d), ft.TDA_FEATURES, 19, threshold=(0.5, 0.55, 0.6), horizon=24)
+
+
+@query
+def permutation_grid_p(s, d):
+    n = ml.permutation_null(_ready(s, d), ft.TDA_FEATURES, 19, threshold=(0.5, 0.55, 0.6), block=24, horizon=24)
+    n = Stored(s).put(n.withColumn("test", F.lit("grid")), "null")
+    return va.permutation_p(n.filter("replicate < 0"), n.filter("replicate >= 0"), ["test"], require_null=True)
 
 
 @query
 def feature_importance(s, d):
-    out = ml.importance(_ready(s, d), {"volatility": ["rv_20", "gk_vol_20"], "trend": ["macd_normalized", "trend_strength"]}, 2)
+    out = ml.importance(_ready(s, d), {"volatility": ["rv_20", "gk_vol_20"], "trend": ["macd_normalized", "trend_strength"]}, 2, horizon=24)
     return out.groupBy("feature_group").agg(F.avg("importance").alias("mean_importance"), F.sum("importance").alias("sum_importance"))
 
 
 @query
 def stacked_ensemble(s, d):
-    return ml.ensemble(_ready(s, d), ft.TDA_FEATURES, ("logistic", "rf")).select("symbol", "ts", "target", "p_up")
+    return ml.ensemble(_ready(s, d), ft.TDA_FEATURES, ("logistic", "rf"), 24).select("symbol", "ts", "target", "p_up")
 
 
 @query
 def regime_adaptive(s, d):
-    return ml.accuracy_by_regime(ml.regime_adaptive(_ready(s, d), ft.TDA_FEATURES))
+    return ml.accuracy_by_regime(ml.regime_adaptive(_ready(s, d), ft.TDA_FEATURES, horizon=24))
 
 
 # streaming

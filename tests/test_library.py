@@ -11,7 +11,9 @@ from cairn.operators import features as ft
 from cairn.operators import homology as hom
 from cairn.operators import joins as jn
 from cairn.operators import mapper as mp
+from cairn.operators import models as ml
 from cairn.operators import signals as sg
+from cairn.operators import tuning as tu
 from cairn.operators import validation as va
 
 
@@ -126,3 +128,71 @@ def test_signals(spark):
     out = {r.p_up: (r.signal, r.position_size) for r in sg.from_probability(df, threshold=0.6).collect()}
     assert out[0.9] == ("BUY", pytest.approx(0.08)) and out[0.1] == ("SELL", pytest.approx(-0.08)) and out[0.5][0] == "HOLD"
     assert ft.is_synthetic("mvrv_ratio_z") and not ft.is_synthetic("spread_pct") and not ft.is_synthetic("hash_rate_z") and ft.is_synthetic("spread_zscore_20")
+
+
+def test_splits_keep_targets_apart(spark):
+    df = spark.createDataFrame(series(100), SCHEMA)
+    got = {r.split: (r.a, r.b) for r in va.temporal_split(df, 0.8, 10).groupBy("split").agg(F.min("idx").alias("a"), F.max("idx").alias("b")).collect()}
+    assert got == {"train": (0, 69), "gap": (70, 79), "holdout": (80, 99)}
+    got = {r.split: r.n for r in va.walk_forward_split(df, gap=5).groupBy("split").agg(F.count("*").alias("n")).collect()}
+    assert got == {"train": 65, "val": 10, "gap": 10, "test": 15}
+    assert {r.split for r in va.walk_forward_split(df).select("split").distinct().collect()} == {"train", "val", "test"}
+
+
+def scores(spark, n=200):
+    frames = []
+    for k, symbol in enumerate("AB"):
+        frames.append(series(n, 42 + k).assign(symbol=symbol))
+    f = ft.add_targets(ft.base_features(spark.createDataFrame(pd.concat(frames), SCHEMA)), 3)
+    return sg.topology_scores(f, "rv_20", "bb_width")
+
+
+def test_tuning_picks_the_best_validation_sharpe(spark):
+    f = scores(spark).cache()
+    best = {r.symbol: r for r in tu.best_rise(f).collect()}
+    val = va.walk_forward_split(f).filter("split = 'val'")
+    for symbol in "AB":
+        tried = []
+        for rise in tu.RISES:
+            signals = sg.topology_rule(val.filter(F.col("symbol") == symbol), rise=rise)
+            tried.append((bt.metrics(bt.run_backtest(signals), signals).first().sharpe_ratio, rise))
+        top = max(s for s, _ in tried)
+        assert best[symbol].val_sharpe == pytest.approx(top)
+        assert best[symbol].rise == min(r for s, r in tried if s == pytest.approx(top, abs=1e-12))
+    b = tu.best_rise(f)
+    n = {r.symbol: r.n_signals for r in tu.tuned_folds(f, b, 3, 3).collect()}
+    every = {r.symbol: r.n_signals for r in tu.tuned_folds(f, b, 3, 3, with_val=True).collect()}
+    used = val.join(b, "symbol").withColumn("s", F.lit(0))
+    in_val = {r.symbol: r.n for r in sg.topology_rule(used, rise=F.col("rise")).filter("signal <> 'HOLD'").groupBy("symbol").agg(F.count("*").alias("n")).collect()}
+    folds = va.fold_rows(va.walk_forward_split(f), 3, 3).filter("role = 'test' and split = 'val'").groupBy("symbol").agg(F.count("*").alias("n")).collect()
+    whole = {r.symbol: r.n for r in val.groupBy("symbol").agg(F.count("*").alias("n")).collect()}
+    assert {r.symbol: r.n for r in folds} == whole  # the folds pass over all validation rows
+    assert all(every[s] - n[s] == in_val.get(s, 0) for s in "AB")
+    assert {r.symbol for r in tu.across_symbols(f, b, "A").collect()} == {"B"}
+
+
+def test_permutation_p_can_require_a_null(spark):
+    o = spark.createDataFrame([("t", 0.6)], "test string, value double")
+    null = spark.createDataFrame([("t", 0.5), ("t", 0.7), ("t", 0.6)], "test string, value double")
+    assert va.permutation_p(o, null, ["test"], require_null=True).first().p_value == 0.75
+    assert va.permutation_p(o, null.limit(0), ["test"]).first().p_value == 1.0
+    with pytest.raises(Exception, match="no null values"):
+        va.permutation_p(o, null.limit(0), ["test"], require_null=True).collect()
+
+
+def test_grid_null_is_the_best_of_its_thresholds(spark):
+    f = ft.add_targets(ft.base_features(spark.createDataFrame(series(200), SCHEMA)), 3)
+    run = lambda t: {r.replicate: r.value for r in ml.permutation_null(f, ["rv_20", "bb_width"], 4, threshold=t, block=12, horizon=3).collect()}
+    both, one, two = run((0.5, 0.55)), run(0.5), run(0.55)
+    assert set(both) == {-1, 0, 1, 2, 3} and all(both[r] == max(one[r], two[r]) for r in both)
+
+
+def test_image_ablation(spark):
+    r = np.random.RandomState(1)
+    f = ft.add_targets(spark.createDataFrame(series(160), SCHEMA), 3).withColumn("x", F.col("close"))
+    clouds = spark.createDataFrame([(i, r.rand(8, 2).tolist()) for i in range(160)], "i long, points array<array<double>>")
+    rows = va.numbered(f).join(clouds, F.col("idx") == F.col("i")).select("symbol", "ts", "close", "future_return", "target", "x", "points")
+    d = hom.diagrams(rows, ["symbol", "ts", "close", "future_return", "target", "x"])
+    out = ml.ablate_images(d, ["x"], 2, 3).toPandas()
+    assert set(out.condition) == {"base", "images", "base_images", "base_shuffled", "h0_only", "h1_only"}
+    assert out.groupby("condition").ts.nunique().nunique() == 1 and out.p_up.between(0, 1).all()
