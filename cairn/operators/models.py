@@ -276,7 +276,10 @@ def importance(df: DataFrame, groups: dict[str, list[str]], rounds: int = 5, sha
 
 
 def ensemble(df: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("logistic", "rf", "gbm"), horizon: int = 0) -> DataFrame:
-    """Stacked predictions of the last rows: base models on the first, a logistic model of their outputs on the middle."""
+    """Stacked predictions of the last rows: base models on the first, a logistic model of their outputs on the middle.
+
+    Middle rows without both targets, as of short series, teach nothing: the base models then count alike.
+    """
     rows = walk_forward_split(df, gap=horizon)
     scored = rows.filter("split in ('val', 'test')")
     names = []
@@ -286,8 +289,11 @@ def ensemble(df: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("logis
         scored = predict(model, scored).withColumnRenamed("p_up", name).drop("_assembled", "_scaled", "rawPrediction", "probability", "prediction")
         names.append(name)
     scored = scored.cache()
-    meta = fit(scored.filter("split = 'val'").select(*names, "target"), names, "logistic")
-    out = predict(meta, scored.filter("split = 'test'"))
+    val, test = scored.filter("split = 'val'").select(*names, "target"), scored.filter("split = 'test'")
+    if val.agg(F.count_distinct("target")).first()[0] == 2:
+        out = predict(fit(val, names, "logistic"), test)
+    else:
+        out = test.withColumn("p_up", sum((F.col(n) for n in names), F.lit(0.0)) / len(names))
     return out.select(F.lit(0).alias("fold"), *KEPT, *names, "p_up")
 
 

@@ -196,3 +196,11 @@ def test_image_ablation(spark):
     out = ml.ablate_images(d, ["x"], 2, 3).toPandas()
     assert set(out.condition) == {"base", "images", "base_images", "base_shuffled", "h0_only", "h1_only"}
     assert out.groupby("condition").ts.nunique().nunique() == 1 and out.p_up.between(0, 1).all()
+
+
+def test_ensemble_without_middle_rows_is_the_mean(spark):
+    f = ft.add_targets(ft.base_features(spark.createDataFrame(series(160), SCHEMA)), 3)
+    out = ml.ensemble(f, ["rv_20", "bb_width"], ("logistic", "rf"), horizon=60).toPandas()
+    np.testing.assert_allclose(out.p_up, (out.p_logistic_0 + out.p_rf_1) / 2)
+    fitted = ml.ensemble(f, ["rv_20", "bb_width"], ("logistic", "rf"), horizon=3).toPandas()
+    assert len(fitted) == len(out) > 0 and fitted.p_up.between(0, 1).all()
