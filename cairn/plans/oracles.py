@@ -219,5 +219,64 @@ ORACLES: dict[str, str] = {
 }
 
 
+_IND = f"ind AS (SELECT *, 50.0 + 50.0 * rsi_centered AS rsi, sma20 AS bb_mid, sma20 + 2 * sd20 AS bb_high, sma20 - 2 * sd20 AS bb_low, 4.0 * sd20 AS bb_span, macd_line AS macd, macd_line - macd_signal AS macd_diff, {_div('close', _lag('close'))} - 1.0 AS return_1d FROM feat)"
+_DAY = ["close", "rsi", "macd", "macd_signal", "macd_diff", "bb_high", "bb_low", "bb_mid", "bb_width", "return_1d", "log_return", "volatility_10d"]
+_HOUR = ["close", "rsi", "macd", "macd_signal", "bb_high", "bb_low", "bb_mid", "return_1", "log_return", "volatility_20", "volume_ma", "volume_ratio"]
+
+
+def _whole(columns: list[str]) -> str:
+    return " AND ".join(f"{c} IS NOT NULL" for c in columns)
+
+
+def _zero_z(c: str) -> str:
+    return "coalesce(" + _div(f"{c} - ({_roll(c, 20, 'avg', 5)})", _roll(c, 20, "stddev_samp", 5)) + ", 0.0)"
+
+
+_SCORES = f"sc AS (SELECT *, 1.0 / (1.0 + abs(entropy_zscore)) AS confidence FROM (SELECT *, {_zero_z('rv_20')} AS c1_zscore, {_zero_z('bb_width')} AS entropy_zscore, coalesce({_div('close', _lag('close', 5))} - 1.0, 0.0) AS drift FROM base))"
+_RULE = "ru AS (SELECT *, CASE WHEN c1_zscore > 1.5 AND confidence > 0.4 AND drift >= 0 THEN 'BUY' WHEN c1_zscore < -1.0 OR (c1_zscore > 1.5 AND drift < 0) THEN 'SELL' ELSE 'HOLD' END AS signal FROM sc)"
+_METRICS = """SELECT *, coalesce(equity / nullif(lag(equity) OVER w, 0.0) - 1.0, 0.0) AS r, (equity - max(equity) OVER w) / max(equity) OVER w AS dd, CASE WHEN closed THEN gain / c_price END AS t,
+  CASE WHEN closed THEN gain * abs(c_units) - abs(c_units) * exit_price * 0.00075::DOUBLE - c_fee END AS pnl
+  FROM (SELECT *, CASE WHEN c_units > 0 THEN exit_price - c_price ELSE c_price - exit_price END AS gain FROM bt) WINDOW w AS (PARTITION BY symbol ORDER BY idx)"""
+_METRIC_COLUMNS = ["final_equity", "total_return_pct", "win_rate", "avg_return_per_trade_pct", "avg_win_pct", "avg_loss_pct", "profit_factor", "max_drawdown_pct", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "buy_hold_return_pct"]
+
+ORACLES |= {
+    "daily_indicators": _feat(f"SELECT symbol, ts, {_r(*_DAY)} FROM (SELECT * REPLACE (bb_span AS bb_width), {_roll('return_1d', 10, 'stddev_samp')} AS volatility_10d FROM ind) WHERE {_whole(_DAY)}", _IND),
+    "hourly_indicators": _feat(f"SELECT symbol, ts, {_r(*_HOUR)} FROM (SELECT *, return_1d AS return_1, {_roll('return_1d', 20, 'stddev_samp')} AS volatility_20, {_roll('volume', 20, 'avg')} AS volume_ma, coalesce({_div('volume', _roll('volume', 20, 'avg'))}, 1.0) AS volume_ratio FROM ind) WHERE {_whole(_HOUR)}", _IND),
+    "auc_by_symbol": _feat(
+        "SELECT symbol, round(CASE WHEN pos > 0 AND neg > 0 THEN (s - pos * (pos + 1) / 2.0::DOUBLE) / (pos * neg) ELSE 0.5 END, 6) + 0.0::DOUBLE AS auc FROM (SELECT symbol, count(*) FILTER (target = 1) AS pos, count(*) FILTER (target = 0) AS neg, sum(rk) FILTER (target = 1) AS s FROM q GROUP BY symbol)",
+        _targets("feat"),
+        "q AS (SELECT symbol, target, (rank() OVER (PARTITION BY symbol ORDER BY p) + (count(*) OVER (PARTITION BY symbol, p) - 1) / 2.0)::DOUBLE AS rk FROM (SELECT *, 1.0 / (1.0 + exp(-2.0 * rsi_centered)) AS p FROM t))",
+    ),
+    "walk_forward_split": _bars(f"SELECT symbol, split, count(*) AS n, min(ts) AS first_ts FROM (SELECT symbol, ts, CASE WHEN i < floor(n * 0.7::DOUBLE) THEN 'train' WHEN i < floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM (SELECT *, row_number() {_W} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars)) GROUP BY 1, 2"),
+    "fold_roles": _bars(
+        "SELECT symbol, CAST(fold AS INTEGER) AS fold, role, count(*) AS n, round(avg(close), 6) + 0.0 AS avg_close FROM (SELECT k.symbol, fold, close, CASE WHEN i + 24 < train_end THEN 'train' WHEN i >= train_end AND i < test_end THEN 'test' END AS role FROM b JOIN k ON b.symbol = k.symbol WHERE n >= 55) WHERE role IS NOT NULL GROUP BY 1, 2, 3",
+        _KFOLD,
+        f"b AS (SELECT *, row_number() {_W} - 1 AS i FROM bars)",
+    ),
+    "weighted_accuracy": _bars(
+        "SELECT symbol, round(coalesce(sum(coalesce(good / nullif(n, 0)::DOUBLE, 0.5) * n) / nullif(sum(n), 0)::DOUBLE, 0.5), 6) + 0.0 AS weighted_accuracy, CAST(sum(n) AS BIGINT) AS n_signals FROM f GROUP BY symbol",
+        _targets(),
+        _momentum("t"),
+        f"f AS (SELECT symbol, regime, count(*) FILTER (signal <> 'HOLD') AS n, count(*) FILTER ((signal = 'BUY' AND future_return > 0) OR (signal = 'SELL' AND future_return < 0)) AS good FROM (SELECT *, least((row_number() {_W} - 1) // greatest(1, count(*) OVER (PARTITION BY symbol) // 5), 4) AS regime FROM m) GROUP BY 1, 2)",
+    ),
+    "verdicts": _bars("SELECT symbol, CASE WHEN points >= 3 THEN 'PASS' WHEN points >= 0 THEN 'MARGINAL' ELSE 'FAIL' END AS verdict FROM (SELECT symbol, CASE WHEN direction_accuracy > 0.5 THEN 3 ELSE 0 END + CASE WHEN n_signals > 100 THEN 1 ELSE 0 END - CASE WHEN direction_accuracy < 0.5 THEN 2 ELSE 0 END AS points FROM a)", _targets(), _momentum("t"), _ACC),
+    "t_two_groups": _bars("SELECT n_a, n_b, round((m_a - m_b) / nullif(sqrt(((n_a - 1) * v_a + (n_b - 1) * v_b) / (n_a + n_b - 2) * (1.0::DOUBLE / n_a + 1.0::DOUBLE / n_b)), 0.0), 6) + 0.0 AS t_stat FROM (SELECT " + ", ".join(f"count(future_return) FILTER (symbol = '{g}') AS n_{x}, avg(future_return) FILTER (symbol = '{g}') AS m_{x}, var_samp(future_return) FILTER (symbol = '{g}') AS v_{x}" for x, g in (("a", "click"), ("b", "view"))) + " FROM t)", _targets()),
+    "rule_signals_z": _feat(
+        f"SELECT symbol, ts, {_r('c1_zscore', 'entropy_zscore', 'confidence')}, signal, round(CASE signal WHEN 'BUY' THEN least(0.5, confidence * 0.5 * abs(c1_zscore) / 2.0) WHEN 'SELL' THEN -least(0.5, confidence * 0.5) ELSE 0.0 END, 6)::DOUBLE + 0.0 AS position_size FROM ru",
+        _BASE,
+        _SCORES,
+        _RULE,
+    ),
+    "backtest_metrics": f"""WITH RECURSIVE {_BARS}, {_backtest(False)}, x AS ({_METRICS}),
+y AS (SELECT symbol, count(*) AS n, arg_max(equity, idx) AS final_equity, arg_min(equity, idx) AS first_equity, count(t) AS total_trades, count(*) FILTER (t > 0) AS winning_trades, count(*) FILTER (t < 0) AS losing_trades,
+  avg(t) * 100.0 AS avg_return_per_trade_pct, coalesce(avg(t) FILTER (t > 0) * 100.0, 0.0) AS avg_win_pct, coalesce(avg(t) FILTER (t < 0) * 100.0, 0.0) AS avg_loss_pct,
+  coalesce(sum(pnl) FILTER (t > 0), 0.0) / nullif(abs(sum(pnl) FILTER (t < 0)), 0.0) AS profit_factor, min(dd) AS worst, avg(r) - 0.02::DOUBLE / 365 AS excess, stddev_samp(r) AS sd, stddev_samp(r) FILTER (r < 0) AS down FROM x GROUP BY symbol),
+h AS (SELECT symbol, (arg_max(close, ts) / arg_min(close, ts) - 1.0) * 100.0 AS buy_hold_return_pct FROM bars GROUP BY symbol)
+SELECT symbol, total_trades, winning_trades, losing_trades, {_r(*_METRIC_COLUMNS)} FROM (SELECT y.*, buy_hold_return_pct, (final_equity / 10000.0 - 1.0) * 100.0 AS total_return_pct, winning_trades / nullif(total_trades, 0)::DOUBLE AS win_rate, worst * 100.0 AS max_drawdown_pct,
+  CASE WHEN sd > 0 THEN excess / sd * sqrt(365.0) ELSE 0.0 END AS sharpe_ratio, CASE WHEN down > 0 THEN excess / down * sqrt(365.0) ELSE 0.0 END AS sortino_ratio, CASE WHEN worst < 0 THEN (pow(final_equity / first_equity, 365.0 / n) - 1.0) / abs(worst) ELSE 0.0 END AS calmar_ratio FROM y JOIN h USING (symbol))""",
+}
+
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
