@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..sources.tables import DELISTED
+
 _W = "OVER (PARTITION BY symbol ORDER BY ts)"
 
 _BARS = """
@@ -267,6 +269,32 @@ ORACLES |= {
         _SCORES,
         _RULE,
     ),
+    "rule_ladder": _feat(
+        "SELECT rule, symbol, n_signals, n_correct, round(coalesce(n_correct / nullif(n_signals, 0)::DOUBLE, 0.5), 6) + 0.0 AS direction_accuracy, "
+        f"round(CASE WHEN n_signals > 0 THEN {_P} ELSE 0.0 END, 6) + 0.0 AS share, round(CASE WHEN n_signals > 0 THEN greatest(0.0, {_MID} - {_SPREAD}) ELSE 0.0 END, 6) + 0.0 AS wilson_lower, round(CASE WHEN n_signals > 0 THEN least(1.0, {_MID} + {_SPREAD}) ELSE 0.0 END, 6) + 0.0 AS wilson_upper "
+        "FROM (SELECT rule, symbol, count(*) FILTER (signal <> 'HOLD') AS n_signals, count(*) FILTER ((signal = 'BUY' AND future_return > 0) OR (signal = 'SELL' AND future_return < 0)) AS n_correct FROM every_rule GROUP BY 1, 2)",
+        _BASE,
+        _targets("base"),
+        _momentum("t"),
+        f"q AS (SELECT *, coalesce({_div('close', _lag('close'))} - 1.0, 0.0) AS rn, avg(rv_20) OVER v AS mu, stddev_pop(rv_20) OVER v AS sd, ({_roll('close', 10, 'avg', 1)}) > ({_roll('close', 30, 'avg', 1)}) AS above, row_number() {_W} AS place FROM t WINDOW v AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING))",
+        f"q2 AS (SELECT *, {_lag('rn')} AS rb, {_lag('above')} AS was, CASE WHEN place > 100 THEN (rv_20 - mu) / CASE WHEN sd = 0 THEN 1.0 ELSE sd END END AS z FROM q)",
+        """every_rule AS (
+          SELECT 'momentum' AS rule, symbol, signal, future_return FROM m
+          UNION ALL SELECT 'vol_breakout', symbol, CASE WHEN z > 1.5 AND rb > 0 THEN 'BUY' WHEN z > 1.5 AND rb < 0 THEN 'SELL' ELSE 'HOLD' END, future_return FROM q2
+          UNION ALL SELECT 'ma_crossover', symbol, CASE WHEN above AND NOT was THEN 'BUY' WHEN NOT above AND was THEN 'SELL' ELSE 'HOLD' END, future_return FROM q2
+          UNION ALL SELECT 'buy_and_hold', symbol, CASE WHEN place = 1 THEN 'BUY' ELSE 'HOLD' END, future_return FROM q2
+          UNION ALL SELECT 'cash', symbol, 'HOLD', future_return FROM q2)""",
+    ),
+    "survivorship": _feat(
+        "SELECT symbol, ts, since IS NOT NULL AS is_delisted, round(coalesce(greatest(0.0::DOUBLE, date_diff('day', since, CAST(ts AS DATE)) / 30.0::DOUBLE), 0.0), 6) + 0.0 AS months_since_delisting, round(coalesce(spread, 0.5), 6) + 0.0 AS exchange_concentration "
+        f"FROM (SELECT CASE symbol WHEN 'view' THEN 'LUNA' WHEN 'click' THEN 'ICP' ELSE symbol END AS symbol, ts, {_roll('vol_zscore_20', 20, 'stddev_samp')} AS spread FROM feat) LEFT JOIN gone USING (symbol)",
+        "gone(symbol, since) AS (VALUES " + ", ".join(f"('{x}', DATE '{d}')" for x, d in DELISTED) + ")",
+    ),
+    "mapper_cover": f"""WITH a AS (SELECT c_nationkey, sum(o_totalprice) AS total, count(*) / count(DISTINCT CAST(o_orderdate AS DATE))::DOUBLE AS velocity, avg(o_totalprice) AS avg_size, max(o_totalprice) / avg(o_totalprice) AS max_to_avg, count(DISTINCT c_custkey)::DOUBLE AS counterparts FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+s AS (SELECT c_nationkey, count(DISTINCT l_suppkey)::DOUBLE AS suppliers FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+x AS (SELECT c_nationkey, sqrt({' + '.join(f"pow(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1.0 ELSE stddev_pop({c}) OVER () END, 2)" for c in ('total', 'velocity', 'avg_size', 'max_to_avg', 'counterparts', 'suppliers'))}) AS lens FROM a JOIN s USING (c_nationkey)),
+r AS (SELECT min(lens) AS lo, (max(lens) - min(lens)) / 8 AS step FROM x)
+SELECT c_nationkey, i AS interval, round(lens, 6) + 0.0 AS lens FROM x, r, range(0, 8) g(i) WHERE lens >= lo + i * step - 0.15::DOUBLE * step AND lens <= lo + i * step - 0.15::DOUBLE * step + 1.3::DOUBLE * step""",
     "backtest_metrics": f"""WITH RECURSIVE {_BARS}, {_backtest(False)}, x AS ({_METRICS}),
 y AS (SELECT symbol, count(*) AS n, arg_max(equity, idx) AS final_equity, arg_min(equity, idx) AS first_equity, count(t) AS total_trades, count(*) FILTER (t > 0) AS winning_trades, count(*) FILTER (t < 0) AS losing_trades,
   avg(t) * 100.0 AS avg_return_per_trade_pct, coalesce(avg(t) FILTER (t > 0) * 100.0, 0.0) AS avg_win_pct, coalesce(avg(t) FILTER (t < 0) * 100.0, 0.0) AS avg_loss_pct,
