@@ -254,3 +254,13 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     assert out.columns == [*corpus_pipeline.COLUMNS, "repeat"]
     ids = {r.doc_id for r in out.collect()}
     assert 5 not in ids and not ids & set(range(80, 120)) and not ids & {122, 123}
+
+
+def test_pipeline_links_at_five_words_and_four_fifths(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"v{i}" for i in range(60)]
+    near = [w if i not in (20, 21) else f"z{i}" for i, w in enumerate(words)]  # 5 words: 50 of 62; 3 words: 54 of 62
+    far = [w if i not in (20, 40) else f"y{i}" for i, w in enumerate(words)]  # 5 words: 46 of 66
+    texts = [" ".join(w) for w in (words, near, far)]
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs(spark, texts).drop("item_id", "verdict"), "").collect()} == {0, 2}
+    assert ngram_join.keep_one_of_each(docs(spark, texts)).count() == 3
