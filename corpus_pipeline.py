@@ -26,8 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their source go from the text."""
-    out = line_dedup.drop_boilerplate(docs.select(*COLUMNS))
+    """Lines that are boilerplate of their source go from the text; lines of copied pages are left to the next stage."""
+    out = line_dedup.drop_boilerplate(docs.select(*COLUMNS), unlike_pages=True)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(*COLUMNS)
 
 

@@ -264,3 +264,17 @@ def test_pipeline_links_at_five_words_and_four_fifths(spark):
     texts = [" ".join(w) for w in (words, near, far)]
     assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs(spark, texts).drop("item_id", "verdict"), "").collect()} == {0, 2}
     assert ngram_join.keep_one_of_each(docs(spark, texts)).count() == 3
+
+
+def test_pipeline_keeps_the_text_of_a_large_group_of_copies(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    page = lambda: "\n".join(prose(rng, 25, 5000) for _ in range(8))
+    copied = page()
+    near = [re.sub(rf"(?<!\S){w}(?!\S)", f"edited{i}", copied) for i, w in enumerate(rng.sample(sorted(set(copied.split())), 20))]
+    own = [f"Home | News | About\n{page()}\nAll rights reserved" for _ in range(80)]
+    texts = [copied] * 20 + near + own + ["Home | News | About\nAll rights reserved"]
+    stage1 = corpus_pipeline.line_stage(spark, docs(spark, texts).drop("item_id", "verdict"), "")
+    got = {r.doc_id: r.text for r in corpus_pipeline.near_duplicate_stage(spark, stage1, "").collect()}
+    assert [i for i in got if i < 40] == [0] and got[0] == copied
+    assert all(got[i] == texts[i].split("\n", 1)[1].rsplit("\n", 1)[0] for i in range(40, 120)) and got[120] == texts[120]
