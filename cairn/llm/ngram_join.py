@@ -464,16 +464,28 @@ def similar_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", single_rows: bool = False, **options) -> DataFrame:
     """One document of each component, that of the smallest doc_id; rows without words all stay.
 
     A document is an id with a text, so an id that has other texts too, or a null id, loses
-    only what is a copy.  Null ids come last.  Rows alike in both are one document and stay together.
+    only what is a copy.  Null ids come last.  Rows alike in both are one document and stay together,
+    or with ``single_rows`` the least of them by all columns stays (map columns can't be ordered).
     """
     name, digest = fresh(docs, "document"), fresh(docs, "text_digest")
     # null ids come after all others
     document = F.struct(F.col(doc_id).isNull().alias("anonymous"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("digest"))
     found = similar_components(docs.select(document.alias(name), F.col(text)), doc_id=name, text=text, **options)
-    lost = found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id.id").alias(name), F.col("doc_id.digest").alias(digest)).distinct()
+    id_and_digest = [F.col("doc_id.id").alias(name), F.col("doc_id.digest").alias(digest)]
+    lost = found.filter("n_shingles > 0 and doc_id <> component_id").select(*id_and_digest).distinct()
     same = F.col(doc_id).eqNullSafe(F.col(name)) & (F.xxhash64(F.col(text).cast("string")) == F.col(digest))
-    return docs.join(lost, same, "left_anti")
+    if not single_rows:
+        return docs.join(lost, same, "left_anti")
+    stored = Stored(docs.sparkSession)
+    repeated = found.filter("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
+    repeated = stored.put(repeated.select(*id_and_digest), "repeated-rows")
+    if repeated.isEmpty():
+        return docs.join(lost, same, "left_anti")
+    # the minimum is taken before the shuffle, so a row that is there very often is one row a task
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.join(repeated, same, "left_semi").groupBy(F.col(doc_id).alias(name), F.xxhash64(F.col(text).cast("string")).alias(digest)).agg(F.min(row).alias("row")).select("row.*")
+    return docs.join(lost.union(repeated), same, "left_anti").unionByName(one)

@@ -33,7 +33,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: texts that share four of five 5-word shingles."""
-    return ngram_join.keep_one_of_each(docs.select(*COLUMNS), shingle=5, numerator=80, denominator=100)
+    return ngram_join.keep_one_of_each(docs.select(*COLUMNS), shingle=5, numerator=80, denominator=100, single_rows=True)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,6 +70,16 @@ def test_kept_documents(spark):
     mixed.collect()
 
 
+def test_one_row_of_each_group(spark):
+    other = "quite different words that nothing else in the table has"
+    rows = [*ROWS, (3, LONG, "de", "t", 60), *[(None, other, "en", None, 0)] * 3, (3, other + " but these", None, None, 0)]
+    d = docs(spark, rows)
+    one = ngram_join.keep_one_of_each(d, single_rows=True)
+    assert one.columns == d.columns and one.filter("text is null or text = ''").count() == 4
+    kept = sorted((str((r.doc_id, r.text)), r.lang) for r in one.filter("text <> ''").collect())
+    assert kept == sorted([(str((None, other)), "en"), (str((3, LONG)), None), (str((3, other + " but these")), None)], key=lambda x: x[0])
+
+
 def test_topk(spark):
     schema = "vec_id bigint, embedding array<float>, label int"
     every = F.lit(True)
