@@ -8,20 +8,25 @@ and give what the plain patterns give.
 
 The method adds spans by information-theoretic sanitisation.  An entity is the
 value of a base span.  A term is a word (with a letter, of 3 bytes or more) within
-``REACH`` words of a mention.  Over all documents, with n_e, n_t documents that hold
-the entity or the term, n_et those in which the term is near the entity, and N
-documents in all, the term gives away
-
-    PMI(e, t) / IC(e) = log(N n_et / (n_e n_t)) / log(N / n_e)
-
-of the entity's information.  At ``GENERALISE`` and above the term is generalised
-near that entity, at ``REMOVE`` and above it is removed.  A pair must be seen in
-``MIN_CONTEXTS`` different contexts, so copies of one page prove nothing.
-
-Each text is read once for base spans and neighbours, which are kept without the
-text; documents that hold a candidate term are counted in a second reading, for which
-a bit filter of fixed size picks the candidate terms.  Counts are summed before the
-shuffle, so an entity or a term that is in a third of all documents is a row a task.
+``REACH`` words of a mention.  Over all distinct texts (copies count once), with n_e,
+n_t texts that hold the entity or the term, n_et those in which the term is near the
+entity, and N texts in all, the term gives away
+
+    share = PMI(e, t) / IC(e) = log(N n_et / (n_e n_t)) / log(N / n_e)
+
+of the entity's information.  Few sightings say less, so the PMI is also taken lower by
+log(``DOUBT``) / n_et: for a term that is near every mention this is the exact one-sided
+90 % bound of n_et / n_e.  A pair with a share of ``GENERALISE`` and above by the lower
+value is revealing, however rarely the entity occurs; its term is removed if the share
+itself is ``REMOVE`` and above, else generalised.  In a table of very few texts the
+bound leaves a single sighting alone.  A term that reveals any entity is masked wherever
+it stands, in all documents, as the ``REACH`` words only gather the evidence.
+
+Each text is read for base spans and neighbours, which are kept without the text; a
+second reading counts the texts that hold a candidate term, and a third finds the places
+of the revealing terms.  Bit filters of fixed size pick the terms in both.  Counts are
+summed before the shuffle, so an entity or a term that is in a third of all documents is
+a row a task; texts that occur again are told apart by their digest.
 
 Defined results: a null text is empty; every input row gives one row, repeated
 rows too; a null doc_id stays null; other columns are ignored; an empty table gives
@@ -45,7 +50,7 @@ from .runtime import bit_filter, fresh, may_hold
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 REACH = 10
-MIN_CONTEXTS = 3
+DOUBT = 10.0
 GENERALISE = 0.6
 REMOVE = 0.9
 
@@ -120,37 +125,40 @@ def _entity(s: str, kind: int, a: int, b: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def _neighbours(s: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, int, int, int]]:
-    """(entity, context, term, start, end) of the terms near each mention."""
+def _neighbours(s: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int]]:
+    """The distinct (entity, term) of the terms near each mention; an entity without terms has the term None."""
     raw = np.frombuffer(s.encode(), np.uint8)
     words = K.Words(raw, np.array([0, len(raw)]), K.ALNUM_BYTES)
     point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # code points before each byte
     starts, ends = point[words.starts], point[words.ends]
-    digit = np.concatenate([[0], np.cumsum((raw >= 0x30) & (raw <= 0x39))])
-    term = (words.ends - words.starts >= 3) & (digit[words.ends] - digit[words.starts] < words.ends - words.starts)
+    term = _terms(words, raw)
     for a, _, b in spans:
         term &= (ends <= a) | (starts >= b)
-    out = []
+    hashes = words.hashes.view(np.int64)
+    out: dict[tuple, None] = {}
     for a, kind, b in spans:
         lo, hi = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b, side="left"))
         near = np.concatenate([np.arange(max(0, lo - reach), lo), np.arange(hi, min(len(words), hi + reach))])
-        near = near[term[near]]
-        if not len(near):
-            continue
-        context = int(K.run_hashes(words.hashes[near], np.array([0]), np.array([len(near)])).view(np.int64)[0])
         entity = _entity(s, kind, a, b)
-        for i in near:
-            out.append((entity, context, int(words.hashes[i : i + 1].view(np.int64)[0]), int(starts[i]), int(ends[i])))
-    return out
+        out[entity, None] = None
+        for t in hashes[near[term[near]]].tolist():
+            out[entity, t] = None
+    return list(out)
+
+
+def _terms(words: K.Words, raw: np.ndarray) -> np.ndarray:
+    """Which words are terms: with a letter, of 3 bytes or more."""
+    digit = np.concatenate([[0], np.cumsum((raw >= 0x30) & (raw <= 0x39))])
+    return (words.ends - words.starts >= 3) & (digit[words.ends] - digit[words.starts] < words.ends - words.starts)
 
 
 def _shown(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_FACTS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:bigint,context:bigint,term:bigint,start:int,end:int>>"
+_FACTS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:bigint,term:bigint>>"
 
 
 def _read(reach: int):
@@ -173,7 +181,7 @@ def _read(reach: int):
                 [
                     batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(_shown(x).encode()).hexdigest() for x in spans]),
                     pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in x] for x in spans], _SPANS),
-                    pa.array([[dict(zip(("entity", "context", "term", "start", "end"), y, strict=True)) for y in x] for x in near], _NEAR),
+                    pa.array([[dict(zip(("entity", "term"), y, strict=True)) for y in x] for x in near], _NEAR),
                 ],
                 ["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"],
             )
@@ -181,65 +189,94 @@ def _read(reach: int):
     return scan
 
 
-def _count_terms(filled):
-    """Documents of each batch that hold a candidate term, summed: (term, n)."""
+def _count_terms(filled, again):
+    """Texts of each batch that hold a candidate term, summed: (term, copy, n); copy is the key of a text that may occur again."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _lo, _hi, data, off in K.chunks(batch.column(0)):
+            keys = batch.column(0).to_numpy()
+            copied = may_hold(again.value, keys)
+            for lo, _hi, data, off in K.chunks(batch.column(1)):
                 words = K.Words(data, off, K.ALNUM_BYTES)
                 h = words.hashes.view(np.int64)
                 maybe = np.flatnonzero(may_hold(filled.value, h))
-                h, doc = h[maybe], words.doc[maybe]
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
+                h, doc = h[maybe], words.doc[maybe] + lo
+                copy = np.where(copied[doc], keys[doc], 0)
+                which = np.where(copied[doc], -1, doc)  # all rows of a copied text are one
+                order = np.lexsort((which, copy, h))
+                h, copy, which = h[order], copy[order], which[order]
                 new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                terms, n = np.unique(h[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n.astype(np.int64))], ["term", "n"])
+                new[1:] = (h[1:] != h[:-1]) | (copy[1:] != copy[:-1]) | (which[1:] != which[:-1])
+                h, copy, one = h[new], copy[new], which[new] >= 0
+                terms, n = np.unique(h[one], return_counts=True)
+                more = h[~one]
+                none = pa.array(np.concatenate([np.zeros(len(terms), np.int64), copy[~one]]), mask=np.arange(len(terms) + len(more)) < len(terms))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([terms, more])), none, pa.array(np.concatenate([n, np.ones(len(more))]).astype(np.int64))], ["term", "copy", "n"])
+
+    return scan
+
+
+def _places(filled):
+    """(doc_id, text_key, term, start, end) of the words that may be revealing, in code points."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _hi, data, off in K.chunks(batch.column(2)):
+                words = K.Words(data, off, K.ALNUM_BYTES)
+                h = words.hashes.view(np.int64)
+                at = np.flatnonzero(_terms(words, data) & may_hold(filled.value, h))
+                point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                doc = words.doc[at]
+                before = point[np.asarray(off)[doc]]
+                row = pa.array(doc + lo)
+                starts, ends = (pa.array((point[x[at]] - before).astype(np.int32)) for x in (words.starts, words.ends))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(h[at]), starts, ends], ["doc_id", "text_key", "term", "start", "end"])
 
     return scan
 
 
-def revealing_terms(facts: DataFrame, docs: DataFrame, n_docs: int, stored: Stored, *, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(entity, term, share, kind) of the pairs that disclose too much."""
+def revealing_terms(facts: DataFrame, docs: DataFrame, stored: Stored, *, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """(term, kind) of the terms that disclose too much of an entity."""
     spark = docs.sparkSession
-    near = facts.filter(F.size("near") > 0)
-    triples = near.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"), x["context"].alias("context"))))).alias("x")).select("x.*")
-    contexts = triples.distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= min_contexts)
-    pairs = near.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x")).select("x.*")
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    kept = stored.put(contexts.join(together, ["entity", "term"]).select("entity", "term", "n_et"), "pairs")
+    copies = stored.put(facts.groupBy("text_key").agg(F.count("*").alias("rows"), F.first("near").alias("near")), "texts")
+    n = float(copies.count())
+    near = copies.filter(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*")
+    seen = stored.put(near.groupBy("entity", "term").agg(F.count("*").alias("n_et")), "pairs")
+    kept = seen.filter("term is not null")
     if kept.isEmpty():
-        return kept.select("entity", "term", F.lit(0.0).alias("share"), F.lit(0).alias("kind"))
-    holding = near.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+        return kept.select("term", F.lit(0).alias("kind"))
+    holding = seen.filter("term is null").select("entity", F.col("n_et").alias("n_e"))
     filled = spark.sparkContext.broadcast(bit_filter(kept, "term"))
-    terms = docs.select(F.col("text")).mapInArrow(_count_terms(filled), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_t"))
+    again = spark.sparkContext.broadcast(bit_filter(copies.filter("rows > 1"), "text_key"))
+    counts = docs.select("text_key", "text").mapInArrow(_count_terms(filled, again), "term bigint, copy bigint, n bigint").groupBy("term", "copy").agg(F.sum("n").alias("n"))
+    terms = counts.groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
     joined = kept.join(holding, "entity").join(terms, "term")
-    n = float(n_docs)
     ic = F.log(F.lit(n) / F.col("n_e"))
-    share = F.when(ic > 0, F.log(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col("n_t").cast("double"))) / ic).otherwise(0.0)
-    joined = joined.withColumn("share", share).filter(F.col("share") >= generalise)
-    return stored.put(joined.select("entity", "term", "share", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind")), "revealing")
+    pmi = F.log(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col("n_t").cast("double")))
+    low = pmi - F.log(F.lit(DOUBT)) / F.col("n_et")
+    joined = joined.filter((ic > 0) & (low >= ic * generalise)).withColumn("kind", F.when(pmi >= ic * remove, 5).otherwise(4))
+    return stored.put(joined.groupBy("term").agg(F.max("kind").alias("kind")), "revealing")
 
 
-def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", reach: int = REACH, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", reach: int = REACH, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, text_key) of every row.
 
     spans: ``kind:start:end`` by start, then kind, comma-joined; text_key tells rows of one id apart.
     """
-    ship_package(docs.sparkSession)
-    stored = Stored(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_package(spark)
+    stored = Stored(spark)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_key"), F.col(text).cast("string").alias("text"))
-    facts = stored.put(slim.mapInArrow(_read(reach), f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_key bigint, {_FACTS}"), "facts")
-    revealing = revealing_terms(facts, slim, facts.count(), stored, min_contexts=min_contexts, generalise=generalise, remove=remove)
-    near = facts.filter(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("x")).select("doc_id", "text_key", "x.entity", "x.term", "x.start", "x.end")
-    # a place that several entities make sensitive is listed once, by the stronger measure
-    added = near.join(revealing, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max("kind").alias("kind"))
-    added = added.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    facts = stored.put(slim.mapInArrow(_read(reach), f"doc_id {kind}, text_key bigint, {_FACTS}"), "facts")
+    revealing = revealing_terms(facts, slim, stored, generalise=generalise, remove=remove)
+    filled = spark.sparkContext.broadcast(bit_filter(revealing, "term"))
+    places = slim.mapInArrow(_places(filled), f"doc_id {kind}, text_key bigint, term bigint, start int, end int")
+    added = places.join(revealing, "term").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))
     added = added.select(F.col("doc_id").alias("k"), F.col("text_key").alias("t"), "added")
     out = facts.join(added, facts.doc_id.eqNullSafe(added.k) & facts.text_key.eqNullSafe(added.t), "left")
-    every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
+    outside = F.filter("added", lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+    every = F.array_sort(F.concat("base", F.coalesce(outside, F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     names = F.array(*[F.lit(k) for k in KINDS])
     shown = F.array_join(F.transform(every, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", shown.alias("spans"), "text_key")

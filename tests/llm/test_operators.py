@@ -278,3 +278,16 @@ def test_pipeline_keeps_the_text_of_a_large_group_of_copies(spark):
     got = {r.doc_id: r.text for r in corpus_pipeline.near_duplicate_stage(spark, stage1, "").collect()}
     assert [i for i in got if i < 40] == [0] and got[0] == copied
     assert all(got[i] == texts[i].split("\n", 1)[1].rsplit("\n", 1)[0] for i in range(40, 120)) and got[120] == texts[120]
+
+
+def test_an_entity_that_occurs_once_is_protected_everywhere(spark):
+    rng = random.Random(10)
+    texts = [prose(rng, 10) for _ in range(5000)]
+    texts += [f"{prose(rng, 8)} Trillian wrote from t@galaxy.example.com {prose(rng, 30)} é Trillian"] * 3
+    texts += [f"{prose(rng, 20)} trillian {prose(rng, 20)}"]
+    got = {r.doc_id: r.spans for r in privacy.find_personal_data(docs(spark, texts)).collect()}
+    far, other = texts[5000].rindex("Trillian"), texts[5003].index("trillian")
+    for i in (5000, 5001, 5002):
+        assert f":{far}:{far + 8}" in got[i] and f":{texts[i].index('Trillian')}:" in got[i]
+    assert f"generalised:{other}:{other + 8}" in got[5003] or f"removed:{other}:{other + 8}" in got[5003]
+    assert all(got[i] == "" for i in range(5000))
