@@ -491,7 +491,7 @@ def regime_rollup(s, d):
 # topology
 
 
-def _clouds(s, d, stride=5):
+def _clouds(s, d, stride=1):
     f = Stored(s).put(ft.base_features(_bars(s, d)), "features")
     w = W.partitionBy("symbol").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
     one = lambda c: F.when(F.stddev_pop(c).over(w) == 0, 1.0).otherwise(F.stddev_pop(c).over(w))
@@ -499,7 +499,7 @@ def _clouds(s, d, stride=5):
     return ft.sliding_windows(f, ft.TDA_FEATURES, 20, stride, [centre.alias("centre"), scale.alias("scale"), F.col("close")])
 
 
-def _diagrams(s, d, stride=5):
+def _diagrams(s, d, stride=1):
     return hom.diagrams(_clouds(s, d, stride), ["symbol", "ts", "end_idx", "close"], "points", "centre", "scale")
 
 

@@ -204,3 +204,11 @@ def test_ensemble_without_middle_rows_is_the_mean(spark):
     np.testing.assert_allclose(out.p_up, (out.p_logistic_0 + out.p_rf_1) / 2)
     fitted = ml.ensemble(f, ["rv_20", "bb_width"], ("logistic", "rf"), horizon=3).toPandas()
     assert len(fitted) == len(out) > 0 and fitted.p_up.between(0, 1).all()
+
+
+def test_homology_queries_take_every_window(spark):
+    from cairn.plans import queries as q
+
+    d = "/root/testdata/sf0.001"
+    want = sum(max(0, r["count"] - 19) for r in ft.base_features(q._bars(spark, d)).groupBy("symbol").count().collect())
+    assert want > 0 and q.rips_scalars(spark, d).count() == q.persistence_images(spark, d).count() == want
