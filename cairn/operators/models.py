@@ -37,9 +37,9 @@ def classifier(kind: str, n: int, c: float = 1.0):
     if kind == "logistic":
         return LogisticRegression(featuresCol="_scaled", labelCol="target", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=50)
     if kind == "rf":
-        return RandomForestClassifier(featuresCol="_scaled", labelCol="target", numTrees=50, maxDepth=6, minInstancesPerNode=20, seed=42)
+        return RandomForestClassifier(featuresCol="_scaled", labelCol="target", numTrees=200, maxDepth=6, minInstancesPerNode=20, seed=42)
     if kind in ("gbm", "xgboost", "lightgbm", "catboost"):
-        return GBTClassifier(featuresCol="_scaled", labelCol="target", maxIter=20, maxDepth=3, stepSize=0.05, seed=42)
+        return GBTClassifier(featuresCol="_scaled", labelCol="target", maxIter=120, maxDepth=3, stepSize=0.05, seed=42)
     raise ValueError(f"unknown model {kind!r}")
 
 

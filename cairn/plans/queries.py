@@ -647,12 +647,12 @@ def cv_logistic(s, d):
 
 @query
 def cv_rf(s, d):
-    return ml.evaluate(ml.cross_validate(_ready(s, d), ft.ML_FEATURES, "rf", 3, 24), 0.55)
+    return ml.evaluate(ml.cross_validate(_ready(s, d), ft.ML_FEATURES, "rf", 5, 24), 0.55)
 
 
 @query
 def cv_gbm(s, d):
-    return ml.evaluate(ml.cross_validate(_ready(s, d), ft.TDA_FEATURES, "gbm", 2, 24), 0.55)
+    return ml.evaluate(ml.cross_validate(_ready(s, d), ft.ML_FEATURES, "gbm", 5, 24), 0.55)
 
 
 @query

@@ -212,3 +212,16 @@ def test_homology_queries_take_every_window(spark):
     d = "/root/testdata/sf0.001"
     want = sum(max(0, r["count"] - 19) for r in ft.base_features(q._bars(spark, d)).groupBy("symbol").count().collect())
     assert want > 0 and q.rips_scalars(spark, d).count() == q.persistence_images(spark, d).count() == want
+
+
+def test_models_are_as_large_as_the_reference(spark, monkeypatch):
+    from cairn.plans import queries as q
+
+    assert ml.classifier("rf", 100).getNumTrees() == 200 and ml.classifier("gbm", 100).getMaxIter() == 120
+    asked = []
+    monkeypatch.setattr(q, "_ready", lambda s, d: None)
+    monkeypatch.setattr(ml, "cross_validate", lambda df, columns, kind, k, horizon: asked.append((columns, kind, k)))
+    monkeypatch.setattr(ml, "evaluate", lambda *a: None)
+    q.cv_rf(spark, "")
+    q.cv_gbm(spark, "")
+    assert asked == [(ft.ML_FEATURES, "rf", 5), (ft.ML_FEATURES, "gbm", 5)]
