@@ -472,7 +472,7 @@ def auc_by_symbol(s, d):
 @query
 def bootstrap_sharpe(s, d):
     r = ft.daily_indicators(_bars(s, d)).withColumn("r", F.col("return_1d"))
-    return va.bootstrap_sharpe(r, "r", rounds=200)
+    return va.bootstrap_sharpe(r, "r")
 
 
 @query
@@ -672,14 +672,14 @@ def holdout_eval(s, d):
 
 @query
 def ablation_shuffled(s, d):
-    return ml.evaluate(ml.cross_validate(_ready(s, d), ft.ML_FEATURES, "logistic", 3, 24, 5, shuffled=["rv_20", "bb_width"]), 0.55)
+    return ml.evaluate(ml.cross_validate(_ready(s, d), ft.ML_FEATURES, "logistic", 5, 24, 5, shuffled=["rv_20", "bb_width"]), 0.55)
 
 
 @query
 def ablation_images(s, d):
     stored = Stored(s)
     f, dg = _ready(s, d), stored.put(_diagrams(s, d, 1).select("symbol", "ts", "h0", "h1"), "diagrams")
-    return ml.evaluate(ml.ablate_images(f.join(dg, ["symbol", "ts"]), ft.TDA_FEATURES, 2, 24), 0.55, ("condition", "fold", "symbol"))
+    return ml.evaluate(ml.ablate_images(f.join(dg, ["symbol", "ts"]), ft.TDA_FEATURES, 5, 24), 0.55, ("condition", "fold", "symbol"))
 
 
 @query
@@ -689,24 +689,24 @@ def walkforward(s, d):
 
 @query
 def permutation_null(s, d):
-    return ml.permutation_null(_ready(s, d), ft.TDA_FEATURES, 19, horizon=24)
+    return ml.permutation_null(_ready(s, d), ft.TDA_FEATURES, horizon=24)
 
 
 @query
 def permutation_grid(s, d):
-    return ml.permutation_null(_ready(s, d), ft.TDA_FEATURES, 19, threshold=(0.5, 0.55, 0.6), horizon=24)
+    return ml.permutation_null(_ready(s, d), ft.TDA_FEATURES, threshold=(0.5, 0.55, 0.6), horizon=24)
 
 
 @query
 def permutation_grid_p(s, d):
-    n = ml.permutation_null(_ready(s, d), ft.TDA_FEATURES, 19, threshold=(0.5, 0.55, 0.6), block=24, horizon=24)
+    n = ml.permutation_null(_ready(s, d), ft.TDA_FEATURES, threshold=(0.5, 0.55, 0.6), block=24, horizon=24)
     n = Stored(s).put(n.withColumn("test", F.lit("grid")), "null")
     return va.permutation_p(n.filter("replicate < 0"), n.filter("replicate >= 0"), ["test"], require_null=True)
 
 
 @query
 def feature_importance(s, d):
-    out = ml.importance(_ready(s, d), {"volatility": ["rv_20", "gk_vol_20"], "trend": ["macd_normalized", "trend_strength"]}, 2, horizon=24)
+    out = ml.importance(_ready(s, d), {"volatility": ["rv_20", "gk_vol_20"], "trend": ["macd_normalized", "trend_strength"]}, horizon=24)
     return out.groupBy("feature_group").agg(F.avg("importance").alias("mean_importance"), F.sum("importance").alias("sum_importance"))
 
 

@@ -225,3 +225,10 @@ def test_models_are_as_large_as_the_reference(spark, monkeypatch):
     q.cv_rf(spark, "")
     q.cv_gbm(spark, "")
     assert asked == [(ft.ML_FEATURES, "rf", 5), (ft.ML_FEATURES, "gbm", 5)]
+
+
+def test_null_takes_the_default_number_of_replicates(spark):
+    from cairn.plans import queries as q
+
+    n = q.permutation_null(spark, "/root/testdata/sf0.01")
+    assert n.filter("replicate >= 0").select("replicate").distinct().count() == 99
