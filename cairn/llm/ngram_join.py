@@ -9,24 +9,31 @@ into fragments.  For sets of up to U shingles a linked pair differs in at most
 D = 2 (U - 1) (100 - 90) / (100 + 90) shingles, so with more than D fragments that
 hold something, at least one is equal in both.  Hence:
 
-1. Documents with equal sets are one class, and only classes are compared.
-2. Each class emits a digest of every non-empty fragment, for the size band it is
-   in and for larger bands that a partner may be in.  (Should hashing leave D
-   non-empty fragments or fewer, it emits its prefix of single shingles too; two
-   such classes meet there, every other linked pair in a fragment.)
-3. Digests seen in two classes or more are kept.  The classes that share one are
-   compared by parity bit maps: the number of bits in which two maps differ never
-   exceeds the number of shingles in which the sets differ, so dropping pairs above
-   the limit loses no link.  A digest of ``FEW`` rows at most gives its pairs as rows,
-   and these are thinned out.  Larger groups are compared inside a task, which
-   returns a spanning forest of what is left, nearest first: as many rows as classes
-   at most, never all pairs.  Groups above ``BLOCK`` classes are cut into blocks that
-   meet pairwise.
-4. Forest edges are counted exactly: both sets are cut into ``PARTS`` fragments,
-   the overlaps of the fragments are counted separately and summed per pair.
-5. Groups with an edge that turns out not to be a link are compared again, and now
-   every remaining pair of different components is returned and counted, so no
-   component depends on which edges the forest took.
+1. Documents with equal sets are one class, and only classes are compared.  A class
+   is named by a digest of its set, beside a parity bit map: the number of bits in
+   which two maps differ never exceeds the number of shingles in which the sets
+   differ, so dropping pairs above the limit loses no link.
+2. One document of each class emits a digest of every non-empty fragment, for the
+   size band it is in and for the larger one that a partner may be in.  (Should
+   hashing leave D non-empty fragments or fewer, it emits its prefix of single
+   shingles too; two such classes meet there, every other linked pair in a
+   fragment.)  Digests travel packed by the thousand.  Of a digest that a task sees
+   in several classes all but the first are known to be repeated and needn't meet;
+   so a digest has one entry a task at most where it is looked up.
+3. The classes that share a digest are a group; groups of the same classes are one.
+   In every group all classes are paired with one, the hub: as many pairs as rows.
+4. Pairs within the limit by their maps are counted exactly: both sets are cut into
+   ``PARTS`` fragments of the order, the overlaps of the fragments are counted
+   separately and summed per pair.  Links make components.
+5. Groups with several components are compared inside a task, which returns spanning
+   forests of the pairs of different components that may link, nearest first; these
+   are counted, and groups with further pairs are compared again, each time with four
+   times the forests, until nothing is left.  So in the end every pair of different
+   components that share a fragment has been ruled out, by map or by count, and never
+   are all pairs returned.  Groups above ``BLOCK`` classes are cut into blocks that
+   meet pairwise, but the blocks of the largest component don't meet each other.
+
+Steps 2, 3 and 5 only find candidates; what the method counts by fragments decides.
 
 Defined results: a null text, or one without words, has the empty set and is
 linked with nothing; each input row gives one row, repeated rows too (they are one
@@ -51,9 +58,11 @@ from .runtime import as_longs, bit_filter, fresh, list_array, may_hold
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 90, 100
 BLOCK = 1024
-FEW = 4
-#: A set's bit map has at most so many bits; beyond, it thins out less.
-MOST_BITS = 1024
+#: Digests that a task packs at a time, and about as many meet in a bucket.
+PACK = 1 << 19
+#: Pairs of which a task holds the distances at a time.
+HELD = 1 << 21
+LEAST_BITS = 256
 PARTS = 8
 _U = np.uint64
 
@@ -69,14 +78,13 @@ BANDS = _bands()
 
 
 class Scheme:
-    """Fragments, limits and bit-map widths of each size band for one threshold."""
+    """Fragments and limits of each size band for one threshold."""
 
     def __init__(self, shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, seed: int = 0):
         self.shingle, self.num, self.den, self.seed = shingle, numerator, denominator, seed
         top = BANDS[1:] - 1
         self.differ = 2 * top * (denominator - numerator) // (denominator + numerator)
-        self.fragments = (self.differ + 1) * 5 // 4 + 2
-        self.bits = np.clip(2 ** np.ceil(np.log2(BANDS[1:])).astype(np.int64), 256, MOST_BITS)
+        self.fragments = (self.differ + 1) * 11 // 10 + 2
 
     def limit(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         """The most shingles in which linked sets of these sizes differ."""
@@ -134,17 +142,26 @@ def _digests(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _signatures(scheme: Scheme, h: np.ndarray, counts: np.ndarray) -> tuple:
-    """For each (set, band): owner, band, fragment digests (flat, counts) and the bit map."""
+def _parity_maps(h: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """For each set, which of its places hold an odd number of shingles; a power of two places, 2 to 4 a shingle."""
+    bits = np.where(counts > 0, np.maximum(LEAST_BITS, 2 ** np.ceil(np.log2(2.0 * np.maximum(counts, 1))).astype(np.int64)), 0)
+    edge = np.concatenate([[0], np.cumsum(bits)])
+    row = np.repeat(np.arange(len(counts)), counts)
+    place = ((h * _U(0xD6E8FEB86659FD93)) >> _U(32)).astype(np.int64) & (bits[row] - 1)
+    odd = (np.bincount(edge[row] + place, minlength=edge[-1]) & 1).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((edge // 8).astype(np.int32)), pa.py_buffer(np.packbits(odd, bitorder="little"))])
+
+
+def _fragment_digests(scheme: Scheme, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(digest, set) of every fragment that holds something, for each band of each set."""
     first = np.concatenate([[0], np.cumsum(counts)])
     owner, band = scheme.memberships(counts)
     if not len(owner):
-        return owner, band, np.zeros(0, _U), np.zeros(0, np.int64), []
+        return np.zeros(0, _U), np.zeros(0, np.int64)
     size = counts[owner]
     at, row = K.spread(first[owner], size)
     tokens = h[at]
-    fragments = scheme.fragments[band]
-    piece = ((tokens >> _U(32)) * fragments[row].astype(_U)) >> _U(32)
+    piece = ((tokens >> _U(32)) * scheme.fragments[band].astype(_U)[row]) >> _U(32)
     new = np.ones(len(tokens), bool)
     new[1:] = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])
     begin = np.flatnonzero(new)
@@ -152,48 +169,183 @@ def _signatures(scheme: Scheme, h: np.ndarray, counts: np.ndarray) -> tuple:
     np.cumsum(K.mix(tokens ^ _U(0xA4093822299F31D0)), out=total[1:])
     content = total[np.append(begin[1:], len(tokens))] - total[begin]
     digest = K.mix(content + piece[begin] * _U(0x9E3779B97F4A7C15) + band[row[begin]].astype(_U) * _U(0xC2B2AE3D27D4EB4F))
-    n_digests = np.bincount(row[begin], minlength=len(owner))
-    maps = []
-    where = (tokens * _U(0xD6E8FEB86659FD93)) >> _U(32)
-    edge = np.concatenate([[0], np.cumsum(size)])
-    for i in range(len(owner)):
-        bits = int(scheme.bits[band[i]])
-        odd = np.bincount((where[edge[i] : edge[i + 1]] & _U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
-        maps.append(np.packbits(odd, bitorder="little").tobytes())
-    poor = np.flatnonzero(n_digests <= scheme.differ[band])
+    of = row[begin]
+    poor = np.flatnonzero(np.bincount(of, minlength=len(owner)) <= scheme.differ[band])
     if len(poor):  # too few fragments hold something: single shingles of the prefix
         n = size[poor]
         prefix = n - (scheme.num * n + scheme.den - 1) // scheme.den + 1
+        edge = np.concatenate([[0], np.cumsum(size)])
         spot, who = K.spread(edge[poor], prefix)
-        extra = K.mix(tokens[spot] ^ _U(0x082EFA98EC4E6C89))
-        owner_of = np.concatenate([row[begin], poor[who]])
-        order = np.argsort(owner_of, kind="stable")
-        digest = np.concatenate([digest, extra])[order]
-        n_digests = np.bincount(owner_of, minlength=len(owner))
-    return owner, band, digest, n_digests, maps
+        digest = np.concatenate([digest, K.mix(tokens[spot] ^ _U(0x082EFA98EC4E6C89))])
+        of = np.concatenate([of, poor[who]])
+    return digest, owner[of]
+
 
+_IDS = "doc_id {kind}, n_shingles bigint, cls bigint, b bigint, map binary"
 
-_SIG = "doc_id {kind}, n bigint, a bigint, b bigint, schemes array<struct<band:int,map:binary,digests:array<bigint>>>"
-_SCHEME_ARROW = pa.struct([("band", pa.int32()), ("map", pa.binary()), ("digests", pa.list_(pa.int64()))])
 
+def _class_table(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """(doc_id, n_shingles, cls, b, map) of every row."""
 
-def _signature_table(docs: DataFrame, scheme: Scheme) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in K.chunks(batch.column(1)):
                 h, counts = scheme.sets(data, off)
-                first = np.concatenate([[0], np.cumsum(counts)])
-                a, b = _digests(h, first)
-                owner, band, digests, n_digests, maps = _signatures(scheme, h, counts)
-                order = np.argsort(owner, kind="stable")
-                rows = pa.StructArray.from_arrays([pa.array(band.astype(np.int32)), pa.array(maps, pa.binary()), list_array(as_longs(digests), n_digests)], fields=list(_SCHEME_ARROW)).take(pa.array(order))
-                schemes = list_array(rows, np.bincount(owner, minlength=hi - lo))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts), as_longs(a), as_longs(b), schemes], ["doc_id", "n", "a", "b", "schemes"])
+                a, b = _digests(h, np.concatenate([[0], np.cumsum(counts)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts), as_longs(a), as_longs(b), _parity_maps(h, counts)], ["doc_id", "n_shingles", "cls", "b", "map"])
+
+    return docs.select("doc_id", "text").mapInArrow(scan, _IDS.format(kind=docs.schema["doc_id"].dataType.simpleString()))
+
+
+# --- groups of classes that share a fragment ------------------------------------------------
+
+
+def _sorted_posts(key: np.ndarray, cls: np.ndarray, n: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, cls) in order, with what else belongs to them."""
+    order = np.lexsort((cls, key))
+    key, cls = key[order], cls[order]
+    keep = np.ones(len(key), bool)
+    keep[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+    return key[keep], cls[keep], n[order][keep], *(x[order][keep] for x in more)
+
+
+def _blobs(bucket: np.ndarray, met: bool, key: np.ndarray, cls: np.ndarray, n: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+    """A row for each run of equal buckets, its entries as bytes."""
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
+    rows = len(edge) - 1
+    packed = []
+    for x in (key.astype("<i8"), cls.astype("<i8"), n.astype("<i4"), known.astype("u1")):
+        packed.append(pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((edge * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array(np.full(rows, met)), *packed], ["bucket", "met", "key", "cls", "n", "known"])
 
-    return docs.mapInArrow(scan, _SIG.format(kind=docs.schema["doc_id"].dataType.simpleString()))
 
+_BLOB = "bucket int, met boolean, key binary, cls binary, n binary, known binary"
 
-# --- comparing the classes of one group inside a task -------------------------------------
+
+def _pack(scheme: Scheme, copied, chosen, buckets: int):
+    """Task over (row_key, text): the digests of one document of each class, packed by bucket.
+
+    Entries that are known to share their digest with another class (``met``) go to any bucket.
+    """
+
+    def pack(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, cls, n = _sorted_posts(*(np.concatenate([x[c] for x in held]) for c in range(3)))
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        run = np.cumsum(first) - 1
+        many = np.bincount(run)[run] > 1
+        place = ((key.view(_U) >> _U(32)) * _U(buckets)) >> _U(32)
+        alone = np.flatnonzero(first)
+        alone = alone[np.lexsort((cls[alone], place[alone]))]  # a class's entries together, they compress
+        yield _blobs(place[alone], False, key[alone], cls[alone], n[alone], many[alone])
+        met = np.flatnonzero(~first)
+        if len(met):
+            anywhere = (K.mix(place[met] + np.arange(len(met), dtype=_U) // _U(4096)) >> _U(32)) * _U(buckets) >> _U(32)
+            order = np.argsort(anywhere, kind="stable")
+            met = met[order]
+            yield _blobs(anywhere[order], True, key[met], cls[met], n[met], many[met])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in batches:
+            for lo, hi, data, off in K.chunks(batch.column(1)):
+                h, counts = scheme.sets(data, off)
+                first = np.concatenate([[0], np.cumsum(counts)])
+                a = _digests(h, first)[0].view(np.int64)
+                named = a ^ batch.column(0).slice(lo, hi - lo).to_numpy()
+                take = np.flatnonzero((counts > 0) & (~may_hold(copied.value, a) | may_hold(chosen.value, named)))
+                _, once = np.unique(a[take], return_index=True)
+                take = take[np.sort(once)]
+                at, _ = K.spread(first[take], counts[take])
+                digest, owner = _fragment_digests(scheme, h[at], counts[take])
+                held.append((digest.view(np.int64), a[take][owner], counts[take][owner]))
+                size += len(digest)
+                if size >= PACK:
+                    yield from pack(held)
+                    held, size = [], 0
+        if size:
+            yield from pack(held)
+
+    return scan
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket (rows come sorted by it), the entries whose digest is in several classes."""
+
+    def unpacked(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+        kinds = (("key", "<i8"), ("cls", "<i8"), ("n", "<i4"), ("known", "u1"))
+        return tuple(np.concatenate([np.frombuffer(x, t) for r in rows for x in r.column(c).to_pylist()]) for c, t in kinds)
+
+    def out(key: np.ndarray, cls: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls), pa.array(n.astype(np.int64))], ["key", "cls", "n"])
+
+    def close(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        key, cls, n, known = unpacked(rows)
+        order = np.argsort(known, kind="stable")[::-1]  # of equal entries the one that is known stays
+        key, cls, n, known = _sorted_posts(key[order], cls[order], n[order], known[order])
+        run = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
+        shared = (np.bincount(run) > 1) | (np.bincount(run, weights=known) > 0)
+        return out(*(x[shared[run]] for x in (key, cls, n)))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        met = batch.column(1).to_numpy(zero_copy_only=False)
+        if met.any():
+            yield out(*unpacked([batch.filter(pa.array(met))])[:3])
+        rest = batch.filter(pa.array(~met))
+        bucket = rest.column(0).to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else []
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            if held and held[-1].column(0)[0].as_py() != bucket[lo]:
+                yield close(held)
+                held = []
+            held.append(rest.slice(lo, hi - lo))
+    if held:
+        yield close(held)
+
+
+def _posts(slim: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
+    """(key, cls, n): the classes of every digest that several classes have."""
+    spark = slim.sparkSession
+    repeated = classes.filter("rows > 1").select("cls", F.col("cls").bitwiseXOR(F.xxhash64("first_id")).alias("chosen"))
+    copied, chosen = (spark.sparkContext.broadcast(bit_filter(repeated, c)) for c in ("cls", "chosen"))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(-(-total // PACK), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    packed = slim.select(F.xxhash64("doc_id").alias("row_key"), "text").mapInArrow(_pack(scheme, copied, chosen, buckets), _BLOB)
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "key bigint, cls bigint, n bigint")
+
+
+# --- comparing classes by their maps --------------------------------------------------------
+
+
+class Maps:
+    """Bit maps of a batch of classes, laid end to end."""
+
+    def __init__(self, column: pa.Array):
+        raw = column.to_pylist()
+        self.width = np.array([len(x) // 8 for x in raw], np.int64)  # in 64-bit words
+        self.edge = np.concatenate([[0], np.cumsum(self.width)])
+        self.flat = np.frombuffer(b"".join(raw), np.uint64)
+
+    def rows(self, at: np.ndarray, width: int, own: int) -> np.ndarray:
+        """The maps ``at``, all ``own`` words wide, folded to ``width`` words (still a parity map)."""
+        x = self.flat[self.edge[at][:, None] + np.arange(own)]
+        return np.bitwise_xor.reduce(x.reshape(len(at), own // width, width), axis=1) if own > width else x
+
+    def differ(self, at: np.ndarray, other: Maps, to: np.ndarray) -> np.ndarray:
+        """For each pair, in how many bits the maps differ."""
+        out = np.zeros(len(at), np.int64)
+        kinds, which = np.unique(self.width[at] << 32 | other.width[to], return_inverse=True)
+        for k, kind in enumerate(kinds.tolist()):
+            wide, high = kind >> 32, kind & 0xFFFFFFFF
+            width = min(wide, high)
+            step = max(1, (1 << 17) // max(wide, high))
+            mine = np.flatnonzero(which == k)
+            for lo in range(0, len(mine), step):
+                some = mine[lo : lo + step]
+                out[some] = np.bitwise_count(self.rows(at[some], width, wide) ^ other.rows(to[some], width, high)).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -227,126 +379,117 @@ def _forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
         label = parent[label]
 
 
-def _near(scheme: Scheme, group: np.ndarray, block: np.ndarray, n: np.ndarray, maps: np.ndarray, root: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, row, bits that differ) of the pairs within a group that may link; groups are runs of equal numbers.
+def _near(scheme: Scheme, group: np.ndarray, side: np.ndarray, n: np.ndarray, maps: Maps, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, bits that differ) of the pairs of different components within a group that may link.
 
-    ``block`` tells, for rows of a pair of blocks, the side (0 or 1); -1 if the group is whole.
+    Rows come by group and size; ``side`` tells, for rows of a pair of blocks, the block (0 or 1), else it is -1.
     """
     end = np.searchsorted(group, group, side="right")
-    left, right, away = [], [], []
+    left, right = [], []
     lag = 1
     live = np.flatnonzero(end - np.arange(len(group)) > lag)
     while len(live):
+        live = live[scheme.fits(n[live], n[live + lag])]  # later ones are larger still
         other = live + lag
-        ok = scheme.fits(n[live], n[other]) & ((block[live] < 0) | (block[live] != block[other]))
-        if root is not None:
-            ok &= root[live] != root[other]
-        i, j = live[ok], other[ok]
-        if len(i):
-            d = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
-            good = d <= scheme.limit(n[i], n[j])
-            left.append(i[good])
-            right.append(j[good])
-            away.append(d[good])
+        ok = ((side[live] < 0) | (side[live] != side[other])) & (root[live] != root[other])
+        left.append(live[ok])
+        right.append(other[ok])
         lag += 1
         live = live[end[live] - live > lag]
-    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return join(left), join(right), join(away)
+    i, j = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (left, right))
+    away = maps.differ(i, maps, j)
+    good = away <= scheme.limit(n[i], n[j])
+    return i[good], j[good], away[good]
 
 
-def _compare(scheme: Scheme, forest: bool):
-    """Task over posts sorted by group: (band, key, part, side, class, n, map[, root]) to (key, x, y)."""
+def _compare(scheme: Scheme, forests: int):
+    """Task over posts by (key, part, n): (key, part, n, side, cls, root, map) to (key, x, y, more).
 
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        cols = {name: table[name].combine_chunks() for name in table.schema.names}
-        cols = {k: pa.concat_arrays(v.chunks) if isinstance(v, pa.ChunkedArray) else v for k, v in cols.items()}
-        band, key, part, side, cls, n = (cols[c].to_numpy() for c in ("band", "key", "part", "side", "cls", "n"))
-        root = cols["root"].to_numpy() if "root" in cols else None
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        cut = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1], [True]]))
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            width = int(scheme.bits[band[lo]]) // 64
-            packed = cols["map"].slice(lo, hi - lo)
-            maps = np.frombuffer(b"".join(packed.to_pylist()), np.uint64).reshape(-1, width)
-            change = np.ones(hi - lo, bool)
-            change[1:] = (key[lo + 1 : hi] != key[lo : hi - 1]) | (part[lo + 1 : hi] != part[lo : hi - 1])
-            group = np.cumsum(change)
-            i, j, d = _near(scheme, group, side[lo:hi], n[lo:hi], maps, None if root is None else root[lo:hi])
-            if forest and len(i):
-                # a class is another vertex in each group
-                keep = _forest(i, j, d)
-                i, j = i[keep], j[keep]
-            x, y = cls[lo:hi][i], cls[lo:hi][j]
-            out.append((key[lo:hi][i], np.minimum(x, y), np.maximum(x, y)))
-        k, x, y = (np.concatenate([o[c] for o in out]) if out else np.zeros(0, np.int64) for c in range(3))
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(x), pa.array(y)], ["key", "x", "y"])
+    ``more`` tells that a part has further pairs that may link, beyond its ``forests`` forests.
+    """
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, part, n, side, cls, root = (rows[c].to_numpy() for c in ("key", "part", "n", "side", "cls", "root"))
+        begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]), [True]]))
+        cost = np.cumsum(np.diff(begin) ** 2)
+        lo = 0
+        while lo < len(cost):  # some whole groups at a time
+            hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + HELD, side="right")))
+            cut = slice(begin[lo], begin[hi])
+            group = np.repeat(np.arange(hi - lo), np.diff(begin[lo : hi + 1]))
+            _, vertex = np.unique(root[cut], return_inverse=True)
+            vertex = group * (vertex.max(initial=0) + 1) + vertex  # a component is another vertex in each group
+            i, j, away = _near(scheme, group, side[cut], n[cut], Maps(rows["map"].combine_chunks().slice(cut.start, cut.stop - cut.start)), root[cut])
+            left = np.arange(len(i))
+            taken = [np.zeros(0, np.int64)]
+            for _ in range(forests):
+                if not len(left):
+                    break
+                tree = _forest(vertex[i[left]], vertex[j[left]], away[left])
+                taken.append(left[tree])
+                left = np.delete(left, tree)
+            take = np.concatenate(taken)
+            more = np.isin(group[i[take]], group[i[left]])
+            x, y = cls[cut][i[take]], cls[cut][j[take]]
+            yield pa.RecordBatch.from_arrays([pa.array(key[cut][i[take]]), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(more)], ["key", "x", "y", "more"])
+            lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            # the last group may go on in the next batch
-            key, part, band = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(0).to_numpy()
-            last = np.flatnonzero((key != key[-1]) | (part != part[-1]) | (band != band[-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut == 0 and held and _ends_with(held[-1], key[0], part[0], band[0]):
-                held.append(batch)
-                continue
-            if cut == 0 and not held:
-                held.append(batch)
-                continue
-            held.append(batch.slice(0, cut))
-            yield compare(pa.Table.from_batches(held))
-            held = [batch.slice(cut)]
+            key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            change = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+            cut = int(change[-1]) if len(change) else 0
+            if held and (cut or (key[0], part[0]) != last):  # the last group may go on in the next batch
+                yield from compare(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from compare(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+            last = (key[-1], part[-1])
         if held:
-            yield compare(pa.Table.from_batches(held))
+            yield from compare(pa.Table.from_batches(held))
 
     return run
 
 
-def _ends_with(batch: pa.RecordBatch, key: int, part: int, band: int) -> bool:
-    return (batch.column(0)[-1].as_py(), batch.column(1)[-1].as_py(), batch.column(2)[-1].as_py()) == (band, key, part)
-
+def _mixed_pairs(rows: DataFrame, maps: DataFrame, scheme: Scheme, forests: int) -> DataFrame:
+    """Candidate pairs (key, x, y, more) of groups with several components.
 
-def _pairs(posts: DataFrame, maps: DataFrame, scheme: Scheme, forest: bool) -> DataFrame:
-    """Candidate pairs (key, x, y) of the posts of each group, blocks of large groups pairwise."""
-    # a row of block s meets block t in part (min, max); alone in its block it meets itself
-    spread = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).cast("bigint").alias("part"), F.lit(-1).alias("side")))).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.col("blocks").cast("int") - 1),
-            lambda t: F.struct(
-                (F.least(t, F.col("block")).cast("bigint") * F.col("blocks") + F.greatest(t, F.col("block"))).alias("part"),
-                F.when(t == F.col("block"), -1).when(F.col("block") < t, 0).otherwise(1).alias("side"),
-            ),
-        )
+    ``rows``: (key, cls, n, root, giant, giant_rows, rows); blocks of the giant, the group's largest
+    component, meet only the blocks of the others.
+    """
+    minor = F.col("root") != F.col("giant")
+    blocks = lambda n: F.ceil(n / float(BLOCK)).cast("bigint")
+    rows = rows.withColumn("minors", blocks(F.col("rows") - F.col("giant_rows"))).withColumn("blocks", F.col("minors") + blocks(F.col("giant_rows")))
+    h = F.xxhash64("cls")
+    rows = rows.withColumn("block", F.when(minor, F.pmod(h, F.col("minors"))).otherwise(F.col("minors") + F.pmod(h, F.col("blocks") - F.col("minors"))))
+    met = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.when(minor, F.col("blocks")).otherwise(F.col("minors")) - 1),
+        lambda t: F.struct(
+            (F.least(t, F.col("block")) * F.col("blocks") + F.greatest(t, F.col("block"))).alias("part"),
+            F.when(t == F.col("block"), -1).when(F.col("block") < t, 0).otherwise(1).alias("side"),
+        ),
     )
-    rows = posts.withColumn("blocks", F.ceil(F.col("rows") / float(BLOCK)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("at", F.explode(spread))
-    rest = ["root"] if "root" in posts.columns else []
-    rows = rows.select("band", "key", F.col("at.part").alias("part"), F.col("at.side").alias("side"), "cls", "n", *rest).join(maps, ["cls", "band"])
-    rows = rows.select("band", "key", "part", "side", "cls", "n", "map", *rest)
-    rows = rows.repartition("band", "key", "part").sortWithinPartitions("band", "key", "part")
-    return rows.mapInArrow(_compare(scheme, forest), "key bigint, x bigint, y bigint")
-
-
-def _few_pairs(posts: DataFrame, maps: DataFrame, scheme: Scheme) -> DataFrame:
-    """Candidate pairs (x, y) of the groups of FEW rows at most: each has FEW * (FEW - 1) / 2 pairs at most."""
-    groups = posts.groupBy("key", "band").agg(F.array_sort(F.collect_set(F.struct("cls", "n"))).alias("c"))
-    both = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice(F.col("c"), i + 2, FEW), lambda y: F.struct(x["cls"].alias("x"), x["n"].alias("nx"), y["cls"].alias("y"), y["n"].alias("ny")))))
-    pairs = groups.filter(F.size("c") > 1).select("band", F.explode(both).alias("p")).select("band", "p.*")
-    pairs = pairs.filter((F.least("nx", "ny") * scheme.den >= F.greatest("nx", "ny") * scheme.num)).distinct()
-    mx, my = maps.select(F.col("cls").alias("x"), "band", F.col("map").alias("mx")), maps.select(F.col("cls").alias("y"), "band", F.col("map").alias("my"))
-    pairs = pairs.join(mx, ["x", "band"]).join(my, ["y", "band"]).select("x", "y", "nx", "ny", "mx", "my")
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("part"), F.lit(-1).alias("side")))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("rows") <= BLOCK, whole).otherwise(met)))
+    rows = rows.select("key", "at.part", "n", "at.side", "cls", "root").join(maps.select("cls", "map"), "cls").select("key", "part", "n", "side", "cls", "root", "map")
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "n").mapInArrow(_compare(scheme, forests), "key bigint, x bigint, y bigint, more boolean")
+
+
+def _within_limit(pairs: DataFrame, maps: DataFrame, scheme: Scheme) -> DataFrame:
+    """Of the pairs (x, y, nx, ny) those whose maps differ in no more bits than linked sets may."""
+    mx, my = (maps.select(F.col("cls").alias(c), F.col("map").alias(f"m{c}")) for c in "xy")
+    pairs = pairs.join(mx, "x").join(my, "y").select("x", "y", "nx", "ny", "mx", "my")
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            width = [len(m) for m in batch.column(4).to_pylist()]
-            bits = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64) ^ np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64)
-            away = np.zeros(len(bits) + 1, np.int64)
-            np.cumsum(np.bitwise_count(bits), out=away[1:])
-            edge = np.concatenate([[0], np.cumsum(width)]).astype(np.int64) // 8
-            ok = away[edge[1:]] - away[edge[:-1]] <= scheme.limit(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            here = np.arange(batch.num_rows)
+            away = Maps(batch.column(4)).differ(here, Maps(batch.column(5)), here)
+            ok = away <= scheme.limit(batch.column(2).to_numpy(), batch.column(3).to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(ok))
 
     return pairs.mapInArrow(thin, "x bigint, y bigint")
@@ -356,7 +499,7 @@ def _few_pairs(posts: DataFrame, maps: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def _fragment_table(docs: DataFrame, scheme: Scheme, wanted: DataFrame) -> DataFrame:
-    """(cls, part, tokens) of the classes in ``wanted`` (cls, doc_id): their sets cut into PARTS fragments."""
+    """(cls, part, tokens) of the classes in ``wanted``: their sets cut into PARTS fragments, as bytes."""
     spark = docs.sparkSession
     filled = spark.sparkContext.broadcast(bit_filter(wanted, "cls"))
 
@@ -365,41 +508,65 @@ def _fragment_table(docs: DataFrame, scheme: Scheme, wanted: DataFrame) -> DataF
             for _lo, _hi, data, off in K.chunks(batch.column(0)):
                 h, counts = scheme.sets(data, off)
                 first = np.concatenate([[0], np.cumsum(counts)])
-                a, _ = _digests(h, first)
-                a = a.view(np.int64)
+                a = _digests(h, first)[0].view(np.int64)
                 take = np.flatnonzero(may_hold(filled.value, a) & (counts > 0))
                 _, once = np.unique(a[take], return_index=True)
                 take = take[np.sort(once)]
                 at, row = K.spread(first[take], counts[take])
                 tokens = h[at]
-                piece = (tokens >> _U(61)).astype(np.int64)
+                piece = ((tokens >> _U(32)) * _U(PARTS) >> _U(32)).astype(np.int32)
                 new = np.ones(len(tokens), bool)
                 new[1:] = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])
                 begin = np.flatnonzero(new)
-                lengths = np.diff(np.append(begin, len(tokens)))
-                yield pa.RecordBatch.from_arrays([pa.array(a[take][row[begin]]), pa.array(piece[begin].astype(np.int32)), list_array(as_longs(tokens), lengths)], ["cls", "part", "tokens"])
+                packed = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((8 * np.append(begin, len(tokens))).astype(np.int32)), pa.py_buffer(tokens)])
+                yield pa.RecordBatch.from_arrays([pa.array(a[take][row[begin]]), pa.array(piece[begin]), packed], ["cls", "part", "tokens"])
+
+    return docs.select("text").mapInArrow(scan, "cls bigint, part int, tokens binary")
+
+
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows by (x, salt, part), that of x itself first: (x, y, common) for each fragment of a pair."""
+    hub, tokens = None, np.zeros(0, _U)
+    for batch in batches:
+        x, salt, part, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        other = batch.column(4).to_numpy()
+        common = np.zeros(len(x), np.int64)
+        for i, raw in enumerate(batch.column(5)):
+            mine = np.frombuffer(raw.as_buffer(), _U)
+            if own[i]:
+                hub, tokens = (x[i], salt[i], part[i]), mine.copy()
+            elif hub == (x[i], salt[i], part[i]):
+                at = np.searchsorted(tokens, mine)
+                at[at == len(tokens)] = 0
+                common[i] = np.count_nonzero(tokens[at] == mine)
+        take = np.flatnonzero(common)
+        yield pa.RecordBatch.from_arrays([pa.array(x[take]), pa.array(other[take]), pa.array(common[take])], ["x", "y", "common"])
 
-    return docs.select("text").mapInArrow(scan, "cls bigint, part int, tokens array<bigint>")
 
-
-def _links(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs (x, y) whose overlaps, counted by fragment and summed, make a link, with ``linked``."""
-    left = sets.select(F.col("cls").alias("x"), "part", F.col("tokens").alias("tx"))
-    right = sets.select(F.col("cls").alias("y"), "part", F.col("tokens").alias("ty"))
-    counted = pairs.join(left, "x").join(right, ["y", "part"]).groupBy("x", "y").agg(F.sum(F.size(F.array_intersect("tx", "ty"))).alias("common"))
-    nx, ny = sizes.select(F.col("cls").alias("x"), F.col("n").alias("nx")), sizes.select(F.col("cls").alias("y"), F.col("n").alias("ny"))
+def _checked(pairs: DataFrame, slim: DataFrame, sizes: DataFrame, scheme: Scheme, stored: Stored) -> DataFrame:
+    """The pairs (x, y) with ``linked``: their overlaps are counted by fragment and summed."""
+    wanted = stored.put(pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct(), "wanted")
+    sets = stored.put(_fragment_table(slim, scheme, wanted).join(wanted, "cls", "left_semi").dropDuplicates(["cls", "part"]), "sets")
+    # every y goes to its x, or to one of the places of an x that has very many
+    many = pairs.groupBy("x").agg(F.ceil(F.count("*") / float(BLOCK)).cast("int").alias("places"))
+    to = pairs.join(many, "x").select("x", F.pmod(F.xxhash64("y"), F.col("places")).cast("int").alias("salt"), F.lit(False).alias("own"), F.col("y").alias("cls"))
+    at = many.select("x", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("salt"), F.lit(True).alias("own"), F.col("x").alias("cls"))
+    rows = to.unionByName(at).join(sets, "cls").select("x", "salt", "part", "own", "cls", "tokens")
+    rows = rows.repartition("x", "salt", "part").sortWithinPartitions("x", "salt", "part", F.desc("own"))
+    counted = rows.mapInArrow(_overlaps, "x bigint, y bigint, common bigint").groupBy("x", "y").agg(F.sum("common").alias("common"))
+    nx, ny = (sizes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}")) for c in "xy")
     full = pairs.join(counted, ["x", "y"], "left").join(nx, "x").join(ny, "y")
     common = F.coalesce("common", F.lit(0))
-    return full.select("x", "y", (common * scheme.den >= (F.col("nx") + F.col("ny") - common) * scheme.num).alias("linked"))
+    out = stored.put(full.select("x", "y", (common * scheme.den >= (F.col("nx") + F.col("ny") - common) * scheme.num).alias("linked")), "checked")
+    stored.drop(sets, wanted)
+    return out
 
 
-def _checked(pairs: DataFrame, slim: DataFrame, sizes: DataFrame, scheme: Scheme, stored: Stored) -> DataFrame:
-    wanted = stored.put(pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct(), "wanted")
-    sets = _fragment_table(slim, scheme, wanted).join(wanted, "cls", "left_semi").dropDuplicates(["cls", "part"])
-    sets = stored.put(sets, "sets")
-    checked = stored.put(_links(pairs, sets, sizes, scheme), "checked")
-    stored.drop(sets)
-    return checked
+def _same_groups(posts: DataFrame) -> DataFrame:
+    """(key, hub, hub_n): one digest of all that are in the same classes, and the class that meets all others."""
+    h = F.xxhash64("cls")
+    groups = posts.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct("cls", "n")).alias("hub"), F.bit_xor(h).alias("one"), F.sum(F.xxhash64(h).bitwiseAND(F.lit(0xFFFFFFFF))).alias("two"))
+    return groups.groupBy("rows", "hub", "one", "two").agg(F.min("key").alias("key")).select("key", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"))
 
 
 def similar_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, seed: int = 0) -> DataFrame:
@@ -409,57 +576,50 @@ def similar_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     stored = Stored(spark)
     scheme = Scheme(shingle, numerator, denominator, seed)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = stored.put(_signature_table(slim, scheme), "signatures")
-    ids = stored.put(signed.select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("cls"), "b"), "ids")
-    classes = ids.filter("n_shingles > 0").groupBy("cls").agg(F.min("b").alias("b"), F.max("b").alias("b2"), F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"))
+    found = stored.put(_class_table(slim, scheme), "found")
+    ids = found.select("doc_id", "n_shingles", "cls")
+    classes = found.filter("n_shingles > 0").groupBy("cls").agg(F.min("b").alias("b"), F.max("b").alias("b2"), F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.count("*").alias("rows"))
     classes = stored.put(classes, "classes")
     if not classes.filter("b <> b2").isEmpty():  # two sets of one digest: hash anew
-        stored.drop(signed, ids, classes)
+        stored.drop(found, classes)
         return similar_components(docs, doc_id=doc_id, text=text, shingle=shingle, numerator=numerator, denominator=denominator, seed=seed + 1)
     sizes = classes.select("cls", "n")
 
-    # digests of two classes or more
-    seen = signed.select("a", F.explode("schemes").alias("s")).select("a", F.explode("s.digests").alias("key"))
-    repeated = seen.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("rows")).filter("lo <> hi")
-    repeated = stored.put(repeated.select("key", "rows"), "repeated")
-    filled = spark.sparkContext.broadcast(bit_filter(repeated, "key"))
-
-    def posts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests = batch.column(3)
-            key = digests.flatten().to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), digests.value_lengths().to_numpy(zero_copy_only=False))
-            at = np.flatnonzero(may_hold(filled.value, key)) if len(key) else np.zeros(0, np.int64)
-            pick = pa.array(row[at])
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), *(batch.column(i).take(pick) for i in range(3))], ["key", "cls", "n", "band"])
-
-    schemes = signed.select(F.col("a").alias("cls"), "n", F.explode("schemes").alias("s"))
-    posts = schemes.select("cls", "n", "s.band", "s.digests").mapInArrow(posts_of, "key bigint, cls bigint, n bigint, band int").distinct()
-    posts = stored.put(posts.join(repeated, "key"), "posts")
-    active = posts.select("cls", "band").distinct()
-    maps = schemes.select("cls", "s.band", "s.map").join(active, ["cls", "band"], "left_semi").dropDuplicates(["cls", "band"])
+    every = stored.put(_posts(slim, classes, scheme), "every-post")
+    posts = stored.put(every.join(_same_groups(every), "key"), "posts")
+    stored.drop(every)
+    maps = found.select("cls", "map").join(posts.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
     maps = stored.put(maps, "maps")
-    stored.drop(signed)
-
-    edges = stored.put(_pairs(posts.filter(F.col("rows") > FEW), maps, scheme, True), "forest")
-    few = _few_pairs(posts.filter(F.col("rows") <= FEW), maps, scheme)
-    pairs = stored.put(edges.select("x", "y").union(few).distinct(), "pairs")
-    checked = _checked(pairs, slim, sizes, scheme, stored)
-    roots = components(checked.filter("linked"), stored, "x", "y")
-
-    failed = edges.join(checked.filter("not linked"), ["x", "y"], "left_semi").select("key").distinct()
-    if not failed.isEmpty():
-        r = roots.select(F.col("vertex").alias("cls"), "root")
-        again = posts.join(failed, "key", "left_semi").join(r, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        more = stored.put(_pairs(again, maps, scheme, False).select("x", "y").distinct().join(checked, ["x", "y"], "left_anti"), "more")
-        if not more.isEmpty():
-            second = _checked(more, slim, sizes, scheme, stored)
-            roots = components(checked.filter("linked").unionByName(second.filter("linked")), stored, "x", "y")
-
-    roots = roots.select(F.col("vertex").alias("cls"), "root")
+    fits = F.least("n", "hub_n") * scheme.den >= F.greatest("n", "hub_n") * scheme.num
+    pairs = posts.filter((F.col("cls") != F.col("hub")) & fits).select(F.col("hub").alias("x"), F.col("cls").alias("y"), F.col("hub_n").alias("nx"), F.col("n").alias("ny")).distinct()
+    checked = _checked(stored.put(_within_limit(pairs, maps, scheme), "pairs"), slim, sizes, scheme, stored)
+
+    root_table = lambda: components(checked.filter("linked"), stored, "x", "y").select(F.col("vertex").alias("cls"), "root")
+    forests, open_, roots = 1, posts.select("key", "cls", "n"), root_table()
+    while True:
+        named = open_.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        tally = named.groupBy("key", "root").agg(F.count("*").alias("rows")).groupBy("key")
+        tally = tally.agg(F.max_by("root", F.struct("rows", "root")).alias("giant"), F.max("rows").alias("giant_rows"), F.sum("rows").alias("rows"), F.count("*").alias("roots"))
+        mixed = stored.put(named.join(tally.filter("roots > 1").drop("roots"), "key"), "mixed")
+        near = stored.put(_mixed_pairs(mixed, maps, scheme, forests), "near")
+        done = checked.select("x", "y").union(checked.select("y", "x"))
+        new = stored.put(near.select("x", "y").distinct().join(done, ["x", "y"], "left_anti"), "new-pairs")
+        if not new.isEmpty():
+            counted = _checked(new, slim, sizes, scheme, stored)
+            checked = checked.unionByName(counted)
+            if not counted.filter("linked").isEmpty():
+                roots = root_table()
+        left = near.filter("more").select("key").distinct()
+        if left.isEmpty():
+            break
+        open_ = stored.put(mixed.select("key", "cls", "n").join(left, "key", "left_semi"), "open")
+        stored.drop(mixed, near)
+        forests *= 4
+
     least = classes.join(roots, "cls").groupBy("root").agg(F.min("first_id").alias("least"))
     named = classes.join(roots.join(least, "root").select("cls", "least"), "cls", "left").select("cls", F.coalesce("least", "first_id").alias("component_id"))
     named = stored.put(named, "components")
+    stored.drop(posts, maps, classes)
     out = ids.join(named, "cls", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
