@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are processed at a time (a longer single text is one chunk).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 U64 = np.uint64
 _FULL = U64(0xFFFFFFFFFFFFFFFF)

@@ -9,9 +9,10 @@ fitted to the scaled indicators by dual coordinate descent.  A logistic curve
 fitted to cross-validated margins turns a margin into a score from 0 to 1.
 
 Fitting takes at most ``MAX_TRAIN_PER_CLASS`` labelled rows of each class, those
-with the smallest digests of their id; the classes' true sizes, counted over all
+with the smallest digests of their id, and of these as many as have
+``MAX_TRAIN_PLACES`` feature places together; the classes' true sizes, counted over all
 labelled rows, weigh them in the calibration.  Scoring covers every row where it
-is read: the model (1 MB, whatever the input) is broadcast and nothing is shuffled.
+is read: the model (2 MB, whatever the input) is broadcast and nothing is shuffled.
 
 Defined results: a null text is scored like an empty one; rows of one id are
 scored by their own texts; a label row with a null id or label isn't used, an id
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -34,8 +36,9 @@ from . import kernels as K
 from .runtime import list_array
 
 DIMENSIONS = 1 << 18
-#: Bound of the sample that is fitted.
+#: Bounds of the sample that is fitted: rows of each class, and feature places (4 bytes each) of all.
 MAX_TRAIN_PER_CLASS = 4000
+MAX_TRAIN_PLACES = 1 << 24
 THRESHOLD = 0.3
 FOLDS = 5
 _U = np.uint64
@@ -99,40 +102,62 @@ class Model:
         return out
 
 
-def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+class Rows:
+    """Feature rows laid end to end: places of row i are places[edge[i]:edge[i + 1]]."""
+
+    def __init__(self, places: np.ndarray, counts: np.ndarray):
+        self.places, self.counts = places, counts
+        self.edge = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    def part(self, mask: np.ndarray) -> Rows:
+        return Rows(self.places[np.repeat(mask, self.counts)], self.counts[mask])
+
+    def total(self, values: np.ndarray) -> np.ndarray:
+        """Sum over the places of each row."""
+        sums = np.concatenate([[0.0], np.cumsum(values)])
+        return sums[self.edge[1:]] - sums[self.edge[:-1]]
+
+
+def log_count_ratios(rows: Rows, labels: np.ndarray) -> np.ndarray:
     counts = []
     for label in (1, 0):
-        of = [r for r, y in zip(rows, labels, strict=True) if y == label]
-        c = np.bincount(np.concatenate(of), minlength=DIMENSIONS).astype(float) if of else np.zeros(DIMENSIONS)
-        counts.append((c + 1.0) / (len(of) + 2.0))
+        of = rows.part(labels == label)
+        counts.append((np.bincount(of.places, minlength=DIMENSIONS) + 1.0) / (len(of) + 2.0))
     return np.log(counts[0] / counts[1])
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, cost: float = 1.0, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
+def _lengths(rows: Rows, scale: np.ndarray) -> np.ndarray:
+    return np.maximum(np.sqrt(rows.total(scale[rows.places] ** 2)), 1e-9)
+
+
+def dual_coordinate_descent(rows: Rows, labels: np.ndarray, scale: np.ndarray, cost: float = 1.0, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights over places and bias of the hinge-loss model on indicators times ``scale``, rows of unit length."""
     y = np.where(labels == 1, 1.0, -1.0)
-    values = [scale[r] for r in rows]
-    length = [1.0 / max(np.sqrt((v * v).sum()), 1e-9) for v in values]
-    values = [v * z for v, z in zip(values, length, strict=True)]
+    length = _lengths(rows, scale)
     w, bias, alpha = np.zeros(DIMENSIONS), 0.0, np.zeros(len(rows))
-    square = np.array([(v * v).sum() + 1.0 for v in values])
+    square = rows.total(scale[rows.places] ** 2) / length**2 + 1.0
     n_pos = max((y > 0).sum(), 1)
     upper = np.where(y > 0, cost * len(y) / (2.0 * n_pos), cost * len(y) / (2.0 * max(len(y) - n_pos, 1)))
     order = np.random.default_rng(seed)
     for _ in range(rounds):
         for i in order.permutation(len(rows)):
-            slope = y[i] * (w[rows[i]] @ values[i] + bias) - 1.0
+            at = rows.places[rows.edge[i] : rows.edge[i + 1]]
+            values = scale[at] / length[i]
+            slope = y[i] * (w[at] @ values + bias) - 1.0
             new = min(max(alpha[i] - slope / square[i], 0.0), upper[i])
             step = (new - alpha[i]) * y[i]
             if step:
-                w[rows[i]] += step * values[i]
+                w[at] += step * values
                 bias += step
                 alpha[i] = new
     return w, bias
 
 
-def _margins(rows: list[np.ndarray], scale: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
-    return np.array([(w[r] * scale[r]).sum() / max(np.sqrt((scale[r] ** 2).sum()), 1e-9) + bias for r in rows])
+def _margins(rows: Rows, scale: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
+    return rows.total((w * scale)[rows.places]) / _lengths(rows, scale) + bias
 
 
 def _logistic(margin: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -170,7 +195,7 @@ class UnitModel(Model):
         return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, sizes: tuple[int, int]) -> Model:
+def fit(rows: Rows, labels: np.ndarray, sizes: tuple[int, int]) -> Model:
     """The model from feature rows; ``sizes`` counts the labels 0 and 1 of which the rows are a sample."""
     have = np.array([(labels == 0).sum(), (labels == 1).sum()])
     if not have.all():
@@ -179,14 +204,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, sizes: tuple[int, int]) -> M
     margin = np.zeros(len(rows))
     fold = np.arange(len(rows)) % FOLDS
     for f in range(FOLDS):
-        train = np.flatnonzero(fold != f)
+        train = fold != f
         if len(set(labels[train])) < 2:
             continue
-        part = [rows[i] for i in train]
+        part = rows.part(train)
         scale = log_count_ratios(part, labels[train])
         w, bias = dual_coordinate_descent(part, labels[train], scale, rounds=6)
-        test = np.flatnonzero(fold == f)
-        margin[test] = _margins([rows[i] for i in test], scale, w, bias)
+        margin[~train] = _margins(rows.part(~train), scale, w, bias)
     weight = (np.array(sizes) / have)[labels]
     slope, shift = _logistic(margin, labels.astype(float), weight * len(rows) / weight.sum())
     scale = log_count_ratios(rows, labels)
@@ -199,7 +223,7 @@ def held_out(doc_id: Column, parts: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(parts)) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality", most: int = MAX_TRAIN_PER_CLASS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality", most: int = MAX_TRAIN_PER_CLASS, most_places: int = MAX_TRAIN_PLACES) -> Model:
     spark = docs.sparkSession
     ship_package(spark)
     known = labels.select(F.col(label_id).alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
@@ -219,11 +243,13 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), list_array(pa.array(places), counts)], ["id", "y", "places"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    rows = texts.mapInArrow(extract, f"id {kind}, y int, places array<int>").toArrow().sort_by("id")
-    flat = rows["places"].combine_chunks()
-    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
-    values, off = flat.flatten().to_numpy(), np.concatenate([[0], np.cumsum(flat.value_lengths().to_numpy(zero_copy_only=False))]) if len(flat) else np.zeros(1, int)
-    return fit([values[off[i] : off[i + 1]] for i in range(len(flat))], rows["y"].to_numpy(), (sizes.get(0, 0), sizes.get(1, 0)))
+    rows = texts.mapInArrow(extract, f"id {kind}, y int, places array<int>")
+    # 2 * most rows at most: as many of them as the bound on places allows
+    rows = rows.withColumn("places_so_far", F.sum(F.size("places")).over(W.orderBy(F.xxhash64("id"), "id").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    table = rows.filter(F.col("places_so_far") <= most_places).drop("places_so_far").toArrow().sort_by("id").combine_chunks()
+    lists = table["places"].combine_chunks()
+    found = Rows(lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    return fit(found, table["y"].to_numpy(), (sizes.get(0, 0), sizes.get(1, 0)))
 
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
