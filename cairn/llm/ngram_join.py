@@ -59,7 +59,7 @@ SHINGLE = 3
 NUMERATOR, DENOMINATOR = 90, 100
 BLOCK = 1024
 #: Digests that a task packs at a time, and about as many meet in a bucket.
-PACK = 1 << 19
+PACK = 1 << 18
 #: Pairs of which a task holds the distances at a time.
 HELD = 1 << 21
 LEAST_BITS = 256
