@@ -1,12 +1,15 @@
+import bisect
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, licenses, line_dedup, mixing, ngram_join, privacy, quality, span_dedup, topk, url_filter
+from cairn.llm import components, decontaminate, licenses, line_dedup, mixing, ngram_join, privacy, quality, span_dedup, topk, url_filter
+from cairn.session import Stored
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,6 +65,61 @@ def test_license_scan(spark):
     assert sum(r.doc_id == 5 for r in got) == 2
 
 
+def brute_alignment(words, template):
+    """(matched, start, end) of the longest common subsequence; of the best the one that begins latest and ends first."""
+    row, best = [(0, -1)] * (len(words) + 1), (0, -1, -1)
+    for t in template:
+        new = [(0, -1)]
+        for j, w in enumerate(words):
+            cell = max(row[j + 1], new[j])
+            if w == t:
+                taken = (row[j][0] + 1, row[j][1] if row[j][0] else j)
+                cell = max(cell, taken)
+                if taken > best[:2]:
+                    best = (*taken, j + 1)
+            new.append(cell)
+        row = new
+    return best
+
+
+def test_license_places_match_brute_force(spark):
+    rng = random.Random(12)
+    templates = {f"t{n}": " ".join(f"t{n}w{rng.randrange(n)}" for _ in range(n)) for n in (1, 4, 12, 60, 300)}
+    texts, expected = [], []
+    for _ in range(40):
+        parts, at = [], 0
+        for _ in range(rng.randrange(1, 6)):
+            junk = [f"junk{rng.randrange(9)}" for _ in range(rng.randrange(30, 60))]
+            name = rng.choice(sorted(templates))
+            words = templates[name].split()
+            for _ in range(rng.randrange(1 + len(words) // 12)):  # edits, within the band
+                i = rng.randrange(len(words))
+                words[i : i + rng.randrange(2)] = rng.choice([[], ["other"], [words[i].upper()]]) if abs(len(words) - len(templates[name].split())) < 6 else ["other"]
+            matched, start, end = brute_alignment([w.lower() for w in words], templates[name].split())
+            if matched >= licenses.MIN_COVERAGE * len(templates[name].split()):
+                expected.append((len(texts), name, matched, at + len(junk) + start, at + len(junk) + end))
+            parts += junk + words
+            at += len(junk) + len(words)
+        texts.append(" ".join(parts))
+    got = []
+    for r in licenses.scan_licenses(docs(spark, texts), templates).collect():
+        got.append((r.doc_id, r.license, r.matched, len(texts[r.doc_id][: r.start].split()), len(texts[r.doc_id][: r.end].split())))
+    assert sorted(got) == sorted(expected) and len(expected) > 50
+    again = licenses.scan_licenses(docs(spark, texts), templates, max_template_bytes=100)  # a pass for each template
+    assert sorted((r.doc_id, r.license, r.matched) for r in again.collect()) == sorted(x[:3] for x in expected)
+
+
+def test_license_scan_of_a_long_text_of_notices(spark, tmp_path):
+    notice = licenses.TEMPLATES["MIT (notice)"]
+    began = time.time()
+    got = licenses.scan_licenses(docs(spark, [f"{notice} " * 20000, (licenses.TEMPLATES["MIT (text)"] + " ") * 300])).groupBy("doc_id", "license").count().collect()
+    assert {(r.doc_id, r.license): r["count"] for r in got} == {(0, "MIT (notice)"): 20000, (1, "MIT (text)"): 300}
+    assert time.time() - began < 30
+    (tmp_path / "one.txt").write_text("a text of my own")
+    assert licenses.read_templates(spark, str(tmp_path)) == {"one": "a text of my own"}
+    assert licenses.scan_licenses(docs(spark, ["A TEXT of, my own", "x"]), {"one": "a text of my own", "none": "..."}).count() == 1
+
+
 def test_line_dedup(spark):
     texts = [f"Menu\nunique line {i}\n\n Menu \nend {i % 2}" for i in range(20)] + [None, "", "Menu"]
     df = docs(spark, texts, ["a"] * 20 + ["a", "a", None])
@@ -89,6 +147,39 @@ def test_topk_matches_brute_force(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_of_large_components_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "MAX_QUERY_VALUES", 40)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "PIVOT_SAMPLE", 50)
+    rng = random.Random(16)
+    for top in (2**8, 2**27, 2**31, 2**45):  # scores below 2**53, below 2**63, and beyond what a bigint holds
+        x = {i: [rng.randrange(-top, top) for _ in range(4)] for i in range(120)}
+        x[118], x[119] = x[0][:], [v + 1 for v in x[0]]
+        df = spark.createDataFrame([(i, [v / 256 for v in e]) for i, e in x.items()], "vec_id bigint, embedding array<double>").repartition(3)
+        want = []
+        for i in range(0, 120, 7):
+            held = lambda j: min(max(sum(a * b for a, b in zip(x[i], x[j])), -(2**63)), 2**63 - 1)  # noqa: B023, E731
+            want += [(i, r + 1, j, held(j)) for r, j in enumerate(sorted((j for j in x if j != i), key=lambda j: (-held(j), j))[:4])]  # noqa: B023
+        got = topk.top_k(df, F.col("vec_id") % 7 == 0, k=4)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_topk_skips_what_pivots_rule_out():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16)) * 400
+    x = np.floor(np.concatenate([c + rng.normal(size=(100, 16)) * 20 for c in centres])).astype(np.int64)
+    ids = np.arange(len(x))
+    order = rng.permutation(len(x))
+    sample, q = order[:1000], ids[::50]
+    search = topk.Searcher(q, x[q], topk.choose_pivots(x[sample].astype(float), topk.PIVOTS), 5, topk.sample_floors(q, x[q], sample, x[sample], 5))
+    for lo in range(0, len(x), 500):
+        search.scan(ids[lo : lo + 500], x[lo : lo + 500])
+    assert search.pairs == len(q) * (len(x) - 1) and search.evaluated < 0.35 * search.pairs
+    score = x[q] @ x.T
+    score[np.arange(len(q)), q] = -(2**62)
+    assert (np.sort(score)[:, :-6:-1] == search.best.scores).all()
+
+
 def test_url_filter(spark):
     rules = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), ("Bare.Host", "block")]
     urls = ["http://A.Example.NET/en/x?q", "https://example.net/fr/", "http://example.net", "http://badexample.com/de/", "x://m.example.com/de/1#a", None, "nonsense", "http://a.org/fr/?", "http://x.bare.host:80/", "http://x.bare.host", "http://" + "a." * 3000 + "net/" + "p" * 5000]
@@ -141,11 +232,11 @@ def test_quality(spark):
     assert quality.keep_good(df, model).columns == df.columns
 
 
-def brute_components(texts, num=90, den=100):
+def brute_components(texts, num=90, den=100, k=3):
     sets = []
     for t in texts:
         w = SPACED.findall((t or "").translate(LOWER))
-        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
     root = list(range(len(texts)))
 
     def find(x):
@@ -183,6 +274,34 @@ def test_ngram_join_matches_brute_force(spark, monkeypatch):
     assert ngram_join.similar_components(docs(spark, [])).count() == 0
 
 
+def test_ngram_join_of_large_groups_in_small_pieces(spark, monkeypatch):
+    """Chains and crowds about the threshold: blocks, packs and held pairs far smaller than a group."""
+    for name, size in (("BLOCK", 8), ("PACK", 300), ("HELD", 64)):
+        monkeypatch.setattr(ngram_join, name, size)
+    rng = random.Random(14)
+    texts = [" ".join(f"w{j}" for j in range(3000))]  # one very long text
+    for n in (30, 90):
+        words = prose(rng, n, 4000).split()
+        for _ in range(40):  # a chain that drifts away from where it began
+            words[rng.randrange(n)] = f"c{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+        base = prose(rng, n, 4000)
+        texts += [edited(rng, base, 0.03) for _ in range(60)]
+    texts += texts[50:90]
+    rng.shuffle(texts)
+    for options, brute in (({"shingle": 5, "numerator": 80, "denominator": 100}, {"num": 80, "k": 5}), ({}, {})):
+        got = ngram_join.similar_components(docs(spark, texts), **options)
+        assert sorted(map(tuple, got.collect())) == brute_components(texts, **brute)
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(i, j) for i in range(3) for j in range(3)] + [(None, 5), (6, None), (9, 9)]
+    got = components.components(spark.createDataFrame(links, "a bigint, b bigint"), Stored(spark))
+    expected = {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(200, 260)]} | {i: 0 for i in range(3)}
+    assert {r.vertex: r.root for r in got.collect()} == expected
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint"), Stored(spark)).collect() == []
+
+
 def test_span_dedup(spark):
     rng = random.Random(5)
     passage = "Thwhing onwh haheble in to, " + prose(rng, 20) + ". Halynt. That whwh! " + prose(rng, 25) + ". To an."
@@ -196,6 +315,46 @@ def test_span_dedup(spark):
     assert span_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+def brute_spans(rows):
+    """(text, words removed) of each (id, text) by plain string work."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    cut, seen = {}, set()
+    for i in order:
+        text = rows[i][1] or ""
+        stops = [m.end() for m in re.finditer(r"\n|[.!?](?![0-9a-zA-Z\x80-\U0010FFFF,;:\-_/@&=+.!?])", text)]
+        words = [(m.start(), m.group(), bisect.bisect_right(stops, m.start())) for m in ALNUM.finditer(text.translate(LOWER))]
+        sentences = [[w for w in words if w[2] == k] for k in sorted({w[2] for w in words})]
+        gone = set()
+        for a in range(len(sentences)):
+            for b in range(a + span_dedup.MIN_SENTENCES, len(sentences) + 1):
+                run = tuple(w[1] for s in sentences[a:b] for w in s)
+                if len(run) >= span_dedup.MIN_WORDS:
+                    if run in seen:
+                        gone |= set(range(a, b))
+                    seen.add(run)
+                    break
+        bounds = [s[0][0] for s in sentences] + [len(text)]
+        kept = "".join(text[bounds[k] : bounds[k + 1]] for k in range(len(sentences)) if k not in gone)
+        cut[i] = (text[: bounds[0]] + kept if rows[i][1] is not None else None, sum(len(sentences[k]) for k in gone))
+    return [cut[i] for i in range(len(rows))]
+
+
+def test_span_dedup_matches_brute_force(spark):
+    rng = random.Random(15)
+    pool = [f"{prose(rng, rng.randrange(1, 14))}{rng.choice(['.', '!', '?', '...', chr(10), '.%%', '.)'])}" for _ in range(50)]
+    # the digest of the text decides among rows of one id, so these differ in their ids or are alike
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(25)))) for i in range(60)]
+    rows += [rows[7], rows[8], (8, rows[8][1]), (None, rows[9][1]), (None, rows[9][1]), (None, None), (None, None), (70, ""), (71, "a. b"), (72, "a 3.5 b.c d, e. f")]
+    rows.append((80, " ".join(pool[i % 50] for i in range(4000))))  # a very long text
+    rows += [(100 + i, rows[3][1]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    expected = sorted(brute_spans(rows), key=str)
+    got = span_dedup.remove_repeats(df, counts=True)
+    assert sorted(((r.text, r.n_words_removed) for r in got.collect()), key=str) == expected
+    named = span_dedup.remove_repeats(df.selectExpr("lpad(cast(doc_id as string), 3, '0') as doc_id", "text"))  # ids may be strings
+    assert sorted((r.text for r in named.collect()), key=str) == sorted((t for t, _ in expected), key=str)
+
+
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -242,6 +401,21 @@ def test_revealing_terms(spark):
     assert "Zaphod" not in clean[60] and "[email]" in clean[60] and clean[0] == texts[0]
 
 
+def test_secrets_are_opaque_values_of_few_texts(spark):
+    rng = random.Random(17)
+    key = lambda: "".join(rng.choice("0123456789abcdefABCDEF") for _ in range(40))
+    common, mine, twice = key(), key(), key()
+    texts = [f"{prose(rng, 10)} file {common} {i}" for i in range(200)] + [prose(rng, 10) for _ in range(200)]
+    texts += [f'é token = "{mine}" x {twice.upper()}', f"y {twice}", f"é{key()}", "x" * 40, "1" * 40, None, "", f"{key()}"]
+    got = {r.doc_id: r for r in privacy.find_personal_data(docs(spark, texts)).collect()}
+    at, second = texts[400].index(mine), texts[400].index(twice.upper())
+    assert f"secret:{at}:{at + 40},secret:{second}:{second + 40}" == got[400].spans and got[400].n_private == 2
+    assert got[401].n_private == 1 and got[407].spans == "secret:0:40"
+    assert all(got[i].n_private == 0 for i in [*range(400), 402, 403, 404, 405, 406])
+    clean = {r.doc_id: r.text for r in privacy.sanitise(docs(spark, texts)).collect()}
+    assert clean[400] == 'é token = "[secret]" x [secret]' and clean[0] == texts[0]
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(8)
