@@ -1,30 +1,36 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences at a line break, or after ``.``, ``!`` or ``?`` that
-white space follows; a sentence's words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``
+the text's end or a character follows that is neither a word's nor one of
+``, ; : - _ / @ & = + . ! ?``; a sentence's words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``
 with A-Z lower-cased, so spacing and punctuation don't hide a repeat.  From every
 sentence a span runs over at least ``MIN_SENTENCES`` sentences and on until it has
-``MIN_WORDS`` words.  Spans of equal words are the same span; its first occurrence
-is that of the smallest (doc_id, position).  Every sentence that any other
-occurrence covers is removed.
-
-1. Each task reads its texts and emits a 64-bit digest, the id and the position
-   of every span; they are summed to first occurrence and count before and after
+``MIN_WORDS`` words, so that phrases which are common in any text are no repeats; a
+sentence from which no such span fits into the text begins none, but later ones of
+earlier spans are covered like all others.  Spans of equal words are the same span;
+its first occurrence is that of the smallest document and position.  Every sentence
+that any other occurrence covers is removed.
+
+1. The rows are written to the shared folder with a number each, so that both
+   readings below name the same rows, also of one id or without any.
+2. Each task reads its texts and emits a 64-bit digest, the document and the position
+   of every span; they are summed to first and last occurrence before and after
    one shuffle, so a span that is in a third of all texts is a row a task.
-2. Digests that occur once are forgotten.  The others fill a bit filter of fixed
+3. Digests that occur once are forgotten.  The others fill a bit filter of fixed
    size, with which texts are read again to emit only spans that may repeat; these
    are joined to the first occurrences (many rows of one digest can be split, as
-   the other side has one), and what isn't first is gathered for each text as
+   the other side has one), and what isn't first is gathered for each row as
    sentence ranges, bounded by the text itself.
-3. Texts that have ranges are rewritten.  A bit filter of fixed size over their
-   digests lets all other texts pass where they are read; only those that it holds
+4. Texts that have ranges are rewritten.  A bit filter of fixed size over the rows'
+   numbers lets all other texts pass where they are read; only those that it holds
    are shuffled, to meet their ranges.
 
 Defined results: a null text has no sentences and stays null; a text keeps what is
-before its first word in front of its first sentence; a null doc_id comes after
-all others when the first occurrence is chosen; rows that repeat an id are one
-document for that choice, and each is rewritten by its own text; other columns pass
-unchanged; an empty table gives an empty result.
+before its first word in front of its first sentence.  Documents come in the order of
+their ids, a null id after all others; of one id, or of none, by a digest of the text,
+and of one text in the order in which they were written, so every row is a document of
+its own and of equal rows the first stays.  Ids may be of any type that has an order;
+other columns pass unchanged; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +50,9 @@ from .runtime import as_longs, bit_filter, fresh, may_hold
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
-_NO_ID = (1 << 63) - 1
+#: Whether a stop in front of this byte ends a sentence.
+_AFTER_STOP = ~K.ALNUM_BYTES
+_AFTER_STOP[list(b",;:-_/@&=+.!?ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = False
 
 
 class Sentences:
@@ -54,9 +62,8 @@ class Sentences:
         self.words = words = K.Words(data, offsets, K.ALNUM_BYTES)
         n = len(data)
         stop = (data == 0x2E) | (data == 0x21) | (data == 0x3F)
-        space = ~K.NONSPACE_BYTES[data]
         after = np.ones(n, bool)
-        after[:-1] = space[1:]
+        after[:-1] = _AFTER_STOP[data[1:]]
         ends = (stop & after) | (data == 0x0A)
         before = np.zeros(n + 1, np.int64)
         np.cumsum(ends, out=before[1:])
@@ -80,36 +87,38 @@ class Sentences:
 
 
 def _scan_spans(min_sentences: int, min_words: int, filled=None):
+    """Task over (text, columns to carry): the digest and place of every span, or of those that may repeat."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in K.chunks(batch.column(1)):
+            carried = batch.schema.names[1:]
+            for lo, hi, data, off in K.chunks(batch.column(0)):
                 s = Sentences(data, off)
                 at, last, digest = s.spans(min_sentences, min_words)
                 if filled is not None:
                     maybe = may_hold(filled.value, digest.view(np.int64))
                     at, last, digest = at[maybe], last[maybe], digest[maybe]
                 first = s.first[s.doc[at]]
-                row = pa.array(s.doc[at])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(row), batch.column(2).slice(lo, hi - lo).take(row), as_longs(digest), pa.array((at - first).astype(np.int32)), pa.array((last - first).astype(np.int32))], ["doc_id", "text_key", "digest", "start", "end"])
+                row = pa.array(s.doc[at] + lo)
+                yield pa.RecordBatch.from_arrays([as_longs(digest), pa.array((at - first).astype(np.int32)), pa.array((last - first).astype(np.int32)), *(batch.column(c).take(row) for c in carried)], ["digest", "start", "end", *carried])
 
     return scan
 
 
-_SPAN = "doc_id bigint, text_key bigint, digest bigint, start int, end int"
-
-
-def repeated_ranges(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_key, ranges): for each text with repeats, the ranges of sentences to remove, merged."""
+def repeated_ranges(docs: DataFrame, row: str, stored: Stored, *, doc_id: str = "doc_id", text: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+    """(row, ranges): for each row with repeats, named by the column ``row``, the ranges of sentences to remove, merged."""
     spark = docs.sparkSession
-    ship_package(spark)
-    stored = Stored(spark)
-    slim = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NO_ID)).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    every = slim.mapInArrow(_scan_spans(min_sentences, min_words), _SPAN)
-    seen = every.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).filter("first <> last")
-    seen = stored.put(seen.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.start").alias("first_start")), "repeated")
+    whole = F.col(text).cast("string")
+    # rows in the order of documents: named ones first
+    slim = docs.select(whole.alias("text"), F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(whole).alias("text"), F.col(row).alias("row")).alias("doc"))
+    kind = slim.schema["doc"].dataType.simpleString()
+    every = slim.mapInArrow(_scan_spans(min_sentences, min_words), f"digest bigint, start int, end int, doc {kind}")
+    place = F.struct("doc", "start")
+    seen = every.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
+    seen = stored.put(seen.select("digest", F.col("first.doc.row").alias("first_row"), F.col("first.start").alias("first_start")), "repeated")
     filled = spark.sparkContext.broadcast(bit_filter(seen, "digest"))
-    again = slim.mapInArrow(_scan_spans(min_sentences, min_words, filled), _SPAN)
-    other = again.join(seen, "digest").filter("doc_id <> first_id or start <> first_start").select("doc_id", "text_key", F.struct("start", "end").alias("span"))
+    again = docs.select(whole.alias("text"), F.col(row).alias("row")).mapInArrow(_scan_spans(min_sentences, min_words, filled), "digest bigint, start int, end int, row bigint")
+    other = again.join(seen, "digest").filter("row <> first_row or start <> first_start").select("row", F.struct("start", "end").alias("span"))
     merged = F.aggregate(
         F.array_sort(F.collect_set("span")),
         F.array().cast("array<struct<start:int,end:int>>"),
@@ -118,7 +127,9 @@ def repeated_ranges(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")))),
         ).otherwise(F.concat(done, F.array(s))),
     )
-    return stored.put(other.groupBy("doc_id", "text_key").agg(merged.alias("ranges")), "ranges")
+    out = stored.put(other.groupBy("row").agg(merged.alias("ranges")), "ranges")
+    stored.drop(seen)
+    return out
 
 
 def _rewrite(text: str, ranges: list[dict]) -> tuple[str, int, int]:
@@ -144,27 +155,25 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     (``start-end``, end exclusive, comma-joined).
     """
     spark = docs.sparkSession
-    ranges = repeated_ranges(docs, doc_id=doc_id, text=text, min_sentences=min_sentences, min_words=min_words)
-    key, tag, cut = fresh(docs, "span_doc"), fresh(docs, "span_text"), fresh(docs, "span_ranges")
-    ranges = ranges.select(F.col("doc_id").alias(key), F.col("text_key").alias(tag), F.col("ranges").alias(cut))
-    filled = spark.sparkContext.broadcast(bit_filter(ranges, tag))
-    mine = fresh(docs, "text_digest")
-    marked = docs.withColumn(mine, F.xxhash64(F.col(text).cast("string")))
+    ship_package(spark)
+    stored = Stored(spark)
+    mine, key, cut = fresh(docs, "span_row"), fresh(docs, "span_of"), fresh(docs, "span_ranges")
+    numbered = stored.put(docs.withColumn(mine, F.monotonically_increasing_id()), "rows")
+    ranges = repeated_ranges(numbered, mine, stored, doc_id=doc_id, text=text, min_sentences=min_sentences, min_words=min_words)
+    filled = spark.sparkContext.broadcast(bit_filter(ranges, "row"))
     at, last = docs.columns.index(text), len(docs.columns)
 
-    def having(held: bool):
+    def having(held: bool, columns: int):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ok = may_hold(filled.value, batch.column(last).to_numpy()) == held
-                yield pa.RecordBatch.from_arrays(batch.columns[:last], docs_columns).filter(pa.array(ok))
+                yield batch.filter(pa.array(may_hold(filled.value, batch.column(last).to_numpy()) == held)).select(range(columns))
 
         return scan
 
-    docs_columns = docs.columns
     # the same plan at every size: the rows that may have ranges are shuffled, however few
-    touched, others = marked.mapInArrow(having(True), docs.schema), marked.mapInArrow(having(False), docs.schema)
-    same = (F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NO_ID)) == F.col(key)) & (F.xxhash64(F.col(text).cast("string")) == F.col(tag))
-    joined = touched.join(ranges.hint("merge"), same, "left").drop(key, tag)
+    touched, others = numbered.mapInArrow(having(True, last + 1), numbered.schema), numbered.mapInArrow(having(False, last), docs.schema)
+    ranges = ranges.select(F.col("row").alias(key), F.col("ranges").alias(cut))
+    joined = touched.join(ranges.hint("merge"), F.col(mine) == F.col(key), "left").drop(key, mine)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
