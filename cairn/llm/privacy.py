@@ -22,12 +22,21 @@ itself is ``REMOVE`` and above, else generalised.  In a table of very few texts
 bound leaves a single sighting alone.  A term that reveals any entity is masked wherever
 it stands, in all documents, as the ``REACH`` words only gather the evidence.
 
+Values that no pattern names are entities too, if they are opaque: words of ``OPAQUE``
+bytes or more, of ASCII letters and digits with at least ``MIXED`` of either (keys, tokens,
+digests).  What such a value gives away is its own information, so its share is
+IC(e) / log N; at ``GENERALISE`` and above, that is if few distinct texts hold it, each of
+its places is a ``secret``.  A value that is common in the corpus, like the digest of a
+file that many texts quote, stays.
+
 Each text is read for base spans and neighbours, which are kept without the text; a
 second reading counts the texts that hold a candidate term, and a third finds the places
 of the revealing terms.  Bit filters of fixed size pick the terms in both.  Counts are
 summed before the shuffle, so an entity or a term that is in a third of all documents is
 a row a task; texts that occur again are told apart by their digest.
 
+``n_private`` counts base spans and secrets.
+
 Defined results: a null text is empty; every input row gives one row, repeated
 rows too; a null doc_id stays null; other columns are ignored; an empty table gives
 an empty result.
@@ -48,9 +57,11 @@ from ..session import Stored, ship_package
 from . import kernels as K
 from .runtime import bit_filter, fresh, may_hold
 
-KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
+KINDS = ("email", "ip", "card", "phone", "generalised", "removed", "secret")
 REACH = 10
 DOUBT = 10.0
+OPAQUE = 16
+MIXED = 4
 GENERALISE = 0.6
 REMOVE = 0.9
 
@@ -152,13 +163,39 @@ def _terms(words: K.Words, raw: np.ndarray) -> np.ndarray:
     return (words.ends - words.starts >= 3) & (digit[words.ends] - digit[words.starts] < words.ends - words.starts)
 
 
+def _opaque(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(text, entity, start, end) of the opaque values of a chunk, in code points of their texts."""
+    digit = (data >= 0x30) & (data <= 0x39)
+    letter = ((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A) & (data < 0x80)
+    inside = np.concatenate([digit | letter, [False]])
+    cut = np.zeros(len(data) + 1, bool)  # texts touch in a chunk
+    cut[offsets] = True
+    starts = np.flatnonzero(inside & (cut | ~np.concatenate([[False], inside[:-1]])))
+    ends = np.flatnonzero(inside[:-1] & (cut | ~inside)[1:]) + 1
+    long_ = ends - starts >= OPAQUE
+    starts, ends = starts[long_], ends[long_]
+    before = np.concatenate([[0], np.cumsum(digit)])
+    digits = before[ends] - before[starts]
+    mixed = (digits >= MIXED) & (ends - starts - digits >= MIXED)
+    out = []
+    for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
+        i = int(np.searchsorted(offsets, a, side="right")) - 1
+        if (a > offsets[i] and data[a - 1] >= 0x80) or (b < offsets[i + 1] and data[b] >= 0x80):
+            continue  # a part of a word beyond ASCII
+        start = int(np.count_nonzero((data[offsets[i] : a] & 0xC0) != 0x80))
+        value = data[a:b].tobytes().lower()
+        out.append((i, int.from_bytes(hashlib.blake2b(b"opaque:" + value, digest_size=8).digest(), "big", signed=True), start, start + b - a))
+    return out
+
+
 def _shown(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 _NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_FACTS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:bigint,term:bigint>>"
+_OPAQUE = pa.list_(pa.struct([("entity", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+_FACTS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, opaque array<struct<entity:bigint,start:int,end:int>>, near array<struct<entity:bigint,term:bigint>>"
 
 
 def _read(reach: int):
@@ -169,21 +206,28 @@ def _read(reach: int):
             texts = batch.column(2)
             spans: list[list[tuple[int, int, int]]] = [[] for _ in range(batch.num_rows)]
             near: list[list[tuple]] = [[] for _ in range(batch.num_rows)]
-            for lo, hi, data, off in K.chunks(texts):
+            opaque: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for lo, _hi, data, off in K.chunks(texts):
                 mark = np.concatenate([[0], np.cumsum(table[data])])
                 for i in np.flatnonzero(np.diff(mark[off])):
                     s = data[off[i] : off[i + 1]].tobytes().decode()
                     spans[lo + i] = found = base_spans(s)
                     if found:
                         near[lo + i] = _neighbours(s, found, reach)
+                for i, entity, a, b in _opaque(data, off):
+                    if not any(x < b and a < y for x, _, y in spans[lo + i]):
+                        opaque[lo + i].append({"entity": entity, "start": a, "end": b})
+                        if (entity, None) not in near[lo + i]:
+                            near[lo + i].append((entity, None))
             counts = [[sum(k == kind for _, k, _ in x) for x in spans] for kind in range(4)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(_shown(x).encode()).hexdigest() for x in spans]),
                     pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in x] for x in spans], _SPANS),
+                    pa.array(opaque, _OPAQUE),
                     pa.array([[dict(zip(("entity", "term"), y, strict=True)) for y in x] for x in near], _NEAR),
                 ],
-                ["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"],
+                ["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "opaque", "near"],
             )
 
     return scan
@@ -235,17 +279,18 @@ def _places(filled):
     return scan
 
 
-def revealing_terms(facts: DataFrame, docs: DataFrame, stored: Stored, *, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(term, kind) of the terms that disclose too much of an entity."""
+def revealing_terms(facts: DataFrame, docs: DataFrame, stored: Stored, *, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
+    """(term, kind) of the terms that disclose too much of an entity, and (entity) of those held by few texts."""
     spark = docs.sparkSession
     copies = stored.put(facts.groupBy("text_key").agg(F.count("*").alias("rows"), F.first("near").alias("near")), "texts")
     n = float(copies.count())
     near = copies.filter(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.*")
     seen = stored.put(near.groupBy("entity", "term").agg(F.count("*").alias("n_et")), "pairs")
     kept = seen.filter("term is not null")
-    if kept.isEmpty():
-        return kept.select("term", F.lit(0).alias("kind"))
     holding = seen.filter("term is null").select("entity", F.col("n_et").alias("n_e"))
+    rare = holding.filter(F.log(F.lit(n) / F.col("n_e")) >= F.log(F.lit(max(n, 1.0))) * generalise).select("entity")
+    if kept.isEmpty():
+        return kept.select("term", F.lit(0).alias("kind")), rare
     filled = spark.sparkContext.broadcast(bit_filter(kept, "term"))
     again = spark.sparkContext.broadcast(bit_filter(copies.filter("rows > 1"), "text_key"))
     counts = docs.select("text_key", "text").mapInArrow(_count_terms(filled, again), "term bigint, copy bigint, n bigint").groupBy("term", "copy").agg(F.sum("n").alias("n"))
@@ -255,11 +300,11 @@ def revealing_terms(facts: DataFrame, docs: DataFrame, stored: Stored, *, genera
     pmi = F.log(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col("n_t").cast("double")))
     low = pmi - F.log(F.lit(DOUBT)) / F.col("n_et")
     joined = joined.filter((ic > 0) & (low >= ic * generalise)).withColumn("kind", F.when(pmi >= ic * remove, 5).otherwise(4))
-    return stored.put(joined.groupBy("term").agg(F.max("kind").alias("kind")), "revealing")
+    return stored.put(joined.groupBy("term").agg(F.max("kind").alias("kind")), "revealing"), rare
 
 
 def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", reach: int = REACH, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, text_key) of every row.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_private, text_key) of every row.
 
     spans: ``kind:start:end`` by start, then kind, comma-joined; text_key tells rows of one id apart.
     """
@@ -269,21 +314,26 @@ def find_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_key"), F.col(text).cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     facts = stored.put(slim.mapInArrow(_read(reach), f"doc_id {kind}, text_key bigint, {_FACTS}"), "facts")
-    revealing = revealing_terms(facts, slim, stored, generalise=generalise, remove=remove)
+    revealing, rare = revealing_terms(facts, slim, stored, generalise=generalise, remove=remove)
     filled = spark.sparkContext.broadcast(bit_filter(revealing, "term"))
     places = slim.mapInArrow(_places(filled), f"doc_id {kind}, text_key bigint, term bigint, start int, end int")
-    added = places.join(revealing, "term").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))
+    secrets = facts.select("doc_id", "text_key", F.explode("opaque").alias("x")).select("doc_id", "text_key", "x.*").join(rare, "entity")
+    span = F.struct("start", "kind", "end").alias("span")
+    every = places.join(revealing, "term").select("doc_id", "text_key", span).union(secrets.withColumn("kind", F.lit(6)).select("doc_id", "text_key", span))
+    added = every.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("added"))
     added = added.select(F.col("doc_id").alias("k"), F.col("text_key").alias("t"), "added")
     out = facts.join(added, facts.doc_id.eqNullSafe(added.k) & facts.text_key.eqNullSafe(added.t), "left")
     outside = F.filter("added", lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    every = F.array_sort(F.concat("base", F.coalesce(outside, F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
+    outside = F.coalesce(outside, F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    every = F.array_sort(F.concat("base", outside))
+    private = (F.size("base") + F.size(F.filter(outside, lambda x: x["kind"] == 6))).cast("bigint")
     names = F.array(*[F.lit(k) for k in KINDS])
     shown = F.array_join(F.transform(every, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", shown.alias("spans"), "text_key")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", shown.alias("spans"), private.alias("n_private"), "text_key")
 
 
 def sanitise(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents with entities replaced by ``[kind]``, generalised terms by ``[term]`` and removed terms cut out."""
+    """The documents with entities and secrets replaced by ``[kind]``, generalised terms by ``[term]`` and removed terms cut out."""
     found = find_personal_data(docs, doc_id=doc_id, text=text, **options).select("doc_id", "text_key", "spans").distinct()
     key, tag, cut = fresh(docs, "pii_doc"), fresh(docs, "pii_text"), fresh(docs, "pii_spans")
     found = found.filter("spans <> ''").select(F.col("doc_id").alias(key), F.col("text_key").alias(tag), F.col("spans").alias(cut))
