@@ -14,7 +14,7 @@ as many are taken as come nearest to what is still missing to the source's targe
 up to there, rounded by a seeded start, and the remainder is carried on to the next
 size.  So a document is drawn with about the probability of the fraction, and a
 source's words end within about its smallest documents of the target.  Among
-equal sizes the smallest seeded digests are taken.
+equal sizes the smallest seeded digests are taken, of one id by a digest of the text.
 
 The carrying fold runs over one array of (size, count) for each source, as long as
 the source has distinct sizes; rows aren't gathered.  Ranks by digest aren't a
@@ -40,7 +40,7 @@ from ..session import Stored
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 20
-GROUP_ROWS = 4096
+GROUP_ROWS = 512
 _BLOCK = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     stored = Stored(docs.sparkSession)
     keep = keep or []
     size = word_count(F.col(text))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), _source_key(F.col(source).cast("string")).alias("key"), size.alias("size"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
+    slim = docs.select(F.col(doc_id).alias("doc_id"), _source_key(F.col(source).cast("string")).alias("key"), size.alias("size"), F.xxhash64(F.col(text).cast("string")).alias("text_key"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
     slim = slim.withColumn("digest", _digest(F.col("doc_id"), F.col("size"), seed))
     if not keep:  # small rows that are read twice
         slim = stored.put(slim, "sizes")
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     before = W.partitionBy("key", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     groups = small.unionByName(large).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     groups = groups.join(shares, ["key", "size"])
-    rank = F.row_number().over(W.partitionBy("key", "size", "bucket").orderBy("digest", F.col("doc_id").asc_nulls_last()))
+    rank = F.row_number().over(W.partitionBy("key", "size", "bucket").orderBy("digest", F.col("doc_id").asc_nulls_last(), "text_key"))
     rows = rows.withColumn("rank", rank).join(groups, ["key", "size", "bucket"])
     repeats = F.col("whole") + F.when(F.col("first") + F.col("rank") <= F.col("extra"), 1).otherwise(0)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.cast("int").alias("repeats"), *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])
