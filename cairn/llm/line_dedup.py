@@ -3,8 +3,8 @@
 A line's ratio is the number of pages of its host that contain it over the host's
 pages.  Lines above ``max_ratio`` are boilerplate and dropped from every page of
 the host.  A line counts once a page and without surrounding spaces; blank lines
-are kept.  A host with few pages says nothing about boilerplate, so a line must
-also be on at least ``min_pages`` pages.
+are kept.  A line must be on at least ``min_pages`` pages, two by default, since on a
+host of few pages a single page is above any ratio.
 
 Counting shuffles a 64-bit hash for each distinct line of a page, summed before
 the shuffle, so a line that is on a third of all pages is one row a task.  Since a
@@ -35,7 +35,7 @@ from ..session import Stored
 from .runtime import fresh
 
 MAX_RATIO = 0.03
-MIN_PAGES = 10
+MIN_PAGES = 2
 #: Pages with so large a share of repeated lines are taken for copies.
 MOSTLY = 0.25
 

@@ -28,7 +28,7 @@ WITH l AS (
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents)),
 t AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 c AS (SELECT source, line, count(*) AS n FROM l WHERE line <> '' GROUP BY source, line),
-bp AS (SELECT c.source, list(line) AS lines FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 10 AND n > pages * 0.03 GROUP BY c.source),
+bp AS (SELECT c.source, list(line) AS lines FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 2 AND n > pages * 0.03 GROUP BY c.source),
 k AS (
   SELECT doc_id, d.source, text, string_split(text, chr(10)) AS parts, lines IS NOT NULL AND text IS NOT NULL AS has,
     list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(lines, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))) AS kept
@@ -44,7 +44,7 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: CAST(p[1] AS HUGEINT) * CAST(p[2] AS HUGEINT))) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
