@@ -97,3 +97,19 @@ def test_url_filter(spark):
     rows = [(None, None, None), (1, "", None), (2, "http://A.net/x", ""), (2, "http://A.net/x", ""), (3, "no scheme", None)]
     got = url_filter.filter_urls(wide(spark.createDataFrame(rows, schema)), rules).collect()
     assert sorted((str(r.page_id), r.verdict) for r in got) == [("1", "allow"), ("2", "block"), ("2", "block"), ("3", "allow"), ("None", "allow")]
+
+
+def test_pipeline_on_empty_null_and_repeated_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    good = " ".join(f"Word{i} and more of it, then some." for i in range(40))
+    rows = [(i, f"{good} {i} {'x' * i}", "en", "s", 0) for i in range(40)] + ROWS + ROWS
+    for name, table in (("empty", []), ("rows", rows)):
+        root = tmp_path / name
+        docs(spark, table).write.parquet(str(root / "documents.parquet"))
+        labels(spark, [(i, 1, 0) for i, *_ in table if i]).write.parquet(str(root / "labels.parquet"))
+        bench(spark, [(1, "w " * 20), (None, None)]).write.parquet(str(root / "benchmark.parquet"))
+        got = pipeline.run(spark, str(root))
+        assert got.columns == [*pipeline.COLUMNS, "repeat"]
+        kept = got.collect()
+        assert bool(kept) == bool(table)
+        assert len({(r.doc_id, r.text) for r in kept if r.text and r.text.startswith("Word")}) == 1  if table else not kept
