@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
 all but the last return the columns of ``documents``.
+
+Defined results: a null text is judged like an empty one by the classifier, has no lines, is
+like no other document, isn't contaminated and counts no words.  Null ids and null sources are
+kept as they are: a null source is a source.  Of rows that are alike one stays after the
+near-duplicate stage, which takes ties by the smallest id, then by a digest of the text; rows
+without words are like nothing and all stay.  Texts of any length are read whole; columns beyond
+those of ``documents`` go in the first stage; an empty table stays empty.
 """
 
 from __future__ import annotations
