@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 _BLOCK = 256
 Z95 = 1.959963984540054
@@ -130,6 +131,42 @@ def beta_inc(a: float, b: float, x: float) -> float:
     return front * f
 
 
+def uniform(*parts: Column) -> Column:
+    """A number above 0 and below 1 from the MD5 digest of the parts' texts; the same in every engine."""
+    digest = F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+
+def with_prefix(df: DataFrame, *prefixes: str) -> list[str]:
+    """The frame's columns that begin with one of the prefixes, in order."""
+    return [c for c in df.columns if c.startswith(prefixes)]
+
+
+def numeric(df: DataFrame, without: tuple[str, ...] = ()) -> list[str]:
+    """The frame's numeric columns but those named, in order."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in without]
+
+
+_NODES = 400
+
+
+def student_p(t: Column, df: Column) -> Column:
+    """Two-sided p-value of a t statistic with ``df`` degrees of freedom.
+
+    With t = sqrt(df) tan(a) the density is proportional to cos(a)^(df - 1), so the p-value is a ratio of two
+    integrals, each by Simpson's rule over the stretch that has any weight.
+    """
+    least = F.lit(math.pi / 2)
+
+    def area(start: Column) -> Column:
+        step = (F.least(least, start + 12.0 / F.sqrt(df)) - start) / float(_NODES)
+        at = lambda i: F.pow(F.greatest(F.cos(start + i * step), F.lit(0.0)), df - 1.0)
+        weight = lambda i: F.when((i == 0) | (i == _NODES), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(_NODES)), F.lit(0.0), lambda s, i: s + weight(i) * at(i)) * step / 3.0
+
+    return F.when(df > 0, F.least(F.lit(1.0), area(F.atan(F.abs(t) / F.sqrt(df))) / area(F.lit(0.0)))).otherwise(1.0)
+
+
 def t_test_p(t: float, df: float) -> float:
     """Two-sided p-value of a t statistic."""
     return beta_inc(df / 2.0, 0.5, df / (df + t * t)) if df > 0 else 1.0

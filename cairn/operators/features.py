@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import percent_rank_in, ratio, rolling, safe_ln, series, with_ewm, zscore
+from ..functions.columns import percent_rank_in, ratio, rolling, safe_ln, series, uniform, with_ewm, zscore
 
 TDA_FEATURES = [
     "log_return", "log_return_5", "accel", "gk_vol_20", "parkinson_20", "rv_20", "hl_spread", "oc_spread", "vol_zscore_20",
@@ -143,7 +143,7 @@ def interactions(df: DataFrame) -> DataFrame:
 
 def synthetic_onchain(df: DataFrame, columns: list[str], seed: int = 0) -> DataFrame:
     """Stand-ins for absent columns: noise that depends on the seed and the row only."""
-    unit = lambda c, i: (F.pmod(F.xxhash64(F.lit(seed), F.lit(c), F.lit(i), "symbol", "ts"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    unit = lambda c, i: uniform(F.lit(seed), F.lit(c), F.lit(i), F.col("symbol"), F.unix_seconds(F.col("ts").cast("timestamp")))
     normal = lambda c: F.sqrt(-2.0 * F.ln(unit(c, 0))) * F.cos(2 * math.pi * unit(c, 1))
     return df.withColumns({c: normal(c) * 0.5 for c in columns if c not in df.columns})
 

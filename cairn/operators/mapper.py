@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -44,21 +45,20 @@ def pca_lens(points: DataFrame, x: str = "x", k: int = 1) -> DataFrame:
 
 def dbscan(x: np.ndarray, eps: float = 0.8, least: int = 2) -> np.ndarray:
     """Cluster numbers in the order of their first point, -1 for noise."""
-    near = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1) <= eps * eps
-    core = near.sum(1) >= least
+    near = lambda i: np.flatnonzero(((x - x[i]) ** 2).sum(-1) <= eps * eps)  # noqa: E731  one row of distances at a time
     label = np.full(len(x), -1)
     k = 0
-    for i in np.flatnonzero(core):
-        if label[i] >= 0:
+    for i in range(len(x)):
+        if label[i] >= 0 or len(near(i)) < least:
             continue
         label[i] = k
         queue = deque([i])
         while queue:
-            a = queue.popleft()
-            for b in np.flatnonzero(near[a] & (label < 0)):
-                label[b] = k
-                if core[b]:
-                    queue.append(b)
+            around = near(queue.popleft())
+            if len(around) >= least:  # the point is a core: what is near belongs to the cluster
+                fresh = around[label[around] < 0]
+                label[fresh] = k
+                queue.extend(fresh)
         k += 1
     return label
 
@@ -193,31 +193,61 @@ def cycle_basis(nodes: list[str], edges: list[tuple[str, str]], least: int = 3)
     return rings
 
 
+def _one_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    ship_package(nodes.sparkSession)
+    return nodes.select(F.col("node_id").alias("a"), F.lit(None).cast("string").alias("b")).union(edges.select("source", "target")).withColumn("one", F.lit(1))
+
+
+def _graph_of(pdf: pd.DataFrame) -> tuple[list[str], list[tuple[str, str]]]:
+    return sorted(pdf.loc[pdf["b"].isna(), "a"]), [(a, b) for a, b in zip(pdf["a"], pdf["b"], strict=True) if isinstance(b, str)]
+
+
 def graph_patterns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, betweenness, component, n_rings) of every node, and how many rings pass it.
 
     The node graph is small (intervals times clusters, whatever the number of
     points), so it is one group.
     """
-    ship_package(nodes.sparkSession)
-    both = nodes.select(F.col("node_id").alias("a"), F.lit(None).cast("string").alias("b")).union(edges.select("source", "target")).withColumn("one", F.lit(1))
+    both = _one_graph(nodes, edges)
 
     def analyse(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(pdf.loc[pdf["b"].isna(), "a"])
-        links = [(a, b) for a, b in zip(pdf["a"], pdf["b"], strict=True) if isinstance(b, str)]
+        names, links = _graph_of(pdf)
         score, root = betweenness(names, links), connected(names, links)
-        rings = cycle_basis(names, links)
-        return pd.DataFrame([{"node_id": v, "betweenness": score[v], "component": root[v], "n_rings": sum(v in r for r in rings), "rings_total": len(rings)} for v in names], columns=["node_id", "betweenness", "component", "n_rings", "rings_total"])
+        found = cycle_basis(names, links)
+        return pd.DataFrame([{"node_id": v, "betweenness": score[v], "component": root[v], "n_rings": sum(v in r for r in found), "rings_total": len(found)} for v in names], columns=["node_id", "betweenness", "component", "n_rings", "rings_total"])
 
     return both.groupBy("one").applyInPandas(analyse, "node_id string, betweenness double, component string, n_rings int, rings_total int")
 
 
 def bottlenecks(patterns: DataFrame, k: int = 3) -> DataFrame:
-    return patterns.orderBy(F.desc("betweenness"), "node_id").limit(k).select("node_id", "betweenness")
+    # sums of fractions: equal up to the ninth digit is equal
+    return patterns.orderBy(F.desc(F.round("betweenness", 9)), "node_id").limit(k).select("node_id", "betweenness")
 
 
 def communities(patterns: DataFrame) -> DataFrame:
-    return patterns.groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node_id")).alias("nodes"))
+    """(rank, component, size, nodes), the largest first."""
+    found = patterns.groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node_id")).alias("nodes"))
+    return found.withColumn("rank", F.row_number().over(W.orderBy(F.desc("size"), "component"))).select("rank", "component", "size", "nodes")  # a row a component
+
+
+def rings(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
+    """(ring, nodes): the first k independent cycles of at least three nodes, in the order of the link that closes them."""
+    both = _one_graph(nodes, edges)
+
+    def analyse(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = cycle_basis(*_graph_of(pdf))[:k]
+        return pd.DataFrame({"ring": pd.Series(range(len(found)), dtype="int32"), "nodes": pd.Series(found, dtype="object")})
+
+    return both.groupBy("one").applyInPandas(analyse, "ring int, nodes array<string>")
+
+
+def report(nodes: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
+    """One row on the graph: its summary, the k worst bottlenecks, the largest communities, the rings."""
+    patterns = graph_patterns(nodes, edges)
+    worst = bottlenecks(patterns, k).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.round("betweenness", 9)).alias("b"), "node_id"))), lambda s: s["node_id"]).alias("bottlenecks"))
+    sizes = communities(patterns).agg(F.count("*").alias("n_communities"), F.slice(F.sort_array(F.collect_list("size"), asc=False), 1, k).alias("largest_communities"))
+    cycles = ring_count(nodes, edges, patterns).select("n_rings")
+    return graph_summary(nodes, edges).crossJoin(worst).crossJoin(sizes).crossJoin(cycles)  # one row each
 
 
 def ring_count(nodes: DataFrame, edges: DataFrame, patterns: DataFrame) -> DataFrame:

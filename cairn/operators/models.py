@@ -9,11 +9,14 @@ fitting again.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+import pyarrow as pa
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,15 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import Stored, ship_package
 from .homology import RESOLUTION, image_bounds, persistence_images
 from .signals import from_probability
-from .validation import auc, direction_accuracy, fold_rows, temporal_split, walk_forward_split
+from .validation import auc, block_shuffle, direction_accuracy, fold_rows, temporal_split, walk_forward_split
 
 KEPT = ["symbol", "ts", "close", "future_return", "target"]
 
 #: Values that one task of a fit holds at least: rounds are short, so few rows go to few tasks.
 VALUES_PER_TASK = 1 << 22
+#: Most values of the matrix that a permutation test sends to every task.
+MAX_MATRIX = 1 << 25
 
 
 def classifier(kind: str, n: int, c: float = 1.0):
@@ -57,9 +62,20 @@ def predict(model, df: DataFrame) -> DataFrame:
 def cross_validate(df: DataFrame, columns: list[str], kind: str = "logistic", k: int = 5, horizon: int = 1, embargo: int = 0, shuffled: list[str] | None = None) -> DataFrame:
     """Predictions of each fold's test rows by a model of the purged train rows of all symbols.
 
-    ``shuffled`` columns are permuted among the train rows (a control).
+    ``shuffled`` columns are permuted among the train rows (a control).  Logistic models of all folds are fitted at once.
     """
-    rows = fold_rows(df, k, horizon, embargo).cache()
+    rows = fold_rows(df, k, horizon, embargo)
+    beside = [c for c in ("rv_20", "trend_strength", "vol_zscore_20") if c in df.columns]
+    if kind == "logistic":
+        stored = Stored(df.sparkSession)
+        rows = stored.put(rows, "folds")
+        train = rows.filter("role = 'train'")
+        if shuffled:
+            train = reduce(DataFrame.unionByName, [permute(train.filter(F.col("fold") == f), shuffled, f) for f in range(k)])
+            train = stored.put(train, "shuffled")
+        models = fit_logistics(train, "fold", columns)
+        return score_logistics(rows.filter("role = 'test'"), "fold", columns, models).select("fold", *KEPT, *beside, "p_up")
+    rows = rows.cache()
     parts = []
     for fold in range(k):
         train = rows.filter((F.col("fold") == fold) & (F.col("role") == "train"))
@@ -69,11 +85,88 @@ def cross_validate(df: DataFrame, columns: list[str], kind: str = "logistic", k:
             train = permute(train, shuffled, fold)
         model = fit(train.select(*columns, "target"), columns, kind)
         test = rows.filter((F.col("fold") == fold) & (F.col("role") == "test"))
-        parts.append(predict(model, test).select("fold", *KEPT, *[c for c in ("rv_20", "trend_strength", "vol_zscore_20") if c in df.columns], "p_up"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        parts.append(predict(model, test).select("fold", *KEPT, *beside, "p_up"))
+    if not parts:
+        raise ValueError("no fold has train rows of both targets")
+    return reduce(DataFrame.unionByName, parts)
+
+
+# --- logistic models of many groups at once ---------------------------------------------------
+
+
+def _sums(rows: DataFrame, of) -> dict[int, list[np.ndarray]]:
+    """For each group (the first column), the sums over its rows of what ``of(group, x, y)`` gives, summed in the tasks first."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            group = batch.column(0).to_numpy()
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            y = batch.column(2).to_numpy()
+            for g in np.unique(group):
+                mine = group == g
+                part = of(int(g), x[mine], y[mine])
+                total[int(g)] = total[int(g)] + part if int(g) in total else part
+        for g, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(v), pa.int64()), pa.array(np.arange(len(v)), pa.int64()), pa.array(v)], ["g", "i", "v"])
+
+    # as many numbers a group as a model has: columns by columns
+    table = rows.mapInArrow(scan, "g bigint, i bigint, v double").groupBy("g", "i").agg(F.sum("v").alias("v")).toArrow().sort_by([("g", "ascending"), ("i", "ascending")])
+    g, v = table["g"].to_numpy(), table["v"].to_numpy()
+    return {int(k): v[g == k] for k in np.unique(g)}
+
+
+def fit_logistics(rows: DataFrame, group: str, columns: list[str], c: float = 1.0, rounds: int = 25) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(means, deviations, weights) of an L2-regularised logistic model of standardised columns for each value of ``group``.
+
+    Newton's method: each round is one job, in which every task sums its rows' gradient and curvature for all groups;
+    only those sums, columns by columns, reach the driver.  Groups without both targets have no model.
+    """
+    ship_package(rows.sparkSession)
+    p = len(columns)
+    slim = rows.select(F.col(group).cast("bigint").alias("g"), F.array(*[F.col(x).cast("double") for x in columns]).alias("x"), F.col("target").cast("double").alias("y"))
+    slim = Stored(rows.sparkSession).put(slim.filter(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)) & F.col("y").isNotNull()), "rows")
+    first = _sums(slim, lambda g, x, y: np.concatenate([[len(x), y.sum()], x.sum(0), (x * x).sum(0)]))
+    state: dict[int, list[np.ndarray]] = {}
+    for g, v in first.items():
+        n, up = v[0], v[1]
+        if 0 < up < n:
+            mean = v[2 : 2 + p] / n
+            sd = np.sqrt(np.maximum(v[2 + p :] / n - mean**2, 0.0))
+            state[g] = [mean, np.where(sd < 1e-12 * np.maximum(1.0, np.abs(mean)), 1.0, sd), np.zeros(p + 1)]
+    penalty = np.append(np.full(p, 1.0 / c), 1e-9)
+    live = set(state)
+    for _ in range(rounds):
+        if not live:
+            break
+        now = {g: state[g] for g in live}
+
+        def slopes(g: int, x: np.ndarray, y: np.ndarray, now=now) -> np.ndarray:
+            if g not in now:
+                return np.zeros((p + 1) * (p + 2))
+            mean, sd, w = now[g]
+            z = np.column_stack([(x - mean) / sd, np.ones(len(x))])
+            q = 1.0 / (1.0 + np.exp(-np.clip(z @ w, -30, 30)))
+            return np.concatenate([((z.T * (q * (1 - q))) @ z).ravel(), z.T @ (q - y)])
+
+        for g, v in _sums(slim, slopes).items():
+            if g in now:
+                step = np.linalg.solve(v[: (p + 1) ** 2].reshape(p + 1, p + 1) + np.diag(penalty), v[(p + 1) ** 2 :] + penalty * state[g][2])
+                state[g][2] = state[g][2] - step
+                if np.abs(step).max() < 1e-9:
+                    live.discard(g)
+    return {g: tuple(s) for g, s in state.items()}
+
+
+def score_logistics(rows: DataFrame, group: str, columns: list[str], models: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """The rows of groups that have a model, with its p_up: a few products of columns with constants."""
+    p_up = F.lit(None).cast("double")
+    for g, (mean, sd, w) in sorted(models.items()):
+        margin = F.lit(float(w[-1] - (w[:-1] * mean / sd).sum()))
+        for c, a in zip(columns, w[:-1] / sd, strict=True):
+            margin = margin + F.col(c) * float(a)
+        p_up = F.when(F.col(group) == g, 1.0 / (1.0 + F.exp(-margin))).otherwise(p_up)
+    return rows.filter(F.col(group).isin(sorted(models))).withColumn("p_up", p_up)
 
 
 def permute(df: DataFrame, columns: list[str], seed: int) -> DataFrame:
@@ -144,11 +237,43 @@ def ablate_images(df: DataFrame, columns: list[str], k: int = 5, horizon: int =
 def leave_one_out(df: DataFrame, columns: list[str], kind: str = "logistic") -> DataFrame:
     """Predictions of each symbol by a model of all others."""
     symbols = sorted(r["symbol"] for r in df.select("symbol").distinct().collect())  # one fit each anyway
+    if kind == "logistic":
+        number = F.create_map(*[F.lit(x) for i, s in enumerate(symbols) for x in (s, i)])[F.col("symbol")]
+        held = F.explode(F.sequence(F.lit(0), F.lit(len(symbols) - 1)))
+        train = df.withColumn("_own", number).withColumn("_held", held).filter("_held <> _own")
+        models = fit_logistics(train, "_held", columns)
+        return score_logistics(df.withColumn("_held", number), "_held", columns, models).select(F.lit(0).alias("fold"), *KEPT, "p_up")
     parts = [predict(fit(df.filter(F.col("symbol") != s).select(*columns, "target"), columns, kind), df.filter(F.col("symbol") == s)).select(F.lit(0).alias("fold"), *KEPT, "p_up") for s in symbols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ablate_columns(df: DataFrame, groups: dict[str, list[str]], k: int = 5, horizon: int = 1, embargo: int = 0, shuffle: str | None = None) -> DataFrame:
+    """Predictions (condition, fold, ...) by each group of columns; ``shuffle`` names a group whose columns are also
+    taken from permuted train rows, beside all other columns of the union, as ``shuffled``."""
+    every = list(dict.fromkeys(c for cols in groups.values() for c in cols))
+    parts = [cross_validate(df, cols, "logistic", k, horizon, embargo).select(F.lit(name).alias("condition"), "fold", *KEPT, "p_up") for name, cols in groups.items()]
+    if shuffle:
+        parts.append(cross_validate(df, every, "logistic", k, horizon, embargo, groups[shuffle]).select(F.lit("shuffled").alias("condition"), "fold", *KEPT, "p_up"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def base_importances(df: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("rf", "gbm"), share: float = 0.8, horizon: int = 0) -> DataFrame:
+    """(kind, feature, importance): what the trees fitted to the first rows use, the largest first for each kind."""
+    train = temporal_split(df, share, horizon).filter("split = 'train'").select(*columns, "target")
+    rows = []
+    for kind in kinds:
+        given = fit(train, columns, kind).stages[-1].featureImportances.toArray()
+        rows += [(kind, c, float(v)) for c, v in zip(columns, given, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "kind string, feature string, importance double")
+
+
+def save_model(model, path: str) -> None:
+    """Writes a fitted pipeline to a folder, over what is there."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    return PipelineModel.load(path)
 
 
 def holdout(df: DataFrame, columns: list[str], kind: str = "logistic", share: float = 0.8, horizon: int = 0) -> DataFrame:
@@ -214,22 +339,19 @@ def walk_forward(df: DataFrame, columns: list[str], horizon: int = 24, warmup: i
     return df.select("symbol", "ts", "target", *columns).groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp_ntz, idx long, p_up double, signal string, hold boolean")
 
 
-#: Most values of the matrix that a permutation test sends to every task.
-MAX_MATRIX = 1 << 25
-
-
-def permutation_null(df: DataFrame, columns: list[str], rounds: int = 99, share: float = 0.8, threshold: float | tuple[float, ...] = 0.55, block: int = 168, seed: int = 0, horizon: int = 0) -> DataFrame:
+def permutation_null(df: DataFrame, columns: list[str], rounds: int = 99, share: float = 0.8, threshold: float | tuple[float, ...] = 0.55, block: int = 168, seed: int = 0, horizon: int = 0, most_values: int = MAX_MATRIX) -> DataFrame:
     """(replicate, value): accuracy on the last rows after shuffling whole blocks of targets; replicate -1 is the real one.
 
     With several thresholds the value is the best accuracy among them, so the test covers the whole grid.
-    Train rows whose horizon reaches into the last rows are left out.
+    Train rows whose horizon reaches into the last rows are left out.  Up to ``most_values`` numbers, the rows are sent
+    to every task, which refits whole replicates; beyond, all replicates are fitted at once from sums over the rows.
+    Both shuffle by the same digests and give the same values.
     """
     limits = threshold if isinstance(threshold, tuple) else (threshold,)
     spark = df.sparkSession
     ship_package(spark)
-    n = df.count()
-    if n * (len(columns) + 3) > MAX_MATRIX:
-        raise ValueError("too many rows to refit in one task; use cross_validate on block_shuffle for each replicate")
+    if df.count() * (len(columns) + 3) > most_values:
+        return _null_by_groups(df, columns, rounds, share, limits, block, seed, horizon)
     pdf = df.select("symbol", "ts", "target", *columns).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
     shared = spark.sparkContext.broadcast((pdf["symbol"].to_numpy(), pdf["target"].to_numpy(float), pdf[columns].to_numpy(float)))
 
@@ -244,18 +366,35 @@ def permutation_null(df: DataFrame, columns: list[str], rounds: int = 99, share:
                     cut = int(len(at) * share)
                     train[at[: max(cut - horizon, 0)]], held[at[cut:]] = True, True
                     if r >= 0:
-                        rng = np.random.default_rng([seed, int(r), sum(map(ord, s))])
                         blocks = [at[i : i + block] for i in range(0, len(at), block)]
-                        t[at] = y[np.concatenate([blocks[i] for i in rng.permutation(len(blocks))])]
+                        order = sorted(range(len(blocks)), key=lambda i: (hashlib.md5(f"{seed}-{r}:{s}:{i}".encode()).hexdigest(), i))  # as block_shuffle
+                        t[at] = y[np.concatenate([blocks[i] for i in order])]
                 p = Logistic().fit(x[train], t[train]).predict(x[held])
                 right, sure = (p > 0.5) == (t[held] == 1), [np.abs(p - 0.5) > z - 0.5 for z in limits]
                 out.append(max(float(right[u].mean()) if u.any() else 0.5 for u in sure))
             yield pd.DataFrame({"replicate": batch["replicate"], "value": out})
 
+    # the rows' order within the matrix is that of (symbol, ts)
     replicates = spark.range(-1, rounds).select(F.col("id").alias("replicate")).repartition(max(1, min(rounds, 64)))
     return replicates.mapInPandas(run, "replicate long, value double")
 
 
+def _null_by_groups(df: DataFrame, columns: list[str], rounds: int, share: float, limits: tuple[float, ...], block: int, seed: int, horizon: int) -> DataFrame:
+    """The same from as many logistic models as replicates, fitted together where the rows are."""
+    stored = Stored(df.sparkSession)
+    rows = stored.put(temporal_split(df.select("symbol", "ts", "target", *columns), share, horizon), "rows")
+    slim = rows.select("symbol", "ts", "target")
+    drawn = [slim.withColumn("shuffled", F.col("target")).withColumn("replicate", F.lit(-1))]
+    drawn += [block_shuffle(slim, "target", block, f"{seed}-{r}").drop("idx").withColumn("replicate", F.lit(r)) for r in range(rounds)]
+    every = reduce(DataFrame.unionByName, [d.select("replicate", "symbol", "ts", "shuffled") for d in drawn])
+    every = stored.put(every.join(rows.drop("target"), ["symbol", "ts"]).withColumnRenamed("shuffled", "target"), "replicates")
+    models = fit_logistics(every.filter("split = 'train'"), "replicate", columns)
+    held = score_logistics(every.filter("split = 'holdout'"), "replicate", columns, models)
+    right = (F.col("p_up") > 0.5) == (F.col("target") == 1)
+    best = [F.coalesce(F.avg(F.when(F.abs(F.col("p_up") - 0.5) > z - 0.5, right.cast("double"))), F.lit(0.5)) for z in limits]
+    return held.groupBy(F.col("replicate").cast("bigint").alias("replicate")).agg((F.greatest(*best) if len(best) > 1 else best[0]).alias("value"))
+
+
 def importance(df: DataFrame, groups: dict[str, list[str]], rounds: int = 5, share: float = 0.8, horizon: int = 0) -> DataFrame:
     """(feature_group, feature, importance): fall of holdout accuracy when a column is permuted."""
     columns = [c for cols in groups.values() for c in cols]

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio, rolling, series
+from ..functions.columns import ratio, rolling, series, uniform
+from .validation import temporal_split
 
 def _signals(df: DataFrame, buy: Column, sell: Column, up: Column | float, down: Column | float) -> DataFrame:
     buy, sell = F.coalesce(buy, F.lit(False)), F.coalesce(sell, F.lit(False))
@@ -49,7 +50,7 @@ def cash(df: DataFrame) -> DataFrame:
 
 def random_signals(df: DataFrame, n: int = 10, seed: int = 42, size: float = 0.5) -> DataFrame:
     """BUY and SELL in turn at n rows of each symbol that a seeded digest picks."""
-    by = W.partitionBy("symbol").orderBy(F.xxhash64(F.lit(seed), "symbol", "ts"), "ts")
+    by = W.partitionBy("symbol").orderBy(uniform(F.lit(seed), F.col("symbol"), F.unix_seconds(F.col("ts").cast("timestamp"))), "ts")
     out = df.withColumn("picked", F.row_number().over(by) <= n)
     turn = F.sum(F.col("picked").cast("int")).over(series().rowsBetween(W.unboundedPreceding, 0))
     out = out.withColumn("turn", turn)
@@ -118,9 +119,12 @@ def hold_outside(df: DataFrame, *masks: Column) -> DataFrame:
     return df.withColumns({"signal": F.when(F.col("inside"), F.col("signal")).otherwise("HOLD"), "position_size": F.when(F.col("inside"), F.col("position_size")).otherwise(0.0)}).drop("inside")
 
 
-def regime_labels(df: DataFrame, vol: str = "rv_20") -> DataFrame:
-    """0, 1, 2 below, between and from the 33rd and 66th percentile of volatility; 1 where it is missing."""
-    cuts = df.agg(F.percentile(vol, F.lit(0.33)).alias("lo"), F.percentile(vol, F.lit(0.66)).alias("hi"))
+def regime_labels(df: DataFrame, vol: str = "rv_20", share: float = 0.8) -> DataFrame:
+    """0, 1, 2 below, between and from the 33rd and 66th percentile of volatility; 1 where it is missing.
+
+    The percentiles are those of the first ``share`` of each symbol's rows, so no cut sees later rows.
+    """
+    cuts = temporal_split(df, share).filter("split = 'train'").agg(F.percentile(vol, F.lit(0.33)).alias("lo"), F.percentile(vol, F.lit(0.66)).alias("hi"))
     out = df.crossJoin(F.broadcast(cuts))  # one row
     return out.withColumn("regime", F.when(F.col(vol) < F.col("lo"), 0).when(F.col(vol) >= F.col("hi"), 2).otherwise(1)).drop("lo", "hi")
 

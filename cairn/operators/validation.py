@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio, series, wilson
+from ..functions.columns import let, ratio, series, student_p, uniform, wilson
 
 
 
@@ -85,6 +87,17 @@ def t_statistic(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), ratio(F.avg(c), F.stddev_samp(c) / F.sqrt(F.count(c))).alias("t_stat"))
 
 
+def t_test(df: DataFrame, value: str, by: list[str], alpha: float = 0.05) -> DataFrame:
+    """(by..., n, mean, t_stat, p_value, above): whether the mean differs from zero; ``above`` if it does and t is positive."""
+    out = t_statistic(df, value, by).withColumn("p_value", student_p(F.col("t_stat"), (F.col("n") - 1).cast("double")))
+    return out.withColumn("above", F.coalesce((F.col("p_value") < alpha) & (F.col("t_stat") > 0), F.lit(False)))
+
+
+def mean_accuracy(folds: DataFrame, by: list[str]) -> DataFrame:
+    """Accuracy averaged over folds, each counting alike, and over those with any signal."""
+    return folds.groupBy(*by).agg(F.avg("direction_accuracy").alias("mean_accuracy"), F.avg(F.when(F.col("n_signals") > 0, F.col("direction_accuracy"))).alias("mean_with_signals"))
+
+
 def welch_free_t(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
     """Student's t of two groups with pooled variance."""
     g = lambda x: F.when(F.col(group) == x, F.col(value))
@@ -93,7 +106,7 @@ def welch_free_t(df: DataFrame, value: str, group: str, a: str, b: str) -> DataF
     return df.agg(na.alias("n_a"), nb.alias("n_b"), ratio(F.avg(g(a)) - F.avg(g(b)), F.sqrt(pooled * (1 / na + 1 / nb))).alias("t_stat"))
 
 
-def block_shuffle(df: DataFrame, value: str = "target", block: int = 168, seed: int = 0) -> DataFrame:
+def block_shuffle(df: DataFrame, value: str = "target", block: int = 168, seed: int | str = 0) -> DataFrame:
     """``value`` of each symbol permuted by whole blocks of consecutive rows, the short last one included."""
     rows = numbered(df).withColumn("block", F.floor(F.col("idx") / block).cast("long"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "symbol", F.col("block").cast("string")))
@@ -115,6 +128,28 @@ def permutation_p(observed: DataFrame, null: DataFrame, by: list[str], value: st
     return o.join(null.select(*by, value), by, "left").groupBy(*by, "observed").agg(b.alias("b"), p.alias("p_value"))
 
 
+def poisson_draws(u: Column) -> Column:
+    """A Poisson(1) draw from a uniform one of 32 bits: how many cumulated chances of 0 .. 12 draws it is above."""
+    chances, total = [], 0.0
+    for k in range(13):  # beyond, a chance is below 2**-32
+        total += math.exp(-1.0) / math.factorial(k)
+        chances.append(total)
+    return let(u, lambda x: reduce(add, [(x > c).cast("int") for c in chances]))
+
+
+def bootstrap_metric(df: DataFrame, metric: Column, by: list[str], row: list[Column], rounds: int = 1000, seed: int = 42, weight: str = "w") -> DataFrame:
+    """(by..., point, lower, upper): a metric over all rows, and its 95 % interval over resamples.
+
+    ``metric`` is any aggregate that weighs rows by the column ``weight``; ``row`` names a row for the seeded draws.
+    A resample weighs rows where they are, so only what the aggregate sums is shuffled.
+    """
+    drawn = df.withColumn("round", F.explode(F.sequence(F.lit(-1), F.lit(rounds - 1))))
+    drawn = drawn.withColumn(weight, F.when(F.col("round") < 0, 1).otherwise(poisson_draws(uniform(F.lit(seed), F.col("round"), *row))))
+    values = drawn.groupBy(*by, "round").agg(metric.alias("value"))
+    resampled = F.when(F.col("round") >= 0, F.col("value"))
+    return values.groupBy(*by).agg(F.max(F.when(F.col("round") < 0, F.col("value"))).alias("point"), F.percentile(resampled, F.lit(0.025)).alias("lower"), F.percentile(resampled, F.lit(0.975)).alias("upper"))
+
+
 def bootstrap_sharpe(returns: DataFrame, value: str = "r", rounds: int = 1000, seed: int = 42, periods: int = 365, risk_free: float = 0.02, least: int = 10) -> DataFrame:
     """Interval of the Sharpe ratio by symbol over resamples.
 
@@ -124,15 +159,7 @@ def bootstrap_sharpe(returns: DataFrame, value: str = "r", rounds: int = 1000, s
     """
     rows = returns.select("symbol", "ts", F.col(value).alias("r")).filter("r is not null")
     drawn = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "round", "symbol", "ts"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    # the cumulated chances of 0 .. 7 draws
-    import math
-
-    total, weight = 0.0, F.lit(0)
-    for k in range(8):
-        total += math.exp(-1.0) / math.factorial(k)
-        weight = weight + (F.col("u") > total).cast("int")
-    drawn = drawn.withColumn("u", u).withColumn("w", weight)
+    drawn = drawn.withColumn("w", poisson_draws(uniform(F.lit(seed), F.col("round"), F.col("symbol"), F.unix_seconds(F.col("ts").cast("timestamp")))))
     s = drawn.groupBy("symbol", "round").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("r")).alias("s"), F.sum(F.col("w") * F.col("r") * F.col("r")).alias("q"))
     mean = F.col("s") / F.col("n")
     var = (F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import rounded
+from ..functions.columns import numeric, with_prefix
 from ..operators import backtest as bt
 from ..operators import features as ft
 from ..operators import homology as hom
@@ -26,7 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+    QUERIES[f.__name__] = f
     return f
 
 
@@ -60,6 +60,11 @@ def bars_daily(s, d):
     return _bars(s, d, "day")
 
 
+@query
+def bars_six_hours(s, d):
+    return _bars(s, d, "6h").select("symbol", "ts", "open", "close", "volume")
+
+
 @query
 def base_features(s, d):
     return ft.base_features(_bars(s, d))
@@ -259,16 +264,18 @@ def param_grid(s, d):
 
 @query
 def loao_theta(s, d):
-    b = _bars(s, d)
-    held = b.select(F.col("symbol").alias("held_out")).distinct()
-    return b.groupBy("symbol").agg(F.count("*").alias("n")).join(F.broadcast(held), F.col("symbol") != F.col("held_out")).groupBy("held_out").agg(F.sum("n").alias("n_train"), F.count("*").alias("n_symbols"))
+    """Train rows of each symbol's model: all but its own, that is the total less its own."""
+    own = _bars(s, d).groupBy("symbol").agg(F.count("*").alias("n"))
+    total = own.agg(F.sum("n").alias("total"), F.count("*").alias("symbols"))
+    out = own.crossJoin(F.broadcast(total)).filter("symbols > 1")  # one row
+    return out.select(F.col("symbol").alias("held_out"), (F.col("total") - F.col("n")).alias("n_train"), (F.col("symbols") - 1).alias("n_symbols"))
 
 
 @query
 def pool_union(s, d):
     b = _bars(s, d)
-    parts = [b.filter(F.col("symbol") == x) for x in ("click", "view", "purchase")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("symbol").agg(F.count("*").alias("n"), F.avg("close").alias("avg_close"))
+    majors = F.col("symbol").isin("click", "view")
+    return b.filter(majors).unionByName(b.filter(~majors)).groupBy("symbol").agg(F.count("*").alias("n"), F.avg("close").alias("avg_close"))
 
 
 @query
@@ -475,6 +482,26 @@ def bootstrap_sharpe(s, d):
     return va.bootstrap_sharpe(r, "r")
 
 
+@query
+def bootstrap_accuracy(s, d):
+    right = ((F.col("signal") == "BUY") & (F.col("future_return") > 0)) | ((F.col("signal") == "SELL") & (F.col("future_return") < 0))
+    w = F.col("w")
+    accuracy = F.try_divide(F.sum(F.when(right, w)).cast("double"), F.sum(F.when(F.col("signal") != "HOLD", w)).cast("double"))
+    row = [F.col("symbol"), F.unix_seconds(F.col("ts").cast("timestamp"))]
+    return va.bootstrap_metric(sg.momentum(ft.add_targets(_bars(s, d), 24)), accuracy, ["symbol"], row, 200)
+
+
+@query
+def t_test(s, d):
+    return va.t_test(ft.add_targets(_bars(s, d), 24), "future_return", ["symbol"])
+
+
+@query
+def mean_accuracy(s, d):
+    folds = va.direction_accuracy(sg.time_regimes(sg.momentum(ft.add_targets(_bars(s, d), 24)), 5), ["symbol", "regime"])
+    return va.mean_accuracy(folds, ["symbol"])
+
+
 @query
 def multi_aggregate(s, d):
     r = sg.time_regimes(ft.add_targets(_bars(s, d), 24))
@@ -621,7 +648,20 @@ def mapper_bottlenecks(s, d):
 @query
 def mapper_communities(s, d):
     _, n, e = _graph(s, d)
-    return mp.communities(mp.graph_patterns(n, e)).select("component", "size")
+    return mp.communities(mp.graph_patterns(n, e)).select("rank", "component", "size")
+
+
+@query
+def mapper_rings(s, d):
+    _, n, e = _graph(s, d)
+    return mp.rings(n, e).select("ring", F.array_join("nodes", ",").alias("nodes"))
+
+
+@query
+def mapper_report(s, d):
+    _, n, e = _graph(s, d)
+    out = mp.report(n, e)
+    return out.withColumns({"bottlenecks": F.array_join("bottlenecks", ","), "largest_communities": F.array_join(F.transform("largest_communities", lambda x: x.cast("string")), ",")})
 
 
 @query
@@ -687,6 +727,67 @@ def walkforward(s, d):
     return ml.walk_forward(_ready(s, d), ft.ML_FEATURES, 24, 80, 48)
 
 
+_HELD = {"horizon": 24, "warmup": 100, "threshold": 0.55}
+
+
+@query
+def walkforward_pnl(s, d):
+    """Positions that last a day, by a given p_up."""
+    return bt.held_metrics(bt.run_held(_probability(ft.base_features(_bars(s, d))), **_HELD), warmup=_HELD["warmup"])
+
+
+@query
+def walkforward_trades(s, d):
+    ledger = bt.run_held(_probability(ft.base_features(_bars(s, d))), **_HELD)
+    return bt.trades(ledger).select("symbol", "side", "exit_idx", "pnl")
+
+
+@query
+def walkforward_model_pnl(s, d):
+    """The same by a model that is fitted again every 48 bars."""
+    f = _ready(s, d)
+    p = ml.walk_forward(f, ft.ML_FEATURES, 24, 80, 48).select("symbol", "ts", F.when(F.col("idx") >= 80, F.col("p_up")).alias("p_up"))
+    return bt.held_metrics(bt.run_held(f.join(p, ["symbol", "ts"]), horizon=24, warmup=80, threshold=0.55), warmup=80)
+
+
+@query
+def grid_given(s, d):
+    """The grid of thresholds and filters on a given p_up."""
+    f = _probability(ft.add_targets(ft.base_features(_bars(s, d)), 24)).withColumn("fold", F.lit(0))
+    return ml.grid(f, [0.5, 0.55, 0.6, 0.65], ["none", "median"])
+
+
+@query
+def loao_returns_only(s, d):
+    """Leave one symbol out, by its returns alone: what the features are compared with."""
+    return ml.evaluate(ml.leave_one_out(_ready(s, d), ["log_return", "log_return_5", "log_return_24"]), 0.55)
+
+
+@query
+def ablation_groups(s, d):
+    """Base features, topological scalars, both, and both with the scalars shuffled among the train rows."""
+    stored = Stored(s)
+    scalars = stored.put(hom.scalar_features(_diagrams(s, d), ["symbol", "ts"]), "scalars")
+    topology = [c for c in scalars.columns if c not in ("symbol", "ts")]
+    rows = stored.put(_ready(s, d).join(scalars, ["symbol", "ts"]), "rows")
+    groups = {"base": ft.TDA_FEATURES, "tda": topology, "base_tda": [*ft.TDA_FEATURES, *topology]}
+    return ml.evaluate(ml.ablate_columns(rows, groups, 5, 24, shuffle="tda"), 0.55, ("condition", "fold", "symbol"))
+
+
+@query
+def base_importances(s, d):
+    return ml.base_importances(_ready(s, d), ft.TDA_FEATURES, ("rf",), horizon=24)
+
+
+@query
+def live_scores(s, d):
+    """Each symbol's last features, scored by a model that was saved and read again."""
+    path = f"{Stored(s).root}/model"
+    f = ft.base_features(_bars(s, d))
+    ml.save_model(ml.fit(_ready(s, d).select(*ft.TDA_FEATURES, "target"), ft.TDA_FEATURES, "logistic"), path)
+    return sg.from_probability(ml.predict(ml.load_model(path), ml.latest_features(f)), threshold=0.55).select("symbol", "ts", "p_up", "signal", "position_size")
+
+
 @query
 def permutation_null(s, d):
     return ml.permutation_null(_ready(s, d), ft.TDA_FEATURES, horizon=24)
@@ -712,7 +813,8 @@ def feature_importance(s, d):
 
 @query
 def stacked_ensemble(s, d):
-    return ml.ensemble(_ready(s, d), ft.TDA_FEATURES, ("logistic", "rf"), 24).select("symbol", "ts", "target", "p_up")
+    # three kinds of boosting libraries are stood in for by one, so three distinct models
+    return ml.ensemble(_ready(s, d), ft.TDA_FEATURES, ("logistic", "rf", "gbm"), 24).select("symbol", "ts", "target", "p_up")
 
 
 @query
@@ -728,6 +830,66 @@ def stream_bars(s, d):
     return st.replay(s, f"{d}/events.parquet")
 
 
+@query
+def stream_sessions(s, d):
+    out = st.replay_sessions(s, f"{d}/events.parquet")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query
+def stream_averages(s, d):
+    return st.replay_averages(s, _bars(s, d)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+# columns, files
+
+
+@query
+def prefix_selection(s, d):
+    f = ft.base_features(_bars(s, d))
+    return f.select("symbol", "ts", *with_prefix(f.select(*ft.ALL_FEATURES), "vol_", "macd"))
+
+
+@query
+def numeric_selection(s, d):
+    c = tb.table(s, d, "customer")
+    return c.agg(*[F.sum(F.col(x).cast("bigint" if x.endswith("key") else "double")).alias(x) for x in numeric(c, without=("c_nationkey",))])
+
+
+@query
+def price_alignment(s, d):
+    b = _bars(s, d)
+    windows = ft.sliding_windows(b, ["close"], 20, 5).select("symbol", F.col("end_idx").cast("bigint").alias("end_idx"))
+    return bt.price_at(windows, b, 24).select("symbol", F.col("end_idx").cast("bigint").alias("end_idx"), "entry_close", "exit_close")
+
+
+@query
+def csv_round_trip(s, d):
+    path = f"{Stored(s).root}/csv"
+    tb.write_csv(_bars(s, d), path)
+    return tb.read_csv(s, path, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+
+
+@query
+def cached_table(s, d):
+    """Bars from the cache whose key fits; the first call fills it, a wrong key doesn't find it."""
+    path = f"{Stored(s).root}/cached"
+    tb.write_cached(_bars(s, d), path, "bars-1")
+    if tb.read_cached(s, path, "bars-2") is not None:
+        raise ValueError("a cache of another key was read")
+    return tb.read_cached(s, path, "bars-1")
+
+
+@query
+def json_payload(s, d):
+    """Blocks as JSON texts with hexadecimal numbers, read by a schema: fields, list sizes and sums of amounts."""
+    amount = F.concat(F.lit("0x"), F.hex(F.floor(F.col("volume") * 1000000)))
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    number = F.concat(F.lit("0x"), F.hex(F.unix_seconds(F.col("day").cast("timestamp"))))
+    blocks = _bars(s, d).withColumn("day", day).groupBy("symbol", "day").agg(F.collect_list(F.struct(amount.alias("value"))).alias("transactions"))
+    return tb.block_facts(blocks.select("symbol", F.col("day").alias("ts"), F.to_json(F.struct(number.alias("number"), "transactions")).alias("payload")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
@@ -735,8 +897,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Direction base rates and feature means of each symbol."""
     f = ft.add_targets(_frame(s, d), 24)
-    out = f.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("target").alias("share_up"), F.avg("log_return").alias("avg_log_return"), F.avg("gk_vol_20").alias("avg_gk_vol_20"), F.avg("rv_20").alias("avg_rv_20"), F.avg("vol_zscore_20").alias("avg_vol_zscore_20"))
-    return rounded(out)
+    return f.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("target").alias("share_up"), F.avg("log_return").alias("avg_log_return"), F.avg("gk_vol_20").alias("avg_gk_vol_20"), F.avg("rv_20").alias("avg_rv_20"), F.avg("vol_zscore_20").alias("avg_vol_zscore_20"))
 
 
 QUERIES["flagship"] = flagship

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import asof_backward
+
 #: Seconds of each bar width.
 GRANULARITY = {"1m": 60, "5m": 300, "15m": 900, "1h": 3600, "6h": 21600, "1d": 86400}
 #: Symbols that were taken off exchanges, and since when.
@@ -16,19 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bar_start(ts, width: str):
+    """The start of the bar that holds a time: an hour, a day, or a name of ``GRANULARITY``."""
+    if width not in GRANULARITY:
+        return F.date_trunc(width, ts).cast("timestamp_ntz")
+    epoch = F.unix_seconds(F.col(ts).cast("timestamp"))
+    return F.timestamp_seconds(epoch - F.pmod(epoch, F.lit(GRANULARITY[width]))).cast("timestamp_ntz")
+
+
 def bars(events: DataFrame, width: str = "hour") -> DataFrame:
-    """OHLCV bars by event type: first, highest, lowest and last value, and the number of events."""
-    grouped = events.groupBy(F.col("event_type").alias("symbol"), F.date_trunc(width, "ts").cast("timestamp_ntz").alias("ts"))
+    """OHLCV bars by event type: first, highest, lowest and last value, and the number of events; equal times go by event_id."""
+    order = F.struct("ts", "event_id")
+    grouped = events.groupBy(F.col("event_type").alias("symbol"), bar_start("ts", width).alias("ts"))
     return grouped.agg(
-        F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
-        F.max_by("value", "ts").alias("close"), F.count("*").cast("double").alias("volume"),
+        F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
+        F.max_by("value", order).alias("close"), F.count("*").cast("double").alias("volume"),
     )
 
 
 def venue_closes(events: DataFrame) -> DataFrame:
     """Daily close of two venues, the users with even and those with odd ids."""
     venue = F.when(F.pmod("user_id", F.lit(2)) == 0, "even").otherwise("odd")
-    return events.groupBy(F.col("event_type").alias("symbol"), venue.alias("venue"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(F.max_by("value", "ts").alias("close"))
+    return events.groupBy(F.col("event_type").alias("symbol"), venue.alias("venue"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("close"))
 
 
 def delisting_dimension(spark: SparkSession) -> DataFrame:
@@ -72,3 +83,21 @@ def read_cached(spark: SparkSession, path: str, key: str) -> DataFrame | None:
 def write_cached(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").parquet(path)
     df.sparkSession.createDataFrame([(key,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.key")
+
+
+def from_hex(text):
+    """The whole number of a text like 0x1f."""
+    return F.conv(F.regexp_replace(text, "^0x", ""), 16, 10).cast("bigint")
+
+
+def block_facts(blocks: DataFrame, unit: float = 1e9) -> DataFrame:
+    """(symbol, ts, block_number, n_transactions, total_value, keys) of JSON payloads with hexadecimal numbers."""
+    parsed = blocks.withColumn("b", F.from_json("payload", "number string, transactions array<struct<value:string>>"))
+    total = F.aggregate(F.transform("b.transactions", lambda t: from_hex(t["value"])), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    keys = F.array_join(F.json_object_keys("payload"), ",")
+    return parsed.select("symbol", "ts", from_hex(F.col("b.number")).alias("block_number"), F.size("b.transactions").cast("bigint").alias("n_transactions"), (total / unit).alias("total_value"), keys.alias("keys"))
+
+
+def with_volume(ohlc: DataFrame, volumes: DataFrame, by: str = "symbol") -> DataFrame:
+    """Bars of a source without volume, each with the latest volume of another one up to its time."""
+    return asof_backward(ohlc, volumes.select(by, "ts", "volume"), by, "ts", "volume", "volume")

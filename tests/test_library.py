@@ -1,11 +1,13 @@
+import json
 import math
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.functions.columns import beta_inc, t_test_p
+from cairn.functions.columns import beta_inc, numeric, student_p, t_test_p, with_prefix
 from cairn.operators import backtest as bt
 from cairn.operators import features as ft
 from cairn.operators import homology as hom
@@ -15,6 +17,12 @@ from cairn.operators import models as ml
 from cairn.operators import signals as sg
 from cairn.operators import tuning as tu
 from cairn.operators import validation as va
+from cairn.session import Stored
+from cairn.sources import tables as tb
+from cairn.sources.candles import CandleSource
+from cairn.streaming import bars as st
+
+SF = "/root/testdata/sf0.001"
 
 
 def series(n=120, seed=42):
@@ -232,3 +240,112 @@ def test_null_takes_the_default_number_of_replicates(spark):
 
     n = q.permutation_null(spark, "/root/testdata/sf0.01")
     assert n.filter("replicate >= 0").select("replicate").distinct().count() == 99
+
+
+def test_null_by_groups_is_the_null_of_the_tasks(spark):
+    f = Stored(spark).put(ft.add_targets(ft.base_features(tb.bars(tb.table(spark, SF, "events"))), 3), "rows")
+    options = {"rounds": 3, "threshold": (0.5, 0.52), "block": 12, "horizon": 3}
+    small = {r.replicate: r.value for r in ml.permutation_null(f, ["rv_20", "bb_width"], **options).collect()}
+    large = {r.replicate: r.value for r in ml.permutation_null(f, ["rv_20", "bb_width"], **options, most_values=0).collect()}
+    assert set(small) == set(large) == {-1, 0, 1, 2} and all(abs(small[r] - large[r]) < 1e-9 for r in small)
+
+
+def test_logistic_models_of_groups_match_one_in_memory(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 3)) * [1.0, 50.0, 0.01]
+    y = (x[:, 0] + x[:, 1] / 50 + rng.normal(size=600) > 0).astype(int)
+    rows = [(i % 3 if i < 590 else 7, float(a), float(b), float(c), int(t) if i < 590 else 1) for i, ((a, b, c), t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "g int, a double, b double, c double, target int").repartition(5)
+    models = ml.fit_logistics(df, "g", ["a", "b", "c"])
+    assert set(models) == {0, 1, 2}  # 7 has one target
+    got = {(r.a, r.b): r.p_up for r in ml.score_logistics(df, "g", ["a", "b", "c"], models).collect()}
+    for g in range(3):
+        at = [i for i in range(590) if i % 3 == g]
+        p = ml.Logistic().fit(x[at], y[at].astype(float)).predict(x[at])
+        assert all(abs(got[x[i, 0], x[i, 1]] - q) < 1e-7 for i, q in zip(at, p))
+
+
+def test_p_values(spark):
+    cases = [(0.0, 5.0), (2.0, 1.0), (2.0, 10.0), (-3.5, 40.0), (1.96, 5000.0), (30.0, 3.0), (0.5, 2.0)]
+    got = spark.createDataFrame(cases, "t double, df double").select("t", "df", student_p(F.col("t"), F.col("df")).alias("p")).collect()
+    assert all(abs(r.p - t_test_p(r.t, r.df)) < 1e-6 for r in got)
+
+
+def held_by_hand(prices, p, horizon, warmup, threshold, fee=0.00075, slip=0.0005, most=0.5, capital=10000.0):
+    cash, units, entry, paid, until, equity, pnls = capital, 0.0, 0.0, 0.0, -1, [], []
+    for t, (price, q) in enumerate(zip(prices, p)):
+        worth = cash + units * price
+        if t >= warmup and units and t >= until:
+            out = price * (1 - slip if units > 0 else 1 + slip)
+            cost = abs(units) * out * fee
+            pnls.append((out - entry) * units - cost - paid)
+            cash, units = cash + units * out - cost, 0.0
+        if t >= warmup and not units and q is not None and (q > threshold or q < 1 - threshold):
+            value = worth * most * 2 * abs(q - 0.5)
+            paid, until = value * fee, t + horizon
+            entry = price * (1 + slip if q > threshold else 1 - slip)
+            units = (value - paid) / entry if q > threshold else -value / entry
+            cash += -value if q > threshold else value - paid
+        equity.append(cash + units * price)
+    if units:
+        out = prices[-1] * (1 - slip if units > 0 else 1 + slip)
+        equity[-1] = cash + units * out - abs(units) * out * fee
+    return equity, pnls
+
+
+def test_positions_that_last_a_horizon(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for s in ("a", "b", "c"):
+        prices = (100 * np.exp(np.cumsum(rng.normal(size=90) * 0.03))).tolist()
+        p = [None if rng.random() < 0.1 else float(rng.random()) for _ in prices]
+        want[s] = held_by_hand(prices, p, 7, 10, 0.6)
+        rows += [(s, datetime(2024, 1, 1) + timedelta(hours=i), float(c), q) for i, (c, q) in enumerate(zip(prices, p))]
+    ledger = bt.run_held(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double, p_up double"), horizon=7, warmup=10, threshold=0.6).collect()
+    for s, (equity, pnls) in want.items():
+        mine = sorted((r for r in ledger if r.symbol == s), key=lambda r: r.idx)
+        assert np.allclose([r.equity for r in mine], equity) and np.allclose([r.trade.pnl for r in mine if r.trade], pnls) and len(pnls) > 3
+
+
+def test_candle_pages(spark, tmp_path):
+    start, step = 1_700_000_000, 3600
+    for page in range(3):  # the second page can't be had
+        if page != 1:
+            first = start + page * 10 * step
+            candles = [[first + i * step, 1.0, 3.0, 2.0, 2.5, float(i)] for i in range(10)]
+            (tmp_path / f"{first}-{min(first + 10 * step, start + 25 * step)}.json").write_text(json.dumps(candles))
+    spark.dataSource.register(CandleSource)
+    df = spark.read.format("candles").option("url", f"{tmp_path}/{{start}}-{{end}}.json").options(start=str(start), end=str(start + 25 * step), page="10", pause="0").load()
+    assert df.columns == ["ts", "open", "high", "low", "close", "volume"]
+    assert df.dropDuplicates(["ts"]).count() == 15 and df.agg(F.max("high")).first()[0] == 3.0
+    bars = df.withColumn("symbol", F.lit("x")).drop("volume")
+    volumes = df.withColumn("symbol", F.lit("x")).filter("volume <> 4")
+    assert tb.with_volume(bars, volumes).filter("volume = 3").count() == 4  # the fourth, and the one without its own, in two pages
+
+
+def test_cache_and_log(spark, tmp_path):
+    df = spark.range(5)
+    assert tb.read_cached(spark, str(tmp_path / "t"), "k") is None
+    tb.write_cached(df, str(tmp_path / "t"), "k")
+    assert tb.read_cached(spark, str(tmp_path / "t"), "other") is None and tb.read_cached(spark, str(tmp_path / "t"), "k").count() == 5
+    for i in range(2):
+        spark.range(i * 3, i * 3 + 3).write.mode("append").parquet(str(tmp_path / "in"))
+        st.append_log(spark.readStream.schema("id bigint").parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "state")).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "log")).collect()) == list(range(6))
+
+
+def test_average_stream_leaves_out_what_comes_late(spark):
+    bars = spark.createDataFrame([("a", datetime(2024, 1, 1, h), float(h), 1.0) for h in (0, 1, 2, 3, 4, 5)], "symbol string, ts timestamp_ntz, close double, volume double")
+    got = sorted((r.ts.hour, r.n_held, r.average) for r in st.replay_averages(spark, bars, 3).collect())
+    assert got == [(0, 1, 0.0), (1, 2, 0.5), (2, 3, 1.0), (3, 3, 2.0), (4, 3, 3.0), (5, 3, 4.0)]
+
+
+def test_dbscan_clusters():
+    x = np.array([[0.0], [0.5], [1.0], [5.0], [5.4], [20.0]])
+    assert mp.dbscan(x, 0.6, 2).tolist() == [0, 0, 0, 1, 1, -1]
+    assert mp.dbscan(x, 0.6, 3).tolist() == [0, 0, 0, -1, -1, -1]  # the ends are near a core
+
+
+def test_column_selection(spark):
+    df = spark.createDataFrame([(1, "x", 2.0, 3)], "vol_a int, name string, vol_b double, id bigint")
+    assert with_prefix(df, "vol_") == ["vol_a", "vol_b"] and numeric(df, without=("id",)) == ["vol_a", "vol_b"]
