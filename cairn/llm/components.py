@@ -6,6 +6,9 @@ links are rewritten to the parents; links inside one component vanish and the
 others are distinct again.  Vertices are digests, so their order is random and
 every round removes a constant share of the vertices that still have links.
 Only tables are passed on; the driver sees their row counts.
+
+Defined results: a link with a null end, or from a vertex to itself, is none; repeated
+and turned links are one; a vertex without links is not listed; no links give no rows.
 """
 
 from __future__ import annotations

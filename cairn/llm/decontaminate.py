@@ -18,6 +18,9 @@ Two plans, same fingerprints and same extension:
   without any shuffle;
 * otherwise: the benchmark's fingerprints stay a table, document fingerprints
   are thinned out by a bit filter of fixed size and joined to it by hash.
+  A fingerprint goes with the words that a window around it can reach; equal ones are
+  one class on either side, so a passage that many documents and many items hold is
+  compared once, and only what a document is told at the end grows with its items.
 
 Defined results: a null text has no words (and isn't contaminated); every input
 row gives one output row, repeated rows too; a null doc_id stays null; items of
@@ -75,8 +78,12 @@ class BenchmarkIndex:
 
     def __init__(self, ids: list[str], texts: pa.Array, window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
-        self.names = sorted(set(ids))
-        rank = {name: i for i, name in enumerate(self.names)}
+        # items of equal texts are one class
+        classes: dict[str, set[str]] = {}
+        for name, t in zip(ids, texts.to_pylist(), strict=True):
+            classes.setdefault(t or "", set()).add(name)
+        texts = pa.array(list(classes), pa.large_string())
+        self.names = [sorted(x) for x in classes.values()]
         hashes, begin, end, owner = [], [], [], []
         found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         base = 0
@@ -90,7 +97,7 @@ class BenchmarkIndex:
             hashes.append(words.hashes)
             begin.append(words.first[words.doc] + base)
             end.append(words.first[1:][words.doc] + base)
-            owner.append(np.array([rank[x] for x in ids[lo : lo + len(off) - 1]], dtype=np.int64)[words.doc])
+            owner.append(words.doc + lo)
             base += len(words)
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.hashes, self.begin, self.end, self.owner = join(hashes, np.uint64), join(begin, np.int64), join(end, np.int64), join(owner, np.int64)
@@ -101,7 +108,7 @@ class BenchmarkIndex:
             self.tables[length] = (h[order], at[order])
 
     def match(self, words: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hit flag of each word, texts, items): the last two are the pairs that share a window."""
+        """(hit flag of each word, texts, classes of items): the last two are the pairs that share a window."""
         depth = np.zeros(len(words) + 1, dtype=np.int64)
         pairs = []
         for length, (table, where) in self.tables.items():
@@ -155,7 +162,8 @@ def _judge(index: BenchmarkIndex, texts: pa.Array) -> tuple[np.ndarray, np.ndarr
         hit, texts_, owners = index.match(words)
         n_hit[lo:hi] = np.bincount(words.doc[hit], minlength=hi - lo)
         for t, o in zip(texts_, owners, strict=True):
-            items[lo + t].append(index.names[o])
+            items[lo + t] += index.names[o]
+    items = [sorted(set(x)) if len(x) > 1 else x for x in items]
     return n_words, n_hit, items
 
 
@@ -269,7 +277,11 @@ def _by_join(docs: DataFrame, items: DataFrame, window: int, gram: int, share: i
                     s = _structs(words, int(length), at, h, min(gram, int(length)))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(words.doc[at])), s], ["item", "print"])
 
-    prints = stored.put(items.mapInArrow(item_prints, f"item string, print {_HIT}").select("item", "print.length", "print.hash", F.col("print.lead").alias("i_lead"), F.col("print.words").alias("i_words")), "prints")
+    context = lambda lead, words: F.xxhash64("length", "hash", lead, words)
+    prints = items.mapInArrow(item_prints, f"item string, print {_HIT}").select("item", "print.length", "print.hash", F.col("print.lead").alias("i_lead"), F.col("print.words").alias("i_words"))
+    prints = stored.put(prints.withColumn("i_class", context("i_lead", "i_words")), "prints")
+    owners = prints.select("i_class", "item").distinct()
+    prints = stored.put(prints.drop("item").dropDuplicates(["i_class"]), "item-classes")
     lengths = sorted(r["length"] for r in prints.select("length").distinct().collect())  # at most `window` values
     filled = spark.sparkContext.broadcast(bit_filter(prints, "hash"))
 
@@ -292,34 +304,38 @@ def _by_join(docs: DataFrame, items: DataFrame, window: int, gram: int, share: i
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = stored.put(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(doc_prints, f"doc_id {kind}, text_key bigint, n_words bigint, hits array<{_HIT}>"), "documents")
-    hits = base.select("doc_id", "text_key", F.explode("hits").alias("h")).select("doc_id", "text_key", "h.*").distinct()
+    hits = base.select("doc_id", "text_key", F.explode("hits").alias("h")).select("doc_id", "text_key", "h.*").withColumn("d_class", context("lead", "words")).distinct()
+    classes = hits.select("d_class", "length", "hash", "lead", "words").dropDuplicates(["d_class"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {name: batch.column(name) for name in batch.schema.names}
-            starts, ends = [], []
-            for length, at, x, i, y, j in zip(*(cols[c].to_pylist() for c in ("length", "at", "words", "lead", "i_words", "i_lead")), strict=True):
+            before, after = [], []
+            for length, x, i, y, j in zip(*(cols[c].to_pylist() for c in ("length", "words", "lead", "i_words", "i_lead")), strict=True):
                 left = right = 0
                 while left < min(i, j) and x[i - left - 1] == y[j - left - 1]:
                     left += 1
                 while i + right < len(x) and j + right < len(y) and x[i + right] == y[j + right]:
                     right += 1
                 whole = left + right >= length and right >= min(gram, length)
-                starts.append(at - left if whole else None)
-                ends.append(at + right if whole else None)
-            yield pa.RecordBatch.from_arrays([cols["doc_id"], cols["text_key"], cols["item"], pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["doc_id", "text_key", "item", "start", "end"])
-
-    spans = hits.join(prints, ["length", "hash"]).select("doc_id", "text_key", "length", "at", "words", "lead", "i_words", "i_lead", "item")
-    spans = spans.mapInArrow(extend, f"doc_id {kind}, text_key bigint, item string, start bigint, end bigint").filter("start is not null")
+                before.append(left if whole else None)
+                after.append(right)
+            yield pa.RecordBatch.from_arrays([cols["d_class"], cols["i_class"], pa.array(before, pa.int64()), pa.array(after, pa.int64())], ["d_class", "i_class", "before", "after"])
+
+    met = classes.join(prints, ["length", "hash"]).select("d_class", "i_class", "length", "words", "lead", "i_words", "i_lead")
+    met = stored.put(met.mapInArrow(extend, "d_class bigint, i_class bigint, before bigint, after bigint").filter("before is not null"), "met")
+    places = hits.select("doc_id", "text_key", "at", "d_class")
+    spans = places.join(met.select("d_class", "before", "after").distinct(), "d_class").select("doc_id", "text_key", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end"))
+    named = places.select("doc_id", "text_key", "d_class").distinct().join(met.select("d_class", "i_class"), "d_class").join(owners, "i_class").select("doc_id", "text_key", "item").distinct()
     # a document's spans and items are bounded by its own words and by the benchmark's size
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "end"))),
         F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("total")),
         lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["total"] + F.greatest(F.lit(0).cast("bigint"), s["end"] - F.greatest(a["end"], s["start"]))).alias("total")),
     )["total"]
-    found = spans.groupBy("doc_id", "text_key").agg(merged.alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
-    found = found.select(F.col("doc_id").alias("k"), F.col("text_key").alias("t"), "n_hit", "items")
-    out = base.join(found, base.doc_id.eqNullSafe(found.k) & base.text_key.eqNullSafe(found.t), "left")
+    found = spans.groupBy(F.col("doc_id").alias("k"), F.col("text_key").alias("t")).agg(merged.alias("n_hit"))
+    told = named.groupBy(F.col("doc_id").alias("ik"), F.col("text_key").alias("it")).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = base.join(found, base.doc_id.eqNullSafe(found.k) & base.text_key.eqNullSafe(found.t), "left").join(told, base.doc_id.eqNullSafe(told.ik) & base.text_key.eqNullSafe(told.it), "left")
     n_hit, names = F.coalesce("n_hit", F.lit(0).cast("bigint")), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         base.doc_id, "n_words", n_hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
