@@ -189,6 +189,10 @@ def test_url_filter(spark):
         got = {r.page_id: (r.rule, r.verdict, r.host, r.path) for r in url_filter.filter_urls(pages, rules, max_rule_bytes=most).collect()}
         assert [got[i][0] for i in range(len(urls))] == want
         assert got[0][1:] == ("allow", "a.example.net", "/en/x") and got[2][1:] == ("allow", "example.net", "") and got[6][2:] == ("", "")
+    frame = spark.createDataFrame([*rules, ("", "block"), (None, "block"), ("net/", "allow")], "rule string, verdict string")
+    for most in (1 << 20, 0):  # a list as a table
+        got = {r.page_id: r.rule for r in url_filter.filter_urls(pages, frame, max_rule_bytes=most).collect()}
+        assert [got[i] for i in range(len(urls))] == want
     assert url_filter.filter_urls(pages, []).filter("verdict = 'allow'").count() == len(urls)
 
 
