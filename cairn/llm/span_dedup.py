@@ -14,7 +14,7 @@ that any other occurrence covers is removed.
 1. The rows are written to the shared folder with a number each, so that both
    readings below name the same rows, also of one id or without any.
 2. Each task reads its texts and emits a 64-bit digest, the document and the position
-   of every span; they are summed to first and last occurrence before and after
+   of every span; they are summed to first occurrence and count before and after
    one shuffle, so a span that is in a third of all texts is a row a task.
 3. Digests that occur once are forgotten.  The others fill a bit filter of fixed
    size, with which texts are read again to emit only spans that may repeat; these
@@ -113,8 +113,7 @@ def repeated_ranges(docs: DataFrame, row: str, stored: Stored, *, doc_id: str =
     slim = docs.select(whole.alias("text"), F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(whole).alias("text"), F.col(row).alias("row")).alias("doc"))
     kind = slim.schema["doc"].dataType.simpleString()
     every = slim.mapInArrow(_scan_spans(min_sentences, min_words), f"digest bigint, start int, end int, doc {kind}")
-    place = F.struct("doc", "start")
-    seen = every.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
+    seen = every.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     seen = stored.put(seen.select("digest", F.col("first.doc.row").alias("first_row"), F.col("first.start").alias("first_start")), "repeated")
     filled = spark.sparkContext.broadcast(bit_filter(seen, "digest"))
     again = docs.select(whole.alias("text"), F.col(row).alias("row")).mapInArrow(_scan_spans(min_sentences, min_words, filled), "digest bigint, start int, end int, row bigint")
