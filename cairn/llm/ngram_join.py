@@ -586,8 +586,9 @@ def similar_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     sizes = classes.select("cls", "n")
 
     every = stored.put(_posts(slim, classes, scheme), "every-post")
-    posts = stored.put(every.join(_same_groups(every), "key"), "posts")
-    stored.drop(every)
+    groups = stored.put(_same_groups(every), "groups")
+    posts = stored.put(every.join(groups, "key"), "posts")
+    stored.drop(every, groups)
     maps = found.select("cls", "map").join(posts.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
     maps = stored.put(maps, "maps")
     fits = F.least("n", "hub_n") * scheme.den >= F.greatest("n", "hub_n") * scheme.num
@@ -600,7 +601,9 @@ def similar_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         named = open_.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         tally = named.groupBy("key", "root").agg(F.count("*").alias("rows")).groupBy("key")
         tally = tally.agg(F.max_by("root", F.struct("rows", "root")).alias("giant"), F.max("rows").alias("giant_rows"), F.sum("rows").alias("rows"), F.count("*").alias("roots"))
-        mixed = stored.put(named.join(tally.filter("roots > 1").drop("roots"), "key"), "mixed")
+        # written first, so that a large group can be split where it is joined
+        tally = stored.put(tally.filter("roots > 1").drop("roots"), "tally")
+        mixed = stored.put(named.join(tally, "key"), "mixed")
         near = stored.put(_mixed_pairs(mixed, maps, scheme, forests), "near")
         done = checked.select("x", "y").union(checked.select("y", "x"))
         new = stored.put(near.select("x", "y").distinct().join(done, ["x", "y"], "left_anti"), "new-pairs")
@@ -613,7 +616,7 @@ def similar_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         if left.isEmpty():
             break
         open_ = stored.put(mixed.select("key", "cls", "n").join(left, "key", "left_semi"), "open")
-        stored.drop(mixed, near)
+        stored.drop(tally, mixed, near)
         forests *= 4
 
     least = classes.join(roots, "cls").groupBy("root").agg(F.min("first_id").alias("least"))
