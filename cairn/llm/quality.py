@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import Stored, ship_package
 from . import kernels as K
 from .runtime import list_array
 
@@ -244,9 +244,13 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
     kind = texts.schema["id"].dataType.simpleString()
     rows = texts.mapInArrow(extract, f"id {kind}, y int, places array<int>")
-    # 2 * most rows at most: as many of them as the bound on places allows
-    rows = rows.withColumn("places_so_far", F.sum(F.size("places")).over(W.orderBy(F.xxhash64("id"), "id").rowsBetween(W.unboundedPreceding, W.currentRow)))
-    table = rows.filter(F.col("places_so_far") <= most_places).drop("places_so_far").toArrow().sort_by("id").combine_chunks()
+    # 2 * most rows at most: as many of them as the bound on places allows, by their sizes alone
+    stored = Stored(spark)
+    rows = stored.put(rows, "features")
+    so_far = F.sum("size").over(W.orderBy(F.xxhash64("id"), "id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    taken = rows.select("id", F.size("places").alias("size")).withColumn("so_far", so_far).filter(F.col("so_far") <= most_places).select("id")
+    table = rows.join(F.broadcast(taken), "id").toArrow().sort_by("id").combine_chunks()  # 2 * most ids at most
+    stored.drop(rows)
     lists = table["places"].combine_chunks()
     found = Rows(lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
     return fit(found, table["y"].to_numpy(), (sizes.get(0, 0), sizes.get(1, 0)))
