@@ -98,4 +98,40 @@ SELECT r.doc_id, r.size, h.source_size, h.target, CAST(r.size * (h.whole + CASE
 FROM r JOIN h ON r.key = h.key JOIN f ON r.key = f.key AND r.size = f.size
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op3_line_dedup": OP3, "op4_topk": OP4, "op5_url_filter": OP5, "op6_mix": OP6}
+OP8 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+b AS (SELECT x AS v, y AS o FROM l UNION SELECT y, x FROM l),
+r(v, o) AS (SELECT v, o FROM b UNION SELECT r.v, b.o FROM r JOIN b ON r.o = b.v),
+c AS (SELECT v, min(o) AS least_id FROM r GROUP BY v)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(least_id, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON v = w.doc_id
+"""
+
+# pieces of a text are words and what is between them; a piece goes with the sentence of the word before it
+OP9 = f"""
+WITH p0 AS (
+  SELECT doc_id, i, x, i % 2 = odd AS word FROM (
+    SELECT doc_id, unnest(x) AS x, unnest(range(1, len(x) + 1)) AS i, CASE WHEN regexp_matches(x[1], '^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]') THEN 1 ELSE 0 END AS odd
+    FROM (SELECT doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS x FROM documents WHERE text IS NOT NULL))),
+p1 AS (
+  SELECT *, CASE WHEN word THEN translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS w, sum(CASE WHEN word THEN 1 ELSE 0 END) OVER o AS place,
+    CASE WHEN word AND coalesce(lag(contains(x, chr(10)) OR regexp_matches(x, '[.!?][^-,;:_/@&=+.!?]')) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AND i > 2 THEN 1 ELSE 0 END AS fresh
+  FROM p0 WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, CASE WHEN place > 0 THEN sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) END AS k FROM p1),
+s AS (SELECT doc_id, k, min(place) AS a, max(place) AS z FROM p WHERE word GROUP BY doc_id, k),
+t AS (SELECT x.doc_id, x.k AS k, min(y.k) AS last, any_value(x.a) AS a, min(y.z) AS z FROM s x JOIN s y ON x.doc_id = y.doc_id AND y.k BETWEEN x.k + 1 AND x.k + 20 AND y.z - x.a + 1 >= 20 GROUP BY x.doc_id, x.k),
+d AS (SELECT doc_id, list(w ORDER BY i) AS w FROM p WHERE word GROUP BY doc_id),
+e AS (SELECT doc_id, k, last, row_number() OVER (PARTITION BY array_to_string(w[a : z], ' ') ORDER BY doc_id, k) AS seen FROM t JOIN d USING (doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(CAST(k AS BIGINT), CAST(last AS BIGINT) + 1)) AS k FROM e WHERE seen > 1),
+h AS (SELECT doc_id, string_agg(lo || '-' || (hi + 1), ',' ORDER BY lo) AS removed FROM (SELECT doc_id, min(k) AS lo, max(k) AS hi FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM g) GROUP BY doc_id, run) GROUP BY doc_id),
+m AS (SELECT p.doc_id, string_agg(x, '' ORDER BY i) FILTER (g.k IS NULL) AS text, count(*) FILTER (word AND g.k IS NOT NULL) AS gone FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.k = g.k GROUP BY p.doc_id)
+SELECT doc_id, CAST(coalesce(gone, 0) AS BIGINT) AS n_words_removed, coalesce(removed, '') AS removed, CASE WHEN documents.text IS NULL THEN NULL ELSE coalesce(m.text, '') END AS text
+FROM documents LEFT JOIN m USING (doc_id) LEFT JOIN h USING (doc_id)
+"""
+
+ORACLES = {"op8_ngram_join": OP8, "op9_span_dedup": OP9, "op1_decontaminate": OP1, "op3_line_dedup": OP3, "op4_topk": OP4, "op5_url_filter": OP5, "op6_mix": OP6}
