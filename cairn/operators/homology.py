@@ -1,8 +1,11 @@
 """Vietoris-Rips persistence (H0, H1) of small point clouds, its statistics and images.
 
 Clouds arrive as arrays in Arrow batches and are reduced in Python workers, one
-cloud at a time: H0 is a minimal spanning tree, H1 a reduction of the triangle
-columns over two elements in the order of the filtration, with columns as bit sets.
+cloud at a time.  H0 is a minimal spanning tree.  H1 comes from cohomology over two
+elements: an edge outside the tree that is the longest of some triangle dies with the
+first of these, at once; only the other edges, few in a cloud, begin loops that last,
+and their coboundaries are reduced from the longest edge down, as bit sets over the
+triangles in the order of the filtration.
 """
 
 from __future__ import annotations
@@ -23,15 +26,37 @@ RESOLUTION = 10
 
 
 @lru_cache(maxsize=16)
-def _simplices(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges' ends, and each triangle's three edges."""
+def _simplices(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges' ends, each triangle's three edges, and each edge's n - 2 triangles."""
     i, j = np.triu_indices(n, 1)
     at = np.zeros((n, n), np.int64)
     at[i, j] = np.arange(len(i))
     a, b, c = (x.ravel() for x in np.meshgrid(*[np.arange(n)] * 3, indexing="ij"))
     keep = (a < b) & (b < c)
     a, b, c = a[keep], b[keep], c[keep]
-    return i, j, np.stack([at[a, b], at[a, c], at[b, c]], axis=1)
+    triangles = np.stack([at[a, b], at[a, c], at[b, c]], axis=1)
+    around = np.argsort(triangles.ravel(), kind="stable") // 3
+    return i, j, triangles, around.reshape(len(i), n - 2)
+
+
+def _tree(n: int, i: np.ndarray, j: np.ndarray, order: np.ndarray) -> list[int]:
+    """Places in the order of the edges of a minimal spanning tree (Kruskal)."""
+    group = list(range(n))
+    members = [[v] for v in range(n)]
+    tree = []
+    for place, (u, v) in enumerate(zip(i[order].tolist(), j[order].tolist(), strict=True)):
+        a, b = group[u], group[v]
+        if a == b:
+            continue
+        tree.append(place)
+        if len(tree) == n - 1:
+            break
+        if len(members[a]) < len(members[b]):
+            a, b = b, a
+        for w in members[b]:
+            group[w] = a
+        members[a] += members[b]
+    return tree
 
 
 def rips(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,53 +65,54 @@ def rips(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     empty = np.zeros((0, 2))
     if n < 2:
         return empty, empty
-    i, j, triangles = _simplices(n)
+    i, j, triangles, around = _simplices(n)
     length = np.sqrt(((points[i] - points[j]) ** 2).sum(axis=1))
     order = np.argsort(length, kind="stable")
+    sorted_length = length[order]
+    tree = _tree(n, i, j, order)
+    deaths = sorted_length[tree]
+    deaths = deaths[deaths > 0]
+    h0 = np.column_stack([np.zeros(len(deaths)), deaths])
+    if n < 3:
+        return h0, empty
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    sorted_length = length[order]
-    # H0: Kruskal's tree
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    tree, deaths = set(), []
-    for e, (u, v) in enumerate(zip(i[order].tolist(), j[order].tolist(), strict=True)):
-        a, b = find(u), find(v)
-        if a != b:
-            parent[a] = b
-            tree.add(e)
-            deaths.append(sorted_length[e])
-            if len(deaths) == n - 1:
-                break
-    h0 = np.array([[0.0, d] for d in deaths if d > 0]).reshape(-1, 2)
-    # H1: every edge outside the tree is born; a triangle kills the pivot of its reduced column
-    open_loops = len(order) - len(tree)
-    tri = np.sort(rank[triangles], axis=1)
-    tri = tri[np.argsort(tri[:, 2], kind="stable")].tolist()
-    columns: dict[int, int] = {}
+    longest = rank[triangles].max(axis=1)
+    by_time = np.argsort(longest, kind="stable")
+    longest = longest[by_time]
+    time = np.empty(len(by_time), np.int64)
+    time[by_time] = np.arange(len(by_time))
+    begins = np.ones(len(longest), bool)
+    begins[1:] = longest[1:] != longest[:-1]
+    first = np.flatnonzero(begins)
+    # the edge whose coboundary begins with a triangle: for a start, the longest edge of the first triangle of its length
+    owner: dict[int, int] = dict(zip(first.tolist(), longest[first].tolist(), strict=True))
+    loops = np.ones(len(order), bool)
+    loops[tree] = False
+    loops[longest[first]] = False
+    last = len(by_time) - 1
+    reduced: dict[int, int] = {}
+
+    def coboundary(edge: int) -> int:
+        if edge not in reduced:
+            bits = 0
+            for t in time[around[order[edge]]].tolist():
+                bits |= 1 << (last - t)  # the earliest triangle is the highest bit
+            reduced[edge] = bits
+        return reduced[edge]
+
     pairs = []
-    for a, b, c in tri:
-        if not open_loops:
-            break
-        column = (1 << a) | (1 << b) | (1 << c)
-        pivot = c
-        while pivot in columns:
-            column ^= columns[pivot]
-            if not column:
+    for edge in np.flatnonzero(loops)[::-1].tolist():
+        column = coboundary(edge)
+        while column:
+            t = last + 1 - column.bit_length()
+            if t not in owner:
+                owner[t], reduced[edge] = edge, column
+                if sorted_length[longest[t]] > sorted_length[edge]:
+                    pairs.append((sorted_length[edge], sorted_length[longest[t]]))
                 break
-            pivot = column.bit_length() - 1
-        if column:
-            columns[pivot] = column
-            open_loops -= 1
-            birth, death = sorted_length[pivot], sorted_length[c]
-            if death > birth:
-                pairs.append((birth, death))
+            column ^= coboundary(owner[t])
+    pairs.sort(key=lambda x: (x[1], x[0]))
     return h0, np.array(pairs).reshape(-1, 2)
 
 
@@ -100,6 +126,13 @@ def statistics(diagram: np.ndarray) -> list[float]:
     return [float(len(p)), p.sum(), p.max(), p.mean(), float(np.median(p)), p.std(), -(share * np.log(share + 1e-12)).sum(), math.sqrt((p * p).sum())]
 
 
+def _diagram_column(diagrams: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in diagrams])]).astype(np.int32)
+    every = np.concatenate(diagrams) if diagrams else np.zeros((0, 2))
+    pairs = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(every[:, c])) for c in range(2)], ["birth", "death"])
+    return pa.ListArray.from_arrays(pa.array(offsets), pairs)
+
+
 _POINT = "array<struct<birth:double,death:double>>"
 
 
@@ -111,20 +144,21 @@ def diagrams(clouds: DataFrame, keep: list[str], points: str = "points", centre:
     n_keep = len(keep)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("birth", pa.float64()), ("death", pa.float64())]))
         for batch in batches:
-            out: tuple[list, list] = ([], [])
-            data = [batch.column(n_keep + i).to_pylist() for i in range(len(cols))]
-            for row in zip(*data, strict=True):
-                x = np.array(row[0], dtype=float)
-                x = x.reshape(len(x), -1)
+            cloud = batch.column(n_keep)
+            edge, inner = cloud.offsets.to_numpy(), cloud.values.offsets.to_numpy()
+            flat = cloud.values.values.to_numpy(zero_copy_only=False)
+            moved = [np.asarray(batch.column(n_keep + i).flatten()).reshape(batch.num_rows, -1) for i in range(1, len(cols))]
+            found: tuple[list, list] = ([], [])
+            for r in range(batch.num_rows):
+                x = flat[inner[edge[r]] : inner[edge[r + 1]]].reshape(edge[r + 1] - edge[r], -1) if edge[r + 1] > edge[r] else np.zeros((0, 1))
                 if centre:
-                    x = x - np.array(row[1])
+                    x = x - moved[0][r]
                 if scale:
-                    x = x / np.array(row[-1])
-                for target, d in zip(out, rips(x), strict=True):
-                    target.append([{"birth": b, "death": e} for b, e in d.tolist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *(pa.array(o, kind) for o in out)], [*keep, "h0", "h1"])
+                    x = x / moved[-1][r]
+                for target, d in zip(found, rips(x), strict=True):
+                    target.append(d)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *map(_diagram_column, found)], [*keep, "h0", "h1"])
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*keep).schema.fields)
     return slim.mapInArrow(scan, f"{head}, h0 {_POINT}, h1 {_POINT}")
