@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import Stored, ship_package
 from .homology import RESOLUTION, image_bounds, persistence_images
@@ -75,7 +76,7 @@ def cross_validate(df: DataFrame, columns: list[str], kind: str = "logistic", k:
             train = stored.put(train, "shuffled")
         models = fit_logistics(train, "fold", columns)
         return score_logistics(rows.filter("role = 'test'"), "fold", columns, models).select("fold", *KEPT, *beside, "p_up")
-    rows = rows.cache()
+    rows = Stored(df.sparkSession).put(rows, "folds")
     parts = []
     for fold in range(k):
         train = rows.filter((F.col("fold") == fold) & (F.col("role") == "train"))
@@ -94,47 +95,59 @@ def cross_validate(df: DataFrame, columns: list[str], kind: str = "logistic", k:
 # --- logistic models of many groups at once ---------------------------------------------------
 
 
-def _sums(rows: DataFrame, of) -> dict[int, list[np.ndarray]]:
-    """For each group (the first column), the sums over its rows of what ``of(group, x, y)`` gives, summed in the tasks first."""
+def _vector(columns: list[str] | Column) -> Column:
+    return columns if isinstance(columns, Column) else F.array(*[F.col(c).cast("double") for c in columns])
+
+
+def _sums(rows: DataFrame, of) -> dict[int, np.ndarray]:
+    """For each group g of the rows (g, x, y), the sum of ``of(g, x, y)`` over them: in each task first, then a task a group."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            group = batch.column(0).to_numpy()
-            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            y = batch.column(2).to_numpy()
-            for g in np.unique(group):
-                mine = group == g
-                part = of(int(g), x[mine], y[mine])
-                total[int(g)] = total[int(g)] + part if int(g) in total else part
-        for g, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([g] * len(v), pa.int64()), pa.array(np.arange(len(v)), pa.int64()), pa.array(v)], ["g", "i", "v"])
+            group, x, y = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1), batch.column(2).to_numpy()
+            for g in np.unique(group).tolist():
+                part = of(g, x[group == g], y[group == g])
+                total[g] = total[g] + part if g in total else part
+        yield _packed(total)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for g, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(raw)
+                total[g] = total[g] + part if g in total else part
+        yield _packed(total)
 
-    # as many numbers a group as a model has: columns by columns
-    table = rows.mapInArrow(scan, "g bigint, i bigint, v double").groupBy("g", "i").agg(F.sum("v").alias("v")).toArrow().sort_by([("g", "ascending"), ("i", "ascending")])
-    g, v = table["g"].to_numpy(), table["v"].to_numpy()
-    return {int(k): v[g == k] for k in np.unique(g)}
+    kind = "g bigint, v binary"
+    table = rows.mapInArrow(scan, kind).repartition("g").mapInArrow(merge, kind).toArrow()  # a row a group
+    return {g: np.frombuffer(v) for g, v in zip(table["g"].to_pylist(), table["v"].to_pylist(), strict=True)}
 
 
-def fit_logistics(rows: DataFrame, group: str, columns: list[str], c: float = 1.0, rounds: int = 25) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(means, deviations, weights) of an L2-regularised logistic model of standardised columns for each value of ``group``.
+def _packed(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["g", "v"])
+
+
+def fit_logistics(rows: DataFrame, group: str, columns: list[str] | Column, c: float = 1.0, rounds: int = 25) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(means, deviations, weights) of an L2-regularised logistic model of standardised columns (or of an array column)
+    for each value of ``group``.
 
     Newton's method: each round is one job, in which every task sums its rows' gradient and curvature for all groups;
-    only those sums, columns by columns, reach the driver.  Groups without both targets have no model.
+    only those sums, columns by columns, reach the driver.  Groups without both targets have no model, rows without
+    all values count in none.
     """
     ship_package(rows.sparkSession)
-    p = len(columns)
-    slim = rows.select(F.col(group).cast("bigint").alias("g"), F.array(*[F.col(x).cast("double") for x in columns]).alias("x"), F.col("target").cast("double").alias("y"))
-    slim = Stored(rows.sparkSession).put(slim.filter(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)) & F.col("y").isNotNull()), "rows")
+    stored = Stored(rows.sparkSession)
+    slim = rows.select(F.col(group).cast("bigint").alias("g"), _vector(columns).alias("x"), F.col("target").cast("double").alias("y"))
+    slim = stored.put(slim.filter(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)) & F.col("y").isNotNull()), "rows")
     first = _sums(slim, lambda g, x, y: np.concatenate([[len(x), y.sum()], x.sum(0), (x * x).sum(0)]))
     state: dict[int, list[np.ndarray]] = {}
     for g, v in first.items():
-        n, up = v[0], v[1]
+        n, up, p = v[0], v[1], len(v) // 2 - 1
         if 0 < up < n:
             mean = v[2 : 2 + p] / n
             sd = np.sqrt(np.maximum(v[2 + p :] / n - mean**2, 0.0))
             state[g] = [mean, np.where(sd < 1e-12 * np.maximum(1.0, np.abs(mean)), 1.0, sd), np.zeros(p + 1)]
-    penalty = np.append(np.full(p, 1.0 / c), 1e-9)
     live = set(state)
     for _ in range(rounds):
         if not live:
@@ -143,7 +156,7 @@ def fit_logistics(rows: DataFrame, group: str, columns: list[str], c: float = 1.
 
         def slopes(g: int, x: np.ndarray, y: np.ndarray, now=now) -> np.ndarray:
             if g not in now:
-                return np.zeros((p + 1) * (p + 2))
+                return np.zeros(0)
             mean, sd, w = now[g]
             z = np.column_stack([(x - mean) / sd, np.ones(len(x))])
             q = 1.0 / (1.0 + np.exp(-np.clip(z @ w, -30, 30)))
@@ -151,22 +164,35 @@ def fit_logistics(rows: DataFrame, group: str, columns: list[str], c: float = 1.
 
         for g, v in _sums(slim, slopes).items():
             if g in now:
-                step = np.linalg.solve(v[: (p + 1) ** 2].reshape(p + 1, p + 1) + np.diag(penalty), v[(p + 1) ** 2 :] + penalty * state[g][2])
-                state[g][2] = state[g][2] - step
+                w = state[g][2]
+                penalty = np.append(np.full(len(w) - 1, 1.0 / c), 1e-9)
+                step = np.linalg.solve(v[: len(w) ** 2].reshape(len(w), -1) + np.diag(penalty), v[len(w) ** 2 :] + penalty * w)
+                state[g][2] = w - step
                 if np.abs(step).max() < 1e-9:
                     live.discard(g)
+    stored.drop(slim)
     return {g: tuple(s) for g, s in state.items()}
 
 
-def score_logistics(rows: DataFrame, group: str, columns: list[str], models: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """The rows of groups that have a model, with its p_up: a few products of columns with constants."""
-    p_up = F.lit(None).cast("double")
-    for g, (mean, sd, w) in sorted(models.items()):
-        margin = F.lit(float(w[-1] - (w[:-1] * mean / sd).sum()))
-        for c, a in zip(columns, w[:-1] / sd, strict=True):
-            margin = margin + F.col(c) * float(a)
-        p_up = F.when(F.col(group) == g, 1.0 / (1.0 + F.exp(-margin))).otherwise(p_up)
-    return rows.filter(F.col(group).isin(sorted(models))).withColumn("p_up", p_up)
+def score_logistics(rows: DataFrame, group: str, columns: list[str] | Column, models: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """The rows of groups that have a model, with its p_up (null where a value is missing)."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)  # columns by groups
+    kept = rows.filter(F.col(group).isin(sorted(models)))
+    # NaN for what is missing, so that every array has its length
+    x = F.transform(_vector(columns), lambda v: F.coalesce(v, F.lit(float("nan"))))
+    schema = StructType([*kept.schema.fields, StructField("p_up", DoubleType())])
+    last = len(kept.columns)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, x = batch.column(last).to_numpy(), batch.column(last + 1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            p = np.full(batch.num_rows, np.nan)
+            for k in np.unique(g).tolist():
+                mean, sd, w = shared.value[k]
+                p[g == k] = 1.0 / (1.0 + np.exp(-np.clip((x[g == k] - mean) / sd @ w[:-1] + w[-1], -700, 700)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(p, mask=np.isnan(p))], schema.names)
+
+    return kept.withColumns({"_group": F.col(group).cast("bigint"), "_x": x}).mapInArrow(scan, schema)
 
 
 def permute(df: DataFrame, columns: list[str], seed: int) -> DataFrame:
@@ -201,37 +227,35 @@ def grid(predictions: DataFrame, thresholds: list[float], filters: list[str]) ->
     return direction_accuracy(rows.withColumn("signal", signal), ["threshold", "vol_filter"])
 
 
-def ablate_images(df: DataFrame, columns: list[str], k: int = 5, horizon: int = 1, embargo: int = 0, kind: str = "logistic", c: float = 0.5) -> DataFrame:
+def ablate_images(df: DataFrame, columns: list[str], k: int = 5, horizon: int = 1, embargo: int = 0, c: float = 0.5) -> DataFrame:
     """Predictions (condition, fold, ...) by columns, persistence images and both, from rows with diagrams h0 and h1.
 
     The images' bounds come from each fold's purged train rows.  ``base_shuffled`` permutes the images
     among the train rows; ``h0_only`` and ``h1_only`` see the images of one dimension.
     """
-    rows = fold_rows(df, k, horizon, embargo).cache()
+    stored = Stored(df.sparkSession)
+    rows = stored.put(fold_rows(df, k, horizon, embargo), "folds")
     size = RESOLUTION * RESOLUTION
-    images = ["image_h0", "image_h1"]
-    conditions = {"base": columns, "images": images, "base_images": [*columns, *images], "base_shuffled": [*columns, *images], "h0_only": images[:1], "h1_only": images[1:]}
-    parts = []
+    seen = []
     for fold in range(k):
         mine = rows.filter(F.col("fold") == fold)
-        facts = mine.filter("role = 'train'").agg(F.count_distinct("target").alias("k")).first()
-        if facts["k"] < 2:
-            continue
         bounds = image_bounds(mine.filter("role = 'train'")).first()  # two numbers
-        seen = persistence_images(mine, (bounds["h0_top"], bounds["h1_top"]), ["fold", "role", *KEPT, *columns])
-        halves = [array_to_vector(F.slice("image", 1 + size * i, size)).alias(name) for i, name in enumerate(images)]
-        seen = seen.select("fold", "role", *KEPT, *columns, *halves).cache()
-        train, test = seen.filter("role = 'train'"), seen.filter("role = 'test'")
-        for name, used in conditions.items():
-            rows_of = permute(train, images, fold) if name == "base_shuffled" else train
-            model = fit(rows_of.select(*used, "target"), used, kind, c)
-            parts.append(predict(model, test).select(F.lit(name).alias("condition"), "fold", *KEPT, "p_up"))
+        if bounds["h0_top"] is None:
+            continue
+        images = persistence_images(mine, (bounds["h0_top"], bounds["h1_top"]), ["fold", "role", *KEPT, *columns])
+        seen.append(images.select("fold", "role", *KEPT, F.array(*columns).alias("base"), F.slice("image", 1, size).alias("image_h0"), F.slice("image", 1 + size, size).alias("image_h1")))
+    seen = stored.put(reduce(DataFrame.unionByName, seen), "images")
+    train, test = seen.filter("role = 'train'"), seen.filter("role = 'test'")
+    shuffled = stored.put(reduce(DataFrame.unionByName, [permute(train.filter(F.col("fold") == f), ["image_h0", "image_h1"], f) for f in range(k)]), "shuffled")
+    parts = []
+    for name, used in {"base": ["base"], "images": ["image_h0", "image_h1"], "base_images": ["base", "image_h0", "image_h1"], "base_shuffled": ["base", "image_h0", "image_h1"], "h0_only": ["image_h0"], "h1_only": ["image_h1"]}.items():
+        x = F.concat(*used)
+        models = fit_logistics(shuffled if name == "base_shuffled" else train, "fold", x, c)
+        if models:
+            parts.append(score_logistics(test, "fold", x, models).select(F.lit(name).alias("condition"), "fold", *KEPT, "p_up"))
     if not parts:
         raise ValueError("no fold has train rows of both targets")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def leave_one_out(df: DataFrame, columns: list[str], kind: str = "logistic") -> DataFrame:
@@ -400,7 +424,8 @@ def importance(df: DataFrame, groups: dict[str, list[str]], rounds: int = 5, sha
     columns = [c for cols in groups.values() for c in cols]
     rows = temporal_split(df, share, horizon)
     model = fit(rows.filter("split = 'train'").select(*columns, "target"), columns, "logistic")
-    test = rows.filter("split = 'holdout'").select("symbol", "ts", "target", *columns).cache()
+    test = rows.filter("split = 'holdout'").select("symbol", "ts", "target", *columns)
+    test = Stored(df.sparkSession).put(test, "holdout")
     right = lambda d: F.avg((F.col("prediction") == F.col("target")).cast("double"))
     parts = [model.transform(test).agg(F.lit("").alias("feature"), right(test).alias("a"))]
     for i, c in enumerate(columns):
@@ -427,7 +452,7 @@ def ensemble(df: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("logis
         name = f"p_{kind}_{i}"
         scored = predict(model, scored).withColumnRenamed("p_up", name).drop("_assembled", "_scaled", "rawPrediction", "probability", "prediction")
         names.append(name)
-    scored = scored.cache()
+    scored = Stored(df.sparkSession).put(scored, "scored")
     val, test = scored.filter("split = 'val'").select(*names, "target"), scored.filter("split = 'test'")
     if val.agg(F.count_distinct("target")).first()[0] == 2:
         out = predict(fit(val, names, "logistic"), test)
@@ -443,7 +468,8 @@ def regime_adaptive(df: DataFrame, columns: list[str], least: int = 30, share: f
     """
     rows = temporal_split(df, share, horizon)
     cuts = rows.filter("split = 'train'").agg(F.percentile("rv_20", F.lit(0.33)).alias("lo"), F.percentile("rv_20", F.lit(0.66)).alias("hi"))
-    rows = rows.crossJoin(F.broadcast(cuts)).withColumn("regime", F.when(F.col("rv_20") < F.col("lo"), 0).when(F.col("rv_20") >= F.col("hi"), 2).otherwise(1)).drop("lo", "hi").cache()
+    rows = rows.crossJoin(F.broadcast(cuts)).withColumn("regime", F.when(F.col("rv_20") < F.col("lo"), 0).when(F.col("rv_20") >= F.col("hi"), 2).otherwise(1)).drop("lo", "hi")
+    rows = Stored(df.sparkSession).put(rows, "regimes")
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'holdout'")
     whole = fit(train.select(*columns, "target"), columns, "logistic")
     parts = []
