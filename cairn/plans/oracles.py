@@ -427,6 +427,7 @@ ORACLES |= {
     "stream_sessions": """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS "end", count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
 FROM (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTES >= ts THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""",
     "stream_averages": _bars(f"SELECT symbol, ts, round(close, 6) + 0.0 AS close, CAST(least(20, row_number() {_W}) AS INTEGER) AS n_held, round({_roll('close', 20, 'avg', 1)}, 6) + 0.0 AS average FROM bars"),
+    "volume_attach": _bars("SELECT b.symbol, b.ts, round(close, 6) + 0.0 AS close, v.volume FROM bars b ASOF LEFT JOIN (SELECT event_type AS symbol, CAST(time_bucket(INTERVAL 6 HOURS, ts) AS TIMESTAMP) AS ts, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2) v ON b.symbol = v.symbol AND b.ts >= v.ts"),
     "regime_labels": _feat(f"SELECT symbol, ts, CAST(CASE WHEN rv_20 < lo THEN 0 WHEN rv_20 >= hi THEN 2 ELSE 1 END AS INTEGER) AS regime FROM feat, (SELECT quantile_cont(rv_20, 0.33) AS lo, quantile_cont(rv_20, 0.66) AS hi FROM (SELECT *, row_number() {_W} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM feat) WHERE i < floor(n * 0.8::DOUBLE))"),
     "pool_union": _bars("SELECT symbol, count(*) AS n, round(avg(close), 6) + 0.0 AS avg_close FROM bars GROUP BY symbol"),
 }

@@ -844,6 +844,13 @@ def stream_averages(s, d):
 # columns, files
 
 
+@query
+def volume_attach(s, d):
+    """Hourly bars whose volume is that of the latest six-hour bar, from a second scan."""
+    hourly = _bars(s, d).select("symbol", "ts", "close")
+    return tb.with_volume(hourly, _bars(s, d, "6h"))
+
+
 @query
 def prefix_selection(s, d):
     f = ft.base_features(_bars(s, d))

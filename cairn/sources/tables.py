@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,3 +106,29 @@ def block_facts(blocks: DataFrame, unit: float = 1e9) -> DataFrame:
 def with_volume(ohlc: DataFrame, volumes: DataFrame, by: str = "symbol") -> DataFrame:
     """Bars of a source without volume, each with the latest volume of another one up to its time."""
     return asof_backward(ohlc, volumes.select(by, "ts", "volume"), by, "ts", "volume", "volume")
+
+
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, idx, shape, values) of the .npy and .npz files below a folder: a row for each entry of the first axis.
+
+    ``name`` is the array's name within an .npz file, else empty; ``values`` are the entry's numbers, laid end to end.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path_, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                loaded = np.load(io.BytesIO(raw), allow_pickle=False)
+                for name, array in loaded.items() if hasattr(loaded, "items") else [("", loaded)]:
+                    array = np.atleast_1d(np.asarray(array, dtype=np.float64))
+                    flat = array.reshape(len(array), int(np.prod(array.shape[1:])))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+                    shape = pa.array([list(array.shape[1:])] * len(flat), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([path_.rsplit("/", 1)[-1]] * len(flat)), pa.array([name] * len(flat)), pa.array(np.arange(len(flat))), shape, lists], ["file", "name", "idx", "shape", "values"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.np[yz]").load(path).select("path", "content")
+    return files.mapInArrow(rows, "file string, name string, idx bigint, shape array<bigint>, values array<double>")
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A small result as one JSON file of a line a row."""
+    rows.coalesce(1).write.mode("overwrite").json(path)

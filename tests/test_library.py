@@ -349,3 +349,19 @@ def test_dbscan_clusters():
 def test_column_selection(spark):
     df = spark.createDataFrame([(1, "x", 2.0, 3)], "vol_a int, name string, vol_b double, id bigint")
     assert with_prefix(df, "vol_") == ["vol_a", "vol_b"] and numeric(df, without=("id",)) == ["vol_a", "vol_b"]
+
+
+def test_arrays_and_reports(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.arange(12.0).reshape(2, 3, 2))
+    np.savez(tmp_path / "b.npz", x=np.arange(3), y=np.zeros((0, 4)))
+    got = {(r.file, r.name, r.idx): (r.shape, r["values"]) for r in tb.read_arrays(spark, str(tmp_path)).collect()}
+    assert got[("a.npy", "", 1)] == ([3, 2], [6.0, 7.0, 8.0, 9.0, 10.0, 11.0])
+    assert sorted(k for k in got if k[0] == "b.npz") == [("b.npz", "x", i) for i in range(3)] and got[("b.npz", "x", 2)] == ([], [2.0])
+    tb.write_report(spark.range(2), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 2
+
+
+def test_a_target_needs_its_horizon(spark):
+    """The last rows have no target; a rule that labels them all down would count them."""
+    rows = ft.add_targets(spark.createDataFrame(series(), SCHEMA), 24)
+    assert rows.count() == 120 - 24 and rows.filter("future_price is null").count() == 0
