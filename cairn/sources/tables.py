@@ -123,7 +123,8 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
                     flat = array.reshape(len(array), int(np.prod(array.shape[1:])))
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
                     shape = pa.array([list(array.shape[1:])] * len(flat), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([path_.rsplit("/", 1)[-1]] * len(flat)), pa.array([name] * len(flat)), pa.array(np.arange(len(flat))), shape, lists], ["file", "name", "idx", "shape", "values"])
+                    text = lambda value, n=len(flat): pa.array([value] * n, pa.string())
+                    yield pa.RecordBatch.from_arrays([text(path_.rsplit("/", 1)[-1]), text(name), pa.array(np.arange(len(flat))), shape, lists], ["file", "name", "idx", "shape", "values"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.np[yz]").load(path).select("path", "content")
     return files.mapInArrow(rows, "file string, name string, idx bigint, shape array<bigint>, values array<double>")
