@@ -236,6 +236,31 @@ def test_quality(spark):
     assert quality.keep_good(df, model).columns == df.columns
 
 
+def test_quality_model_matches_plain_solvers():
+    rng = np.random.default_rng(18)
+    labels = (rng.random(120) < 0.4).astype(int)
+    lists = [np.unique(rng.choice(30, 9, p=np.linspace(1 + 2 * y, 3 - 2 * y * 0.9, 30) / np.linspace(1 + 2 * y, 3 - 2 * y * 0.9, 30).sum())) for y in labels]
+    rows = quality.Rows(np.concatenate(lists), np.array([len(x) for x in lists]))
+    scale = quality.log_count_ratios(rows, labels)
+    for place in range(30):
+        share = [(sum(place in x for x, y in zip(lists, labels) if y == k) + 1) / ((labels == k).sum() + 2) for k in (1, 0)]
+        assert abs(scale[place] - np.log(share[0] / share[1])) < 1e-12
+    w, bias = quality.dual_coordinate_descent(rows, labels, scale, rounds=400)
+    x = np.zeros((120, 31))
+    for i, places in enumerate(lists):
+        x[i, places] = scale[places] / np.sqrt((scale[places] ** 2).sum())
+    x[:, 30], y = 1.0, 2.0 * labels - 1  # the bias is a column of ones
+    cost = np.where(y > 0, 60.0 / labels.sum(), 60.0 / (1 - labels).sum())
+    objective = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    plain, best = np.zeros(31), np.inf
+    for t in range(20000):  # subgradients
+        inside = y * (x @ plain) < 1
+        plain = plain - (plain - ((cost * y)[inside, None] * x[inside]).sum(0)) / (t + 100)
+        best = min(best, objective(plain))
+    found = np.append(w[:30], bias)
+    assert objective(found) <= best + 1e-3 and abs(objective(found) - best) < 0.02 * best and not w[30:].any()
+
+
 def brute_components(texts, num=90, den=100, k=3):
     sets = []
     for t in texts:
