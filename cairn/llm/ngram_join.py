@@ -27,7 +27,7 @@ hold something, at least one is equal in both.  Hence:
    separately and summed per pair.  Links make components.
 5. Groups with several components are compared inside a task, which returns spanning
    forests of the pairs of different components that may link, nearest first; these
-   are counted, and groups with further pairs are compared again, each time with four
+   are counted, and groups with further pairs are compared again, each time with sixteen
    times the forests, until nothing is left.  So in the end every pair of different
    components that share a fragment has been ruled out, by map or by count, and never
    are all pairs returned.  Groups above ``BLOCK`` classes are cut into blocks that
@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 from ..session import Stored, ship_package
 from . import kernels as K
 from .components import components
-from .runtime import as_longs, bit_filter, fresh, list_array, may_hold
+from .runtime import as_longs, bit_filter, fresh, may_hold, split_by_filter
 
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 90, 100
@@ -617,7 +617,7 @@ def similar_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
             break
         open_ = stored.put(mixed.select("key", "cls", "n").join(left, "key", "left_semi"), "open")
         stored.drop(tally, mixed, near)
-        forests *= 4
+        forests *= 16
 
     least = classes.join(roots, "cls").groupBy("root").agg(F.min("first_id").alias("least"))
     named = classes.join(roots.join(least, "root").select("cls", "least"), "cls", "left").select("cls", F.coalesce("least", "first_id").alias("component_id"))
@@ -637,18 +637,24 @@ def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     name, digest = fresh(docs, "document"), fresh(docs, "text_digest")
     # null ids come after all others
     document = F.struct(F.col(doc_id).isNull().alias("anonymous"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("digest"))
-    found = similar_components(docs.select(document.alias(name), F.col(text)), doc_id=name, text=text, **options)
+    spark = docs.sparkSession
+    stored = Stored(spark)
+    found = stored.put(similar_components(docs.select(document.alias(name), F.col(text)), doc_id=name, text=text, **options), "found")
     id_and_digest = [F.col("doc_id.id").alias(name), F.col("doc_id.digest").alias(digest)]
-    lost = found.filter("n_shingles > 0 and doc_id <> component_id").select(*id_and_digest).distinct()
+    out = found.filter("n_shingles > 0 and doc_id <> component_id").select(*id_and_digest).distinct()
+    repeated = None
+    if single_rows:
+        repeated = found.filter("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
+        repeated = stored.put(repeated.select(*id_and_digest), "repeated-rows")
+        out = out.union(repeated)
+    out = stored.put(out, "out")
+    # only rows of which the filter holds the text are shuffled
     same = F.col(doc_id).eqNullSafe(F.col(name)) & (F.xxhash64(F.col(text).cast("string")) == F.col(digest))
-    if not single_rows:
-        return docs.join(lost, same, "left_anti")
-    stored = Stored(docs.sparkSession)
-    repeated = found.filter("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
-    repeated = stored.put(repeated.select(*id_and_digest), "repeated-rows")
-    if repeated.isEmpty():
-        return docs.join(lost, same, "left_anti")
+    maybe, rest = split_by_filter(docs, F.xxhash64(F.col(text).cast("string")), bit_filter(out, digest))
+    kept = rest.unionByName(maybe.join(out, same, "left_anti"))
+    if repeated is None or repeated.isEmpty():
+        return kept
     # the minimum is taken before the shuffle, so a row that is there very often is one row a task
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = docs.join(repeated, same, "left_semi").groupBy(F.col(doc_id).alias(name), F.xxhash64(F.col(text).cast("string")).alias(digest)).agg(F.min(row).alias("row")).select("row.*")
-    return docs.join(lost.union(repeated), same, "left_anti").unionByName(one)
+    one = maybe.join(repeated, same, "left_semi").groupBy(F.col(doc_id).alias(name), F.xxhash64(F.col(text).cast("string")).alias(digest)).agg(F.min(row).alias("row")).select("row.*")
+    return kept.unionByName(one)

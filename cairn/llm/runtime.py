@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U64, xxhash64_longs
@@ -35,6 +35,21 @@ def bit_filter(df: DataFrame, column: str) -> np.ndarray:
     return words.view(U64)
 
 
+def split_by_filter(df: DataFrame, key: Column, words: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key ``bit_filter`` may have seen, all others), told apart where the rows are read, without Python.
+
+    The filter is one row that is broadcast; a join's condition looks it up and nothing of it is copied to the rows.
+    """
+    bits = fresh(df, "filter_words")
+    one = F.broadcast(df.sparkSession.createDataFrame(pa.table({bits: list_array(as_longs(words), np.array([len(words)]))})))
+    held = F.lit(True)
+    for s in _SHIFTS:
+        at = F.shiftrightunsigned(F.xxhash64(key), s).bitwiseAND(F.lit(_MASK).cast("bigint"))
+        word = F.element_at(F.col(bits), (F.shiftright(at, 6) + 1).cast("int"))
+        held &= F.call_function("shiftrightunsigned", word, at.bitwiseAND(F.lit(63).cast("bigint")).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    return df.join(one, held, "left_semi"), df.join(one, held, "left_anti")
+
+
 def may_hold(words: np.ndarray, values: np.ndarray) -> np.ndarray:
     """For each value of a bigint array, whether ``bit_filter`` may have seen it."""
     h = xxhash64_longs(values)

@@ -323,7 +323,9 @@ def test_ngram_join_of_large_groups_in_small_pieces(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == brute_components(texts, **brute)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 20, 1 << 20])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(i, j) for i in range(3) for j in range(3)] + [(None, 5), (6, None), (9, 9)]
     got = components.components(spark.createDataFrame(links, "a bigint, b bigint"), Stored(spark))
     expected = {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(200, 260)]} | {i: 0 for i in range(3)}
