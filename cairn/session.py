@@ -63,12 +63,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Stored:
-    """Tables written to the shared folder to cut lineage; ``drop`` deletes one that is no longer read."""
+    """Tables written to the shared folder to cut lineage.
+
+    ``drop`` deletes those that are no longer read, ``keep`` all but those that still are.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}"
         self._n = 0
+        self._there: set[str] = set()
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
@@ -76,11 +80,19 @@ class Stored:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._cairn_path = path
+        self._there.add(path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            delete_path(self.spark, df._cairn_path)
+        self._delete({df._cairn_path for df in frames} & self._there)
+
+    def keep(self, *frames: DataFrame) -> None:
+        self._delete(self._there - {df._cairn_path for df in frames})
+
+    def _delete(self, paths: set[str]) -> None:
+        for path in paths:
+            delete_path(self.spark, path)
+        self._there -= paths
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
