@@ -569,11 +569,14 @@ def _same_groups(posts: DataFrame) -> DataFrame:
     return groups.groupBy("rows", "hub", "one", "two").agg(F.min("key").alias("key")).select("key", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"))
 
 
-def similar_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, seed: int = 0) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; two rows link at numerator/denominator and above."""
+def similar_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, seed: int = 0, stored: Stored | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; two rows link at numerator/denominator and above.
+
+    The result reads two tables of ``stored``; a caller that has written it may drop them.
+    """
     spark = docs.sparkSession
     ship_package(spark)
-    stored = Stored(spark)
+    stored = stored or Stored(spark)
     scheme = Scheme(shingle, numerator, denominator, seed)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = stored.put(_class_table(slim, scheme), "found")
@@ -582,7 +585,7 @@ def similar_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     classes = stored.put(classes, "classes")
     if not classes.filter("b <> b2").isEmpty():  # two sets of one digest: hash anew
         stored.drop(found, classes)
-        return similar_components(docs, doc_id=doc_id, text=text, shingle=shingle, numerator=numerator, denominator=denominator, seed=seed + 1)
+        return similar_components(docs, doc_id=doc_id, text=text, shingle=shingle, numerator=numerator, denominator=denominator, seed=seed + 1, stored=stored)
     sizes = classes.select("cls", "n")
 
     every = stored.put(_posts(slim, classes, scheme), "every-post")
@@ -622,7 +625,7 @@ def similar_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     least = classes.join(roots, "cls").groupBy("root").agg(F.min("first_id").alias("least"))
     named = classes.join(roots.join(least, "root").select("cls", "least"), "cls", "left").select("cls", F.coalesce("least", "first_id").alias("component_id"))
     named = stored.put(named, "components")
-    stored.drop(posts, maps, classes)
+    stored.keep(found, named)
     out = ids.join(named, "cls", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -639,7 +642,7 @@ def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     document = F.struct(F.col(doc_id).isNull().alias("anonymous"), F.col(doc_id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("digest"))
     spark = docs.sparkSession
     stored = Stored(spark)
-    found = stored.put(similar_components(docs.select(document.alias(name), F.col(text)), doc_id=name, text=text, **options), "found")
+    found = stored.put(similar_components(docs.select(document.alias(name), F.col(text)), doc_id=name, text=text, stored=stored, **options), "found")
     id_and_digest = [F.col("doc_id.id").alias(name), F.col("doc_id.digest").alias(digest)]
     out = found.filter("n_shingles > 0 and doc_id <> component_id").select(*id_and_digest).distinct()
     repeated = None
@@ -650,6 +653,7 @@ def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     out = stored.put(out, "out")
     # only rows of which the filter holds the text are shuffled
     same = F.col(doc_id).eqNullSafe(F.col(name)) & (F.xxhash64(F.col(text).cast("string")) == F.col(digest))
+    stored.keep(*[t for t in (out, repeated) if t is not None])
     maybe, rest = split_by_filter(docs, F.xxhash64(F.col(text).cast("string")), bit_filter(out, digest))
     kept = rest.unionByName(maybe.join(out, same, "left_anti"))
     if repeated is None or repeated.isEmpty():
