@@ -253,7 +253,10 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     stored.drop(rows)
     lists = table["places"].combine_chunks()
     found = Rows(lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-    return fit(found, table["y"].to_numpy(), (sizes.get(0, 0), sizes.get(1, 0)))
+    model = fit(found, table["y"].to_numpy().copy(), (sizes.get(0, 0), sizes.get(1, 0)))
+    del found, lists, table
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

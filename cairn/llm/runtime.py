@@ -32,6 +32,8 @@ def bit_filter(df: DataFrame, column: str) -> np.ndarray:
     )
     words = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
     words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    del rows
+    pa.default_memory_pool().release_unused()  # the driver makes many filters
     return words.view(U64)
 
 
