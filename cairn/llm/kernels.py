@@ -87,6 +87,7 @@ def chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int
         hi = min(max(hi, lo + 1), n)
         yield lo, hi, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
+    pa.default_memory_pool().release_unused()  # else a worker keeps the most that any batch took
 
 
 class Words:
