@@ -303,6 +303,10 @@ def load_model(path: str):
 def holdout(df: DataFrame, columns: list[str], kind: str = "logistic", share: float = 0.8, horizon: int = 0) -> DataFrame:
     """Predictions of the last rows; train rows whose horizon reaches into them are left out."""
     rows = temporal_split(df, share, horizon)
+    if kind == "logistic":
+        rows = Stored(df.sparkSession).put(rows.withColumn("fold", F.lit(0)), "split")
+        models = fit_logistics(rows.filter("split = 'train'"), "fold", columns)
+        return score_logistics(rows.filter("split = 'holdout'"), "fold", columns, models).select("fold", *KEPT, "p_up")
     model = fit(rows.filter("split = 'train'").select(*columns, "target"), columns, kind)
     return predict(model, rows.filter("split = 'holdout'")).select(F.lit(0).alias("fold"), *KEPT, "p_up")
 
@@ -471,14 +475,12 @@ def regime_adaptive(df: DataFrame, columns: list[str], least: int = 30, share: f
     rows = rows.crossJoin(F.broadcast(cuts)).withColumn("regime", F.when(F.col("rv_20") < F.col("lo"), 0).when(F.col("rv_20") >= F.col("hi"), 2).otherwise(1)).drop("lo", "hi")
     rows = Stored(df.sparkSession).put(rows, "regimes")
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'holdout'")
-    whole = fit(train.select(*columns, "target"), columns, "logistic")
-    parts = []
-    for regime in range(3):
-        mine = train.filter(F.col("regime") == regime)
-        facts = mine.agg(F.count("*").alias("n"), F.count_distinct("target").alias("k")).first()
-        model = fit(mine.select(*columns, "target"), columns, "logistic") if facts["n"] >= least and facts["k"] == 2 else whole
-        parts.append(predict(model, test.filter(F.col("regime") == regime)).select("regime", *KEPT, "p_up"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    sizes = {r["regime"]: r["n"] for r in train.groupBy("regime").agg(F.count("*").alias("n")).collect()}  # three rows
+    # the fourth model is that of all rows
+    models = fit_logistics(train.withColumn("_model", F.explode(F.array(F.col("regime"), F.lit(3)))), "_model", columns)
+    own = [g for g in range(3) if g in models and sizes.get(g, 0) >= least]
+    test = test.withColumn("_model", F.when(F.col("regime").isin(own), F.col("regime")).otherwise(3))
+    return score_logistics(test, "_model", columns, models).select("regime", *KEPT, "p_up")
 
 
 def accuracy_by_regime(predictions: DataFrame) -> DataFrame:
