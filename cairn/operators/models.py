@@ -168,7 +168,7 @@ def fit_logistics(rows: DataFrame, group: str, columns: list[str] | Column, c: f
                 penalty = np.append(np.full(len(w) - 1, 1.0 / c), 1e-9)
                 step = np.linalg.solve(v[: len(w) ** 2].reshape(len(w), -1) + np.diag(penalty), v[len(w) ** 2 :] + penalty * w)
                 state[g][2] = w - step
-                if np.abs(step).max() < 1e-9:
+                if np.abs(step).max() < 1e-6:  # the next step would be about its square
                     live.discard(g)
     stored.drop(slim)
     return {g: tuple(s) for g, s in state.items()}
