@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -41,7 +42,7 @@ def ship_package(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(Path(root.name) / p.relative_to(root)))
     spark.sparkContext.addPyFile(archive)
-    shutil.rmtree(folder, ignore_errors=True) if not spark.sparkContext.master.startswith(("local", "spark", "yarn", "k8s")) else None
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors may ask for it as long as the application runs
     _shipped.add(app)
 
 
