@@ -92,7 +92,7 @@ def test_license_places_match_brute_force(spark):
             junk = [f"junk{rng.randrange(9)}" for _ in range(rng.randrange(30, 60))]
             name = rng.choice(sorted(templates))
             words = templates[name].split()
-            for _ in range(rng.randrange(1 + len(words) // 12)):  # edits, within the band
+            for _ in range(rng.randrange(1 + len(words) // 8)):  # edits, within the band
                 i = rng.randrange(len(words))
                 words[i : i + rng.randrange(2)] = rng.choice([[], ["other"], [words[i].upper()]]) if abs(len(words) - len(templates[name].split())) < 6 else ["other"]
             matched, start, end = brute_alignment([w.lower() for w in words], templates[name].split())
