@@ -61,6 +61,7 @@ def _tree(n: int, i: np.ndarray, j: np.ndarray, order: np.ndarray) -> list[int]:
 
 def rips(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Finite (birth, death) pairs of H0 and H1 with positive persistence."""
+    points = np.asarray(points, np.float64)  # of float vectors the pairs would be floats, which the columns of doubles can't hold
     n = len(points)
     empty = np.zeros((0, 2))
     if n < 2:

@@ -214,6 +214,17 @@ def test_ensemble_without_middle_rows_is_the_mean(spark):
     assert len(fitted) == len(out) > 0 and fitted.p_up.between(0, 1).all()
 
 
+def test_diagrams_of_float_vectors(spark):
+    """Where every cloud of a batch has loops, none of the diagrams is an empty one of doubles."""
+    turn = np.linspace(0, 2 * math.pi, 12, endpoint=False)
+    circle = np.column_stack([np.cos(turn), np.sin(turn)]).astype(np.float32)
+    clouds = spark.createDataFrame([(i, circle.tolist()) for i in range(3)], "i int, points array<array<float>>").coalesce(1)
+    rows = hom.diagrams(clouds, ["i"]).collect()
+    h0, h1 = hom.rips(circle.astype(np.float64))
+    for r in rows:
+        assert len(r.h1) == len(h1) == 1 and np.allclose(r.h1, h1, atol=1e-12) and np.allclose(r.h0, h0, atol=1e-12)
+
+
 def test_homology_queries_take_every_window(spark):
     from cairn.plans import queries as q
 
