@@ -50,7 +50,11 @@ def classifier(kind: str, n: int, c: float = 1.0):
 
 
 def fit(train: DataFrame, columns: list[str], kind: str, c: float = 1.0):
-    n = train.count()
+    """The fitted pipeline; None where the rows that have all values don't hold both targets."""
+    train = train.na.drop(subset=[*columns, "target"])
+    n, targets = train.agg(F.count("*"), F.count_distinct("target")).first()
+    if targets < 2:
+        return None
     train = train.coalesce(-(-n * len(columns) // VALUES_PER_TASK) or 1)
     stages = [VectorAssembler(inputCols=columns, outputCol="_assembled", handleInvalid="skip"), StandardScaler(inputCol="_assembled", outputCol="_scaled", withMean=True), classifier(kind, n, c)]
     return Pipeline(stages=stages).fit(train)
@@ -60,10 +64,16 @@ def predict(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("p_up", vector_to_array("probability")[1])
 
 
+def unscored(df: DataFrame) -> DataFrame:
+    """What there is without a model: none of the rows, with the columns of the scored ones."""
+    return df.withColumn("p_up", F.lit(None).cast("double")).filter(F.lit(False))
+
+
 def cross_validate(df: DataFrame, columns: list[str], kind: str = "logistic", k: int = 5, horizon: int = 1, embargo: int = 0, shuffled: list[str] | None = None) -> DataFrame:
     """Predictions of each fold's test rows by a model of the purged train rows of all symbols.
 
     ``shuffled`` columns are permuted among the train rows (a control).  Logistic models of all folds are fitted at once.
+    A fold without train rows of both targets has no predictions.
     """
     rows = fold_rows(df, k, horizon, embargo)
     beside = [c for c in ("rv_20", "trend_strength", "vol_zscore_20") if c in df.columns]
@@ -80,15 +90,15 @@ def cross_validate(df: DataFrame, columns: list[str], kind: str = "logistic", k:
     parts = []
     for fold in range(k):
         train = rows.filter((F.col("fold") == fold) & (F.col("role") == "train"))
-        if train.agg(F.count_distinct("target")).first()[0] < 2:
-            continue
         if shuffled:
             train = permute(train, shuffled, fold)
         model = fit(train.select(*columns, "target"), columns, kind)
+        if model is None:
+            continue
         test = rows.filter((F.col("fold") == fold) & (F.col("role") == "test"))
         parts.append(predict(model, test).select("fold", *KEPT, *beside, "p_up"))
     if not parts:
-        raise ValueError("no fold has train rows of both targets")
+        return unscored(rows).select("fold", *KEPT, *beside, "p_up")
     return reduce(DataFrame.unionByName, parts)
 
 

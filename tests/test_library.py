@@ -225,6 +225,18 @@ def test_diagrams_of_float_vectors(spark):
         assert len(r.h1) == len(h1) == 1 and np.allclose(r.h1, h1, atol=1e-12) and np.allclose(r.h0, h0, atol=1e-12)
 
 
+def few_rows(spark, case):
+    """Rows with targets: none, or rising ones only."""
+    rows = ft.add_targets(spark.createDataFrame(series(160), SCHEMA), 3).withColumn("x", F.col("close"))
+    return Stored(spark).put(rows.filter("false") if case == "none" else rows.withColumn("target", F.lit(1)), case)
+
+
+@pytest.mark.parametrize("case", ["none", "rising"])
+def test_cv_gbm_without_both_targets_predicts_nothing(spark, case):
+    out = ml.evaluate(ml.cross_validate(few_rows(spark, case), ["x"], "gbm", 2, 3))
+    assert out.columns == ["fold", "symbol", "n_signals", "n_correct", "direction_accuracy", "auc"] and out.count() == 0
+
+
 def test_homology_queries_take_every_window(spark):
     from cairn.plans import queries as q
 
