@@ -242,10 +242,12 @@ def ablate_images(df: DataFrame, columns: list[str], k: int = 5, horizon: int =
 
     The images' bounds come from each fold's purged train rows.  ``base_shuffled`` permutes the images
     among the train rows; ``h0_only`` and ``h1_only`` see the images of one dimension.
+    A fold without train rows of both targets has no predictions.
     """
     stored = Stored(df.sparkSession)
     rows = stored.put(fold_rows(df, k, horizon, embargo), "folds")
     size = RESOLUTION * RESOLUTION
+    nothing = unscored(rows).select(F.lit("").alias("condition"), "fold", *KEPT, "p_up")
     seen = []
     for fold in range(k):
         mine = rows.filter(F.col("fold") == fold)
@@ -254,6 +256,8 @@ def ablate_images(df: DataFrame, columns: list[str], k: int = 5, horizon: int =
             continue
         images = persistence_images(mine, (bounds["h0_top"], bounds["h1_top"]), ["fold", "role", *KEPT, *columns])
         seen.append(images.select("fold", "role", *KEPT, F.array(*columns).alias("base"), F.slice("image", 1, size).alias("image_h0"), F.slice("image", 1 + size, size).alias("image_h1")))
+    if not seen:
+        return nothing
     seen = stored.put(reduce(DataFrame.unionByName, seen), "images")
     train, test = seen.filter("role = 'train'"), seen.filter("role = 'test'")
     shuffled = stored.put(reduce(DataFrame.unionByName, [permute(train.filter(F.col("fold") == f), ["image_h0", "image_h1"], f) for f in range(k)]), "shuffled")
@@ -263,9 +267,7 @@ def ablate_images(df: DataFrame, columns: list[str], k: int = 5, horizon: int =
         models = fit_logistics(shuffled if name == "base_shuffled" else train, "fold", x, c)
         if models:
             parts.append(score_logistics(test, "fold", x, models).select(F.lit(name).alias("condition"), "fold", *KEPT, "p_up"))
-    if not parts:
-        raise ValueError("no fold has train rows of both targets")
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else nothing
 
 
 def leave_one_out(df: DataFrame, columns: list[str], kind: str = "logistic") -> DataFrame:

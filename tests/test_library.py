@@ -237,6 +237,13 @@ def test_cv_gbm_without_both_targets_predicts_nothing(spark, case):
     assert out.columns == ["fold", "symbol", "n_signals", "n_correct", "direction_accuracy", "auc"] and out.count() == 0
 
 
+@pytest.mark.parametrize("case", ["none", "rising"])
+def test_images_without_both_targets_predict_nothing(spark, case):
+    pair = F.array(F.struct(F.lit(0.0).alias("birth"), F.col("close").alias("death")))
+    out = ml.evaluate(ml.ablate_images(few_rows(spark, case).withColumns({"h0": pair, "h1": pair}), ["x"], 2, 3), by=("condition", "fold", "symbol"))
+    assert out.columns[:3] == ["condition", "fold", "symbol"] and out.count() == 0
+
+
 def test_homology_queries_take_every_window(spark):
     from cairn.plans import queries as q
 
