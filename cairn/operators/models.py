@@ -294,11 +294,14 @@ def ablate_columns(df: DataFrame, groups: dict[str, list[str]], k: int = 5, hori
 
 
 def base_importances(df: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("rf", "gbm"), share: float = 0.8, horizon: int = 0) -> DataFrame:
-    """(kind, feature, importance): what the trees fitted to the first rows use, the largest first for each kind."""
+    """(kind, feature, importance): what the trees fitted to the first rows use; none if these don't hold both targets."""
     train = temporal_split(df, share, horizon).filter("split = 'train'").select(*columns, "target")
     rows = []
     for kind in kinds:
-        given = fit(train, columns, kind).stages[-1].featureImportances.toArray()
+        model = fit(train, columns, kind)
+        if model is None:
+            continue
+        given = model.stages[-1].featureImportances.toArray()
         rows += [(kind, c, float(v)) for c, v in zip(columns, given, strict=True)]
     return df.sparkSession.createDataFrame(rows, "kind string, feature string, importance double")
 

@@ -244,6 +244,12 @@ def test_images_without_both_targets_predict_nothing(spark, case):
     assert out.columns[:3] == ["condition", "fold", "symbol"] and out.count() == 0
 
 
+@pytest.mark.parametrize("case", ["none", "rising"])
+def test_importances_without_both_targets_are_none(spark, case):
+    out = ml.base_importances(few_rows(spark, case), ["x"], ("rf",))
+    assert out.columns == ["kind", "feature", "importance"] and out.count() == 0
+
+
 def test_homology_queries_take_every_window(spark):
     from cairn.plans import queries as q
 
