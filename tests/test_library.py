@@ -232,8 +232,9 @@ def few_rows(spark, case):
 
 
 @pytest.mark.parametrize("case", ["none", "rising"])
-def test_cv_gbm_without_both_targets_predicts_nothing(spark, case):
-    out = ml.evaluate(ml.cross_validate(few_rows(spark, case), ["x"], "gbm", 2, 3))
+@pytest.mark.parametrize("kind", ["gbm", "rf"])
+def test_cv_without_both_targets_predicts_nothing(spark, kind, case):
+    out = ml.evaluate(ml.cross_validate(few_rows(spark, case), ["x"], kind, 2, 3))
     assert out.columns == ["fold", "symbol", "n_signals", "n_correct", "direction_accuracy", "auc"] and out.count() == 0
 
 
