@@ -439,10 +439,12 @@ def _null_by_groups(df: DataFrame, columns: list[str], rounds: int, share: float
 
 
 def importance(df: DataFrame, groups: dict[str, list[str]], rounds: int = 5, share: float = 0.8, horizon: int = 0) -> DataFrame:
-    """(feature_group, feature, importance): fall of holdout accuracy when a column is permuted."""
+    """(feature_group, feature, importance): fall of holdout accuracy when a column is permuted; none without train rows of both targets."""
     columns = [c for cols in groups.values() for c in cols]
     rows = temporal_split(df, share, horizon)
     model = fit(rows.filter("split = 'train'").select(*columns, "target"), columns, "logistic")
+    if model is None:
+        return df.sparkSession.createDataFrame([], "feature_group string, feature string, importance double")
     test = rows.filter("split = 'holdout'").select("symbol", "ts", "target", *columns)
     test = Stored(df.sparkSession).put(test, "holdout")
     right = lambda d: F.avg((F.col("prediction") == F.col("target")).cast("double"))

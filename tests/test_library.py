@@ -251,6 +251,12 @@ def test_importances_without_both_targets_are_none(spark, case):
     assert out.columns == ["kind", "feature", "importance"] and out.count() == 0
 
 
+@pytest.mark.parametrize("case", ["none", "rising"])
+def test_falls_without_both_targets_are_none(spark, case):
+    out = ml.importance(few_rows(spark, case), {"g": ["x"]}, 1)
+    assert out.columns == ["feature_group", "feature", "importance"] and out.count() == 0
+
+
 def test_homology_queries_take_every_window(spark):
     from cairn.plans import queries as q
 
