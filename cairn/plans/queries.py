@@ -781,11 +781,16 @@ def base_importances(s, d):
 
 @query
 def live_scores(s, d):
-    """Each symbol's last features, scored by a model that was saved and read again."""
+    """Each symbol's last features, scored by a model that was saved and read again; none if no model can be fitted."""
     path = f"{Stored(s).root}/model"
-    f = ft.base_features(_bars(s, d))
-    ml.save_model(ml.fit(_ready(s, d).select(*ft.TDA_FEATURES, "target"), ft.TDA_FEATURES, "logistic"), path)
-    return sg.from_probability(ml.predict(ml.load_model(path), ml.latest_features(f)), threshold=0.55).select("symbol", "ts", "p_up", "signal", "position_size")
+    latest = ml.latest_features(ft.base_features(_bars(s, d)))
+    model = ml.fit(_ready(s, d).select(*ft.TDA_FEATURES, "target"), ft.TDA_FEATURES, "logistic")
+    if model is None:
+        scored = ml.unscored(latest)
+    else:
+        ml.save_model(model, path)
+        scored = ml.predict(ml.load_model(path), latest)
+    return sg.from_probability(scored, threshold=0.55).select("symbol", "ts", "p_up", "signal", "position_size")
 
 
 @query

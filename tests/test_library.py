@@ -257,6 +257,19 @@ def test_falls_without_both_targets_are_none(spark, case):
     assert out.columns == ["feature_group", "feature", "importance"] and out.count() == 0
 
 
+def no_events(spark, tmp_path):
+    """A folder whose events are none."""
+    tb.table(spark, SF, "events").filter("false").write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def test_live_scores_without_rows(spark, tmp_path):
+    from cairn.plans import queries as q
+
+    out = q.live_scores(spark, no_events(spark, tmp_path))
+    assert out.columns == ["symbol", "ts", "p_up", "signal", "position_size"] and out.count() == 0
+
+
 def test_homology_queries_take_every_window(spark):
     from cairn.plans import queries as q
 
