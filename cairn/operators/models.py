@@ -271,16 +271,23 @@ def ablate_images(df: DataFrame, columns: list[str], k: int = 5, horizon: int =
 
 
 def leave_one_out(df: DataFrame, columns: list[str], kind: str = "logistic") -> DataFrame:
-    """Predictions of each symbol by a model of all others."""
+    """Predictions of each symbol by a model of all others; none where those lack both targets."""
     symbols = sorted(r["symbol"] for r in df.select("symbol").distinct().collect())  # one fit each anyway
+    nothing = unscored(df).select(F.lit(0).alias("fold"), *KEPT, "p_up")
+    if not symbols:
+        return nothing
     if kind == "logistic":
         number = F.create_map(*[F.lit(x) for i, s in enumerate(symbols) for x in (s, i)])[F.col("symbol")]
         held = F.explode(F.sequence(F.lit(0), F.lit(len(symbols) - 1)))
         train = df.withColumn("_own", number).withColumn("_held", held).filter("_held <> _own")
         models = fit_logistics(train, "_held", columns)
         return score_logistics(df.withColumn("_held", number), "_held", columns, models).select(F.lit(0).alias("fold"), *KEPT, "p_up")
-    parts = [predict(fit(df.filter(F.col("symbol") != s).select(*columns, "target"), columns, kind), df.filter(F.col("symbol") == s)).select(F.lit(0).alias("fold"), *KEPT, "p_up") for s in symbols]
-    return reduce(DataFrame.unionByName, parts)
+    parts = []
+    for s in symbols:
+        model = fit(df.filter(F.col("symbol") != s).select(*columns, "target"), columns, kind)
+        if model is not None:
+            parts.append(predict(model, df.filter(F.col("symbol") == s)).select(F.lit(0).alias("fold"), *KEPT, "p_up"))
+    return reduce(DataFrame.unionByName, parts) if parts else nothing
 
 
 def ablate_columns(df: DataFrame, groups: dict[str, list[str]], k: int = 5, horizon: int = 1, embargo: int = 0, shuffle: str | None = None) -> DataFrame:

@@ -270,6 +270,13 @@ def test_live_scores_without_rows(spark, tmp_path):
     assert out.columns == ["symbol", "ts", "p_up", "signal", "position_size"] and out.count() == 0
 
 
+@pytest.mark.parametrize("case", ["none", "rising"])
+@pytest.mark.parametrize("kind", ["logistic", "rf"])
+def test_leaving_one_out_without_both_targets_predicts_nothing(spark, kind, case):
+    out = ml.evaluate(ml.leave_one_out(few_rows(spark, case), ["x"], kind))
+    assert out.columns == ["fold", "symbol", "n_signals", "n_correct", "direction_accuracy", "auc"] and out.count() == 0
+
+
 def test_homology_queries_take_every_window(spark):
     from cairn.plans import queries as q
 
