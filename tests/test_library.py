@@ -277,6 +277,12 @@ def test_leaving_one_out_without_both_targets_predicts_nothing(spark, kind, case
     assert out.columns == ["fold", "symbol", "n_signals", "n_correct", "direction_accuracy", "auc"] and out.count() == 0
 
 
+def test_loao_returns_only_without_rows(spark, tmp_path):
+    from cairn.plans import queries as q
+
+    assert q.loao_returns_only(spark, no_events(spark, tmp_path)).count() == 0
+
+
 def test_homology_queries_take_every_window(spark):
     from cairn.plans import queries as q
 
