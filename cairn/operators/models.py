@@ -330,6 +330,8 @@ def holdout(df: DataFrame, columns: list[str], kind: str = "logistic", share: fl
         models = fit_logistics(rows.filter("split = 'train'"), "fold", columns)
         return score_logistics(rows.filter("split = 'holdout'"), "fold", columns, models).select("fold", *KEPT, "p_up")
     model = fit(rows.filter("split = 'train'").select(*columns, "target"), columns, kind)
+    if model is None:
+        return unscored(rows).select(F.lit(0).alias("fold"), *KEPT, "p_up")
     return predict(model, rows.filter("split = 'holdout'")).select(F.lit(0).alias("fold"), *KEPT, "p_up")
 
 
@@ -471,6 +473,7 @@ def ensemble(df: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("logis
     """Stacked predictions of the last rows: base models on the first, a logistic model of their outputs on the middle.
 
     Middle rows without both targets, as of short series, teach nothing: the base models then count alike.
+    Without first rows of both targets there are no predictions.
     """
     rows = walk_forward_split(df, gap=horizon)
     scored = rows.filter("split in ('val', 'test')")
@@ -478,12 +481,16 @@ def ensemble(df: DataFrame, columns: list[str], kinds: tuple[str, ...] = ("logis
     for i, kind in enumerate(kinds):
         model = fit(rows.filter("split = 'train'").select(*columns, "target"), columns, kind)
         name = f"p_{kind}_{i}"
+        if model is None:
+            names = [f"p_{x}_{j}" for j, x in enumerate(kinds)]
+            return unscored(rows).withColumns({n: F.col("p_up") for n in names}).select(F.lit(0).alias("fold"), *KEPT, *names, "p_up")
         scored = predict(model, scored).withColumnRenamed("p_up", name).drop("_assembled", "_scaled", "rawPrediction", "probability", "prediction")
         names.append(name)
     scored = Stored(df.sparkSession).put(scored, "scored")
     val, test = scored.filter("split = 'val'").select(*names, "target"), scored.filter("split = 'test'")
-    if val.agg(F.count_distinct("target")).first()[0] == 2:
-        out = predict(fit(val, names, "logistic"), test)
+    model = fit(val, names, "logistic")
+    if model is not None:
+        out = predict(model, test)
     else:
         out = test.withColumn("p_up", sum((F.col(n) for n in names), F.lit(0.0)) / len(names))
     return out.select(F.lit(0).alias("fold"), *KEPT, *names, "p_up")

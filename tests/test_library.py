@@ -283,6 +283,13 @@ def test_loao_returns_only_without_rows(spark, tmp_path):
     assert q.loao_returns_only(spark, no_events(spark, tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("case", ["none", "rising"])
+def test_ensemble_without_both_targets_predicts_nothing(spark, case):
+    out = ml.ensemble(few_rows(spark, case), ["x"], ("logistic", "rf"), horizon=3)
+    assert out.columns == ["fold", *ml.KEPT, "p_logistic_0", "p_rf_1", "p_up"] and out.count() == 0
+    assert ml.holdout(few_rows(spark, case), ["x"], "rf").count() == 0
+
+
 def test_homology_queries_take_every_window(spark):
     from cairn.plans import queries as q
 
