@@ -34,6 +34,8 @@ KEPT = ["symbol", "ts", "close", "future_return", "target"]
 
 #: Values that one task of a fit holds at least: rounds are short, so few rows go to few tasks.
 VALUES_PER_TASK = 1 << 22
+#: The same of a forest, whose few rounds pass each row down every tree.
+FOREST_VALUES_PER_TASK = 1 << 17
 #: Most values of the matrix that a permutation test sends to every task.
 MAX_MATRIX = 1 << 25
 
@@ -55,7 +57,11 @@ def fit(train: DataFrame, columns: list[str], kind: str, c: float = 1.0):
     n, targets = train.agg(F.count("*"), F.count_distinct("target")).first()
     if targets < 2:
         return None
-    train = train.coalesce(-(-n * len(columns) // VALUES_PER_TASK) or 1)
+    tasks = -(-n * len(columns) // (FOREST_VALUES_PER_TASK if kind == "rf" else VALUES_PER_TASK)) or 1
+    if kind == "rf" and tasks > 1:  # a forest draws rows by task and place: neither may depend on how the files were split
+        train = train.repartition(tasks, *columns).sortWithinPartitions(*columns, "target")
+    else:
+        train = train.coalesce(tasks)
     stages = [VectorAssembler(inputCols=columns, outputCol="_assembled", handleInvalid="skip"), StandardScaler(inputCol="_assembled", outputCol="_scaled", withMean=True), classifier(kind, n, c)]
     return Pipeline(stages=stages).fit(train)
 

@@ -238,6 +238,17 @@ def test_cv_without_both_targets_predicts_nothing(spark, kind, case):
     assert out.columns == ["fold", "symbol", "n_signals", "n_correct", "direction_accuracy", "auc"] and out.count() == 0
 
 
+def test_forest_of_many_tasks_does_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(ml, "VALUES_PER_TASK", 200)
+    monkeypatch.setattr(ml, "FOREST_VALUES_PER_TASK", 200, raising=False)
+    r = np.random.RandomState(5)
+    rows = [(i, float(a), float(b), int(a + r.randn() > 0)) for i, (a, b) in enumerate(r.randn(400, 2))]
+    f = spark.createDataFrame(rows, "i int, a double, b double, target int")
+    p = [ml.predict(ml.fit(dealt, ["a", "b"], "rf"), f).orderBy("i").toPandas().p_up for dealt in (f.repartition(3, "i"), f.repartition(7, "b"))]
+    np.testing.assert_allclose(p[0], p[1], atol=1e-9)
+    assert 0.3 < p[0].mean() < 0.7 and p[0].std() > 0.05
+
+
 @pytest.mark.parametrize("case", ["none", "rising"])
 def test_images_without_both_targets_predict_nothing(spark, case):
     pair = F.array(F.struct(F.lit(0.0).alias("birth"), F.col("close").alias("death")))
