@@ -115,15 +115,19 @@ def _vector(columns: list[str] | Column) -> Column:
     return columns if isinstance(columns, Column) else F.array(*[F.col(c).cast("double") for c in columns])
 
 
-def _sums(rows: DataFrame, of) -> dict[int, np.ndarray]:
-    """For each group g of the rows (g, x, y), the sum of ``of(g, x, y)`` over them: in each task first, then a task a group."""
+def _sums(rows: DataFrame, of, others: int = 0) -> dict[int, np.ndarray]:
+    """For each group g of the rows (g, x, y), the sum of ``of(g, x, y)`` over them: in each task first, then a task a group.
+
+    With ``others``, for each g below it the sum over the rows of all other groups.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             group, x, y = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1), batch.column(2).to_numpy()
-            for g in np.unique(group).tolist():
-                part = of(g, x[group == g], y[group == g])
+            for g in range(others) if others else np.unique(group).tolist():
+                mine = group != g if others else group == g
+                part = of(g, x[mine], y[mine])
                 total[g] = total[g] + part if g in total else part
         yield _packed(total)
 
@@ -144,19 +148,20 @@ def _packed(total: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["g", "v"])
 
 
-def fit_logistics(rows: DataFrame, group: str, columns: list[str] | Column, c: float = 1.0, rounds: int = 25) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def fit_logistics(rows: DataFrame, group: str, columns: list[str] | Column, c: float = 1.0, rounds: int = 25, others: int = 0) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(means, deviations, weights) of an L2-regularised logistic model of standardised columns (or of an array column)
     for each value of ``group``.
 
     Newton's method: each round is one job, in which every task sums its rows' gradient and curvature for all groups;
     only those sums, columns by columns, reach the driver.  Groups without both targets have no model, rows without
-    all values count in none.
+    all values count in none.  With ``others``, groups are numbered from 0 to below it and each has the model of all
+    rows but its own, which are stored once, not for each model.
     """
     ship_package(rows.sparkSession)
     stored = Stored(rows.sparkSession)
     slim = rows.select(F.col(group).cast("bigint").alias("g"), _vector(columns).alias("x"), F.col("target").cast("double").alias("y"))
     slim = stored.put(slim.filter(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)) & F.col("y").isNotNull()), "rows")
-    first = _sums(slim, lambda g, x, y: np.concatenate([[len(x), y.sum()], x.sum(0), (x * x).sum(0)]))
+    first = _sums(slim, lambda g, x, y: np.concatenate([[len(x), y.sum()], x.sum(0), (x * x).sum(0)]), others)
     state: dict[int, list[np.ndarray]] = {}
     for g, v in first.items():
         n, up, p = v[0], v[1], len(v) // 2 - 1
@@ -178,7 +183,7 @@ def fit_logistics(rows: DataFrame, group: str, columns: list[str] | Column, c: f
             q = 1.0 / (1.0 + np.exp(-np.clip(z @ w, -30, 30)))
             return np.concatenate([((z.T * (q * (1 - q))) @ z).ravel(), z.T @ (q - y)])
 
-        for g, v in _sums(slim, slopes).items():
+        for g, v in _sums(slim, slopes, others).items():
             if g in now:
                 w = state[g][2]
                 penalty = np.append(np.full(len(w) - 1, 1.0 / c), 1e-9)
@@ -284,10 +289,9 @@ def leave_one_out(df: DataFrame, columns: list[str], kind: str = "logistic") ->
         return nothing
     if kind == "logistic":
         number = F.create_map(*[F.lit(x) for i, s in enumerate(symbols) for x in (s, i)])[F.col("symbol")]
-        held = F.explode(F.sequence(F.lit(0), F.lit(len(symbols) - 1)))
-        train = df.withColumn("_own", number).withColumn("_held", held).filter("_held <> _own")
-        models = fit_logistics(train, "_held", columns)
-        return score_logistics(df.withColumn("_held", number), "_held", columns, models).select(F.lit(0).alias("fold"), *KEPT, "p_up")
+        rows = df.withColumn("_held", number)
+        models = fit_logistics(rows, "_held", columns, others=len(symbols))
+        return score_logistics(rows, "_held", columns, models).select(F.lit(0).alias("fold"), *KEPT, "p_up")
     parts = []
     for s in symbols:
         model = fit(df.filter(F.col("symbol") != s).select(*columns, "target"), columns, kind)

@@ -288,6 +288,22 @@ def test_leaving_one_out_without_both_targets_predicts_nothing(spark, kind, case
     assert out.columns == ["fold", "symbol", "n_signals", "n_correct", "direction_accuracy", "auc"] and out.count() == 0
 
 
+def test_leaving_one_out_stores_each_row_once(spark, monkeypatch):
+    r = np.random.RandomState(3)
+    rows = [(f"s{i % 4}", datetime(2024, 1, 1) + timedelta(hours=i), 1.0, 0.0, int(a + 0.3 * (i % 4) * b + r.randn() > 0), float(a), float(b)) for i, (a, b) in enumerate(r.randn(300, 2))]
+    f = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double, future_return double, target int, a double, b double")
+    put, stored = Stored.put, []
+    monkeypatch.setattr(Stored, "put", lambda self, df, name: (stored.append(df.count()), put(self, df, name))[1])
+    out = ml.leave_one_out(f, ["a", "b"]).orderBy("ts").toPandas()
+    assert stored == [300] and len(out) == 300
+    monkeypatch.undo()
+    for s in ("s0", "s3"):  # as by a model of the other symbols alone
+        train = f.filter(F.col("symbol") != s).withColumn("g", F.lit(0))
+        models = ml.fit_logistics(train, "g", ["a", "b"])
+        want = ml.score_logistics(f.filter(F.col("symbol") == s).withColumn("g", F.lit(0)), "g", ["a", "b"], models).orderBy("ts").toPandas()
+        np.testing.assert_allclose(out[out.symbol == s].p_up, want.p_up, atol=1e-9)
+
+
 def test_loao_returns_only_without_rows(spark, tmp_path):
     from cairn.plans import queries as q
 
